@@ -53,6 +53,16 @@ SELECT query_id, id, round(vec_score, 6) + 0.0 AS vec_score, round(text_score, 6
        round(score, 6) + 0.0 AS score, rank FROM r WHERE rank <= {LIMIT}"""
 
 
+MAX_NORM_SQL = ("coalesce(vec_score / nullif(max(vec_score) OVER (PARTITION BY query_id), 0), 0) + "
+                "coalesce(text_score / nullif(max(text_score) OVER (PARTITION BY query_id), 0), 0)")
+
+# hybrid max-norm top 5 as a CTE named ``results (query_id, id, score, rank)``
+RESULTS_CTES = _cands("1 - distance", "normed") + f""",
+s AS (SELECT *, {MAX_NORM_SQL} AS score FROM fused),
+results AS (SELECT query_id, id, score,
+                   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+            FROM s QUALIFY rank <= {LIMIT})"""
+
 _RV = "row_number() OVER (PARTITION BY query_id ORDER BY vec_score ASC NULLS LAST, id)"
 
 SQL = {
@@ -63,9 +73,7 @@ SQL = {
         f"CASE WHEN vec_score IS NULL THEN 0 ELSE 1.0 / (60 + {_RV}) END + "
         "CASE WHEN text_score IS NULL THEN 0 ELSE 1.0 / (30 + row_number() OVER "
         "(PARTITION BY query_id ORDER BY text_score DESC NULLS LAST, id)) END"),
-    "hybrid_max_norm": _cands("1 - distance", "normed") + _final(
-        "coalesce(vec_score / nullif(max(vec_score) OVER (PARTITION BY query_id), 0), 0) + "
-        "coalesce(text_score / nullif(max(text_score) OVER (PARTITION BY query_id), 0), 0)"),
+    "hybrid_max_norm": _cands("1 - distance", "normed") + _final(MAX_NORM_SQL),
 }
 
 QUERIES = {
