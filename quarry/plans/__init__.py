@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "text", "hybrid", "evaluation"]
+_MODULES = ["retrieval", "text", "hybrid", "evaluation", "ingest"]
 
 
 def _collect(attr: str) -> dict:
