@@ -78,7 +78,7 @@ ideal AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY is_relevan
           FROM judged),
 metrics AS (
   SELECT query_id, count(*) AS n_results,
-         sum(CASE WHEN is_relevant = 0 THEN 0 ELSE 1 END) AS n_relevant,
+         CAST(sum(CASE WHEN is_relevant = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_relevant,
          sum(CASE WHEN is_relevant = 0 THEN 0 ELSE 1 END) / count(*) AS precision,
          coalesce(1.0 / min(CASE WHEN is_relevant = 3 THEN rank END), 0) AS mrr,
          CASE WHEN max(CASE WHEN is_relevant IS NULL THEN 1 ELSE 0 END) = 1 THEN 0.0
@@ -120,7 +120,7 @@ SELECT query_id, n_results, n_relevant, round(precision, 6) + 0.0 AS precision,
 SELECT count(*) AS n_queries, round(avg(precision), 6) + 0.0 AS mean_precision,
        round(avg(mrr), 6) + 0.0 AS mean_mrr, round(avg(ndcg), 6) + 0.0 AS mean_ndcg FROM metrics""",
     "citation_groups": f"""{RESULTS_CTES}
-SELECT query_id, id AS source_name, round(score, 6) + 0.0 AS relevance, 1 AS n_partitions FROM results""",
+SELECT query_id, id AS source_name, round(score, 6) + 0.0 AS relevance, CAST(1 AS BIGINT) AS n_partitions FROM results""",
     "context_block_text": f"""{_CONTEXT}
 SELECT query_id, sha256(context) AS context_sha256, length(context) AS context_len FROM ctx""",
 }

@@ -166,7 +166,7 @@ c2 AS (SELECT *, lag(ln) OVER (PARTITION BY page_id ORDER BY ln) AS prev_ln,
           OR lag(header_2) OVER (PARTITION BY page_id ORDER BY ln) IS DISTINCT FROM header_2
           OR lag(header_3) OVER (PARTITION BY page_id ORDER BY ln) IS DISTINCT FROM header_3
         THEN 1 ELSE 0 END AS new_sec FROM content),
-c3 AS (SELECT *, sum(new_sec) OVER (PARTITION BY page_id ORDER BY ln) - 1 AS section_no FROM c2),
+c3 AS (SELECT *, CAST(sum(new_sec) OVER (PARTITION BY page_id ORDER BY ln) - 1 AS BIGINT) AS section_no FROM c2),
 sections AS (SELECT page_id, section_no, any_value(header_1) AS header_1, any_value(header_2) AS header_2,
    any_value(header_3) AS header_3,
    string_agg(CASE WHEN new_sec = 1 THEN '' WHEN prev_ln = ln - 1 THEN chr(10) ELSE '  ' || chr(10) END || line, ''
@@ -217,7 +217,7 @@ SELECT doc_id, partition_number, start, length(chunk) AS chunk_len, sha256(chunk
 SELECT md5(CAST(doc_id AS VARCHAR) || '/' || CAST(partition_number AS VARCHAR)) AS id,
        CAST(doc_id AS VARCHAR) AS parent_id,
        CAST(doc_id AS VARCHAR) || '.partition.' || CAST(partition_number AS VARCHAR) || '.txt' AS name,
-       length(chunk) AS size, partition_number, 0 AS section_number, 'text/plain' AS mime_type,
+       length(chunk) AS size, partition_number, CAST(0 AS BIGINT) AS section_number, 'text/plain' AS mime_type,
        sha256(chunk) AS content_sha256 FROM c""",
     "heading_sections": f"""WITH {_SECTIONS}
 SELECT page_id, section_no, header_1, header_2, header_3, length(content) AS content_len,
