@@ -102,23 +102,13 @@ def reduce_history(messages: DataFrame, target: int, threshold: int = 0,
                      F.lit("assistant").alias("role"), F.lit("summary").alias("kind"),
                      F.lit(None).cast("string").alias("text")))
     allrows = rows.unionByName(slots)
-    # output position without sorting a whole conversation: rows of the groups
-    # before this one, plus the position inside the group (turn arithmetic for
-    # prior summaries and the tail, a small window over function messages only)
-    counts = allrows.groupBy("conv_id").agg(
-        *[F.count(F.when(F.col("g") == g, 1)).alias(f"c{g}") for g in range(4)])
-    r = allrows.join(counts, "conv_id").join(pts.select("conv_id", "truncation"), "conv_id")
-    before = sum(F.when(F.col("g") > g, F.col(f"c{g}")).otherwise(0) for g in range(4))
-    inside = (F.when(F.col("g") == 1, F.col("turn"))
-              .when(F.col("g") == 4, F.col("turn") - F.greatest(F.col("truncation"), F.lit(0)))
-              .otherwise(0))
-    fw = Window.partitionBy("conv_id").orderBy("turn")
-    func = (r.where(F.col("g") == 3)
-            .withColumn("inside", F.row_number().over(fw) - 1))
-    other = r.where(F.col("g") != 3).withColumn("inside", inside)
-    out = func.unionByName(other)
-    return out.select("conv_id", (before + F.col("inside")).cast("long").alias("out_pos"),
-                      "turn", "role", "kind", "text")
+    # The output of a reduced conversation is bounded by target + threshold plus
+    # its preserved function messages, and a conversation that is not reduced
+    # is itself that short, so numbering the output rows per conversation is a
+    # small window whatever the length of the input history.
+    w = Window.partitionBy("conv_id").orderBy("g", "turn")
+    return allrows.select("conv_id", (F.row_number().over(w) - 1).cast("long").alias("out_pos"),
+                          "turn", "role", "kind", "text")
 
 
 def summary_input(messages: DataFrame, target: int, threshold: int = 0,

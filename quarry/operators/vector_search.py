@@ -122,13 +122,18 @@ def _blocked_candidates(recs: DataFrame, queries: DataFrame, k: int,
 
     def score(rp, qp):
         import pandas as pd
+
+        def empty():
+            return pd.DataFrame({"query_id": qp["query_id"].iloc[:0],
+                                 "id": pd.Series([], dtype=str),
+                                 "distance": pd.Series([], dtype="float64")})
         if len(rp) == 0 or len(qp) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "id": [], "distance": []})
+            return empty()
         m = _unit_rows(np.stack(rp["embedding"].to_numpy()).astype(np.float64))
         qm = _unit_rows(np.stack(qp["query_vec"].to_numpy()).astype(np.float64))
         top = _batch_top(1.0 - m @ qm.T, rp["id"].to_numpy(), qp["query_id"].to_numpy(), k, max_distance)
         if top is None:
-            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "id": [], "distance": []})
+            return empty()
         return pd.DataFrame({"query_id": top[0], "id": top[1], "distance": top[2]})
 
     return (r.groupBy("qblock", "shard")
