@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.stopwords import FRENCH
 from quarry.functions.text import word_tokens
@@ -39,9 +40,50 @@ def lexemes(df: DataFrame, key: str, text: str,
     return out
 
 
+class LexemeIndex:
+    """Inverted index of a record table.
+
+    * ``positions`` ``(id, lexeme, pos)`` - every lexeme occurrence;
+    * ``terms``     ``(id, lexeme, tf)``  - one row per record and lexeme;
+    * ``stats``     ``(lexeme, df)``      - records holding the lexeme;
+    * ``lengths``   ``(id, n_pos)``       - lexeme positions per record.
+
+    ``build`` is lazy (recomputed by every query); ``save`` writes the four
+    tables once - ``terms`` range-partitioned and sorted by lexeme, so the
+    per-query lookup of a few lexemes skips most files by their min/max
+    statistics - and ``load`` reads them back for any number of query batches.
+    """
+
+    def __init__(self, positions: DataFrame, terms: DataFrame, stats: DataFrame, lengths: DataFrame):
+        self.positions, self.terms, self.stats, self.lengths = positions, terms, stats, lengths
+
+    @classmethod
+    def build(cls, records: DataFrame, stemmer=None) -> "LexemeIndex":
+        pos = lexemes(records, "id", "content", stemmer)
+        terms = pos.groupBy("id", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
+        stats = terms.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
+        lengths = pos.groupBy("id").agg(F.count(F.lit(1)).alias("n_pos"))
+        return cls(pos, terms, stats, lengths)
+
+    def save(self, path: str, n_files: int | None = None) -> "LexemeIndex":
+        path = path.rstrip("/")
+        spark = self.positions.sparkSession
+        n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.positions.repartition(n, "id").write.mode("errorifexists").parquet(f"{path}/positions")
+        (self.terms.repartitionByRange(n, "lexeme").sortWithinPartitions("lexeme")
+         .write.mode("errorifexists").parquet(f"{path}/terms"))
+        self.stats.write.mode("errorifexists").parquet(f"{path}/stats")
+        self.lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
+        return LexemeIndex.load(spark, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "LexemeIndex":
+        path = path.rstrip("/")
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("positions", "terms", "stats", "lengths")])
+
+
 def lexeme_index(records: DataFrame, stemmer=None) -> DataFrame:
-    """Positional index ``(id, lexeme, pos)`` of the record contents; persist it
-    (or write it bucketed by lexeme) when it serves many query batches."""
+    """Positional index ``(id, lexeme, pos)`` of the record contents."""
     return lexemes(records, "id", "content", stemmer)
 
 
@@ -54,9 +96,10 @@ def query_lexemes(queries: DataFrame, stemmer=None) -> DataFrame:
             .withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id"))))
 
 
-def _maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    n = df.count()
-    return F.broadcast(df) if n <= limit else df
+def _query_token_bound(queries: DataFrame) -> int:
+    """Upper bound of the query-lexeme rows (tokens of all query texts)."""
+    n = queries.select(F.sum(F.size(word_tokens("query_text")))).first()[0]
+    return int(n or 0)
 
 
 def cover_density(hits: Column, n_terms: Column) -> Column:
@@ -94,11 +137,53 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
     return F.aggregate(hits, init, step, lambda acc: acc["score"])
 
 
-def text_matches(index: DataFrame, qlex: DataFrame) -> DataFrame:
+def _rarest(qlex: DataFrame, stats: DataFrame) -> DataFrame:
+    """Per query its rarest lexeme and that lexeme's record count (0 when the
+    lexeme is in no record: the query cannot match)."""
+    r = (qlex.select("query_id", "lexeme").join(stats, "lexeme", "left")
+         .withColumn("df", F.coalesce("df", F.lit(0))))
+    w = Window.partitionBy("query_id").orderBy("df", "lexeme")
+    return r.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def candidates(index: LexemeIndex, qlex: DataFrame, max_broadcast: int = MAX_BROADCAST_QUERY_LEXEMES):
+    """``(query_id, id)`` records holding the query's rarest lexeme - a superset
+    of the AND matches, as small as the rarest posting list - and its size bound.
+
+    The rarest lexemes (one per query, a bounded set) come to the driver so
+    the posting lookup is a literal ``IN`` filter that reaches the scan."""
+    rare = [(r["query_id"], r["lexeme"], r["df"]) for r in _rarest(qlex, index.stats).collect()]
+    bound = sum(df for _, _, df in rare)
+    lex = sorted({lx for _, lx, df in rare if df > 0})
+    spark = qlex.sparkSession
+    rare_df = spark.createDataFrame([(q, lx) for q, lx, df in rare if df > 0],
+                                    T.StructType([qlex.schema["query_id"],
+                                                  T.StructField("lexeme", T.StringType())]))
+    postings = index.terms.where(F.col("lexeme").isin(lex)) if lex else index.terms.limit(0)
+    cands = postings.join(F.broadcast(rare_df), "lexeme").select("query_id", "id")
+    del max_broadcast
+    return cands, bound
+
+
+def _hits(index: LexemeIndex, qlex: DataFrame, cands: DataFrame, bound: int,
+          max_broadcast: int = MAX_BROADCAST_QUERY_LEXEMES) -> DataFrame:
+    """Sorted hit arrays of the candidate records that hold every query lexeme."""
+    c = F.broadcast(cands) if bound <= max_broadcast else cands
+    q = F.broadcast(qlex.select("query_id", "lexeme", "term", "n_terms"))
+    return (index.positions.join(c, "id")
+            .join(q, ["query_id", "lexeme"])
+            .groupBy("query_id", "id")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"),
+                 F.count_distinct("term").alias("n_hit"), F.first("n_terms").alias("n_terms"))
+            .where(F.col("n_hit") == F.col("n_terms")))
+
+
+def text_matches(index: LexemeIndex, qlex: DataFrame) -> DataFrame:
     """``(query_id, id)`` pairs where the record holds every query lexeme."""
-    doc_lex = index.select("id", "lexeme").distinct()
-    q = _maybe_broadcast(qlex.select("query_id", "lexeme", "n_terms"), MAX_BROADCAST_QUERY_LEXEMES)
-    return (doc_lex.join(q, "lexeme")
+    cands, bound = candidates(index, qlex)
+    verify = index.terms.select("id", "lexeme").join(
+        F.broadcast(cands) if bound <= MAX_BROADCAST_QUERY_LEXEMES else cands, "id")
+    return (verify.join(F.broadcast(qlex.select("query_id", "lexeme", "n_terms")), ["query_id", "lexeme"])
             .groupBy("query_id", "id")
             .agg(F.count(F.lit(1)).alias("n_hit"), F.first("n_terms").alias("n_terms"))
             .where(F.col("n_hit") == F.col("n_terms"))
@@ -107,27 +192,23 @@ def text_matches(index: DataFrame, qlex: DataFrame) -> DataFrame:
 
 def text_search(records: DataFrame, queries: DataFrame, k: int | None = None, *,
                 length_norm: bool = False, stemmer=None,
-                index: DataFrame | None = None, doc_lengths: DataFrame | None = None) -> DataFrame:
+                index: LexemeIndex | None = None) -> DataFrame:
     """``(query_id, id, text_score, text_rank)``; ``text_rank`` orders by score
     desc then id. ``k`` keeps the first k per query (``None``/``<=0``: all).
 
     ``length_norm`` divides the score by ``ln(1 + number of lexeme positions)``.
+    Pass a saved ``LexemeIndex`` to serve many query batches from one index.
     """
-    index = index if index is not None else lexeme_index(records, stemmer)
+    index = index if index is not None else LexemeIndex.build(records, stemmer)
+    if _query_token_bound(queries) > MAX_BROADCAST_QUERY_LEXEMES:
+        raise ValueError("query batch too large for one broadcast; split it into batches")
     qlex = query_lexemes(queries, stemmer)
-    matches = text_matches(index, qlex)
-    hits = (index.join(matches, "id")
-            .join(_maybe_broadcast(qlex.select("query_id", "lexeme", "term", "n_terms"),
-                                   MAX_BROADCAST_QUERY_LEXEMES), ["query_id", "lexeme"])
-            .groupBy("query_id", "id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"),
-                 F.first("n_terms").alias("n_terms")))
+    cands, bound = candidates(index, qlex)
+    hits = _hits(index, qlex, cands, bound)
     scored = hits.select("query_id", "id",
                          cover_density(F.col("hits"), F.col("n_terms")).alias("text_score"))
     if length_norm:
-        lengths = doc_lengths if doc_lengths is not None else (
-            index.groupBy("id").agg(F.count(F.lit(1)).alias("n_pos")))
-        scored = (scored.join(lengths, "id")
+        scored = (scored.join(index.lengths, "id")
                   .withColumn("text_score", F.col("text_score") / F.log(F.col("n_pos") + F.lit(1.0)))
                   .drop("n_pos"))
     w = Window.partitionBy("query_id").orderBy(F.col("text_score").desc(), F.col("id").asc())

@@ -11,8 +11,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a scan that yields fewer partitions than the
+    cluster has task slots (e.g. one large single-row-group file), so per-row
+    work (tokenising, scoring) uses every core.  A no-op for wide scans, which
+    is the normal case on a cluster.  Projections and filters are still pushed
+    below the repartition into the scan."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def records_from(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
