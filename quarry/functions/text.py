@@ -61,3 +61,8 @@ def format_fact(last_update: str | Column, source: str | Column, content: str |
     """One fact block: header with the update stamp, the source line, then the text."""
     return F.format_string("=== Last update:%s ===\nSource:%s\n%s\n",
                            _c(last_update), _c(source), _c(content))
+
+
+def payload_field(field: str, payload: str | Column = "payload") -> Column:
+    """A top-level field of the JSON payload as a string (NULL when absent)."""
+    return F.get_json_object(_c(payload), f"$.{field}")

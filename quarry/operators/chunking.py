@@ -226,3 +226,61 @@ def merge_by_heading(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key).orderBy("first")
     return g.select(key, (F.row_number().over(w) - 1).alias("group_no"), "heading",
                     F.array_join(F.transform("parts", lambda p: p["content"]), "\n").alias("content"))
+
+
+def _word_count(c: Column) -> Column:
+    t = F.trim(c)
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"\s+")))
+
+
+def token_pack(sections: DataFrame, max_tokens: int = 1000, key: str = "doc_id") -> DataFrame:
+    """Structure-aware chunks of at most ``max_tokens`` tokens (whitespace
+    words stand in for model tokens).
+
+    The lines of a section are its elements; an element longer than the limit
+    is cut into ``max_tokens``-word windows; consecutive elements under the
+    same headings (peers) are merged greedily while the total stays within
+    the limit.  The fold runs over one section's ordered elements (bounded by
+    the document).  Returns ``(key, section_no, chunk_no, text, n_tokens,
+    header_1, header_2, header_3)``."""
+    if max_tokens <= 0:
+        raise ValueError("max_tokens must be > 0")
+    el = sections.select(key, "section_no", "header_1", "header_2", "header_3",
+                         F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+    el = el.withColumn("line", F.regexp_replace("line", r"\s+$", "")).where(F.trim("line") != "")
+    el = el.withColumn("n", _word_count(F.col("line")))
+    words = F.split(F.trim("line"), r"\s+")
+    n_pieces = F.ceil(F.col("n") / F.lit(max_tokens)).cast("int")
+    pieces = F.when(F.col("n") <= max_tokens, F.array(F.struct(F.col("line").alias("text"), F.col("n").alias("n"))))\
+        .otherwise(F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.struct(
+            F.array_join(F.slice(words, i * max_tokens + 1, max_tokens), " ").alias("text"),
+            F.least(F.lit(max_tokens), F.col("n") - i * max_tokens).alias("n"))))
+    el = el.select(key, "section_no", "header_1", "header_2", "header_3", "line_no",
+                   F.posexplode(pieces).alias("piece_no", "p"))
+    grouped = (el.groupBy(key, "section_no")
+               .agg(F.array_sort(F.collect_list(F.struct("line_no", "piece_no", F.col("p.text").alias("text"),
+                                                         F.col("p.n").alias("n")))).alias("els"),
+                    F.first("header_1").alias("header_1"), F.first("header_2").alias("header_2"),
+                    F.first("header_3").alias("header_3")))
+    empty = F.array().cast("array<struct<text:string,n:int>>")
+    init = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("n"))
+
+    def step(acc, e):
+        fits = acc["text"].isNotNull() & (acc["n"] + e["n"] <= max_tokens)
+        flushed = F.when(acc["text"].isNull(), acc["done"]).otherwise(
+            F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["n"].alias("n")))))
+        return F.struct(
+            F.when(fits, acc["done"]).otherwise(flushed).alias("done"),
+            F.when(fits, F.concat(acc["text"], F.lit("\n"), e["text"])).otherwise(e["text"]).alias("text"),
+            F.when(fits, acc["n"] + e["n"]).otherwise(e["n"]).alias("n"))
+
+    def finish(acc):
+        return F.when(acc["text"].isNull(), acc["done"]).otherwise(
+            F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["n"].alias("n")))))
+
+    packed = grouped.select(key, "section_no", "header_1", "header_2", "header_3",
+                            F.aggregate("els", init, step, finish).alias("chunks"))
+    return packed.select(key, "section_no", F.posexplode("chunks").alias("chunk_no", "c"),
+                         "header_1", "header_2", "header_3").select(
+        key, "section_no", "chunk_no", F.col("c.text").alias("text"), F.col("c.n").alias("n_tokens"),
+        "header_1", "header_2", "header_3")

@@ -101,3 +101,18 @@ def hybrid_search(records: DataFrame, queries: DataFrame, limit: int = 10, mode:
         hits = F.broadcast(out) if n_queries * limit <= MAX_BROADCAST_HITS else out
         out = records.select(*cols).join(hits, "id")
     return out
+
+
+def search(records: DataFrame, queries: DataFrame, limit: int = 10, *,
+           use_normalization: bool = False, filters=None, min_relevance: float | None = None,
+           apply_filters: bool = False, with_embeddings: bool = False,
+           index: DataFrame | None = None) -> DataFrame:
+    """Public search entry: always the hybrid search, RRF (default) or
+    max-normalised.  ``filters`` and ``min_relevance`` are accepted and, as in
+    the original entry point, ignored unless ``apply_filters=True``."""
+    out = hybrid_search(records, queries, limit, "max_norm" if use_normalization else "rrf",
+                        filters=filters if apply_filters else None, with_records=True,
+                        with_embeddings=with_embeddings, index=index)
+    if apply_filters and min_relevance is not None:
+        out = out.where(F.col("score") >= F.lit(min_relevance))
+    return out

@@ -191,3 +191,57 @@ def vector_search(records: DataFrame, queries: DataFrame, k: int = 1, *, offset:
     return (records.select(*cols).join(hits, "id")
             .withColumn("similarity", F.lit(1.0) - F.col("distance"))
             .select("query_id", *cols, "distance", "similarity", "rank"))
+
+
+def approx_vector_search(records: DataFrame, queries: DataFrame, k: int, *,
+                         min_similarity: float = 0.0, bucket_length: float = 1.0,
+                         num_hash_tables: int = 4, seed: int = 7) -> DataFrame:
+    """Approximate top-k by random-projection LSH on unit vectors (Euclidean
+    order equals cosine order there): ``approxSimilarityJoin`` with the
+    distance bound implied by ``min_similarity``, then ``row_number <= k``.
+    Candidate pairs come only from shared hash buckets; exact search is
+    ``vector_search``.  Returns ``(query_id, id, distance, rank)``."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def unit(c):
+        n = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+        return array_to_vector(F.transform(c, lambda x: x.cast("double") / n))
+
+    r = records.where(F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("v"))
+    q = queries.select("query_id", unit(F.col("query_vec")).alias("v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
+                                      numHashTables=num_hash_tables, seed=seed).fit(r)
+    # |a - b|^2 = 2 (1 - cos) for unit vectors
+    max_euclid = float((2.0 * (1.0 - min_similarity)) ** 0.5) if min_similarity > -1 else 2.0
+    pairs = lsh.approxSimilarityJoin(q, r, max_euclid + 1e-9, distCol="euclid")
+    cand = pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
+                        (F.pow(F.col("euclid"), 2) / 2.0).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("id").asc())
+    out = cand.withColumn("rank", F.row_number().over(w))
+    return out.where(F.col("rank") <= k) if k > 0 else out
+
+
+def hashing_embedder(num_features: int = 64, text_col: str = "content", out_col: str = "embedding"):
+    """A model-free text embedder for tests and baselines: word tokens ->
+    feature hashing -> IDF -> L2 normalisation, as ``array<float>``.
+    Returns ``fit(corpus) -> transform(df)``; any real model plugs in the same
+    way as a Column expression or a pandas UDF."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    stages = [RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"[^\p{L}\p{N}]+"),
+              HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
+              IDF(inputCol="__tf", outputCol="__idf"),
+              Normalizer(inputCol="__idf", outputCol="__vec", p=2.0)]
+
+    def fit(corpus: DataFrame):
+        model = Pipeline(stages=stages).fit(corpus)
+
+        def transform(df: DataFrame) -> DataFrame:
+            out = model.transform(df)
+            return (out.withColumn(out_col, vector_to_array("__vec", "float32"))
+                    .drop("__tok", "__tf", "__idf", "__vec"))
+        return transform
+    return fit

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_text, content_sha256, normalize_index_name, normalize_table_prefix
 from quarry.operators.chunking import (chunk_records, fixed_window_chunks, html_to_markdown,
-                                       markdown_sections, merge_by_heading, recursive_chunks)
+                                       markdown_sections, merge_by_heading, recursive_chunks,
+                                       token_pack)
 from quarry.operators.margins import blocks_from_lines, remove_repeated_margins, repeated_margins
 from quarry.operators.routing import route_files, skip_imported
 from quarry.operators.store import delete_documents, upsert
@@ -57,6 +58,12 @@ def merge_by_heading_q(spark: SparkSession, sf: str) -> DataFrame:
                     content_sha256("content").alias("content_sha256"))
 
 
+def token_pack_q(spark: SparkSession, sf: str) -> DataFrame:
+    t = token_pack(_sections(spark, sf), max_tokens=100)
+    return t.select(F.col("doc_id").alias("page_id"), "section_no", "chunk_no", "n_tokens",
+                    content_sha256("text").alias("content_sha256"))
+
+
 def _blocks(spark, sf):
     return blocks_from_lines(_docs(spark, sf))
 
@@ -259,6 +266,7 @@ QUERIES = {
     "recursive_chunks": recursive_chunks_q,
     "heading_sections": heading_sections,
     "merge_by_heading": merge_by_heading_q,
+    "token_pack": token_pack_q,
     "common_margins": common_margins,
     "page_text_without_margins": page_text_without_margins,
     "mime_routing": mime_routing,

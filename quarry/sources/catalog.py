@@ -41,11 +41,17 @@ class IndexCatalog:
         self.database = database
         self.root = (root or f"{shared_dir(spark)}/quarry-indexes").rstrip("/")
 
+    # Normalised names use '-', which the session catalog does not accept in
+    # table identifiers; normalised names never contain '_', so '-' <-> '_' is
+    # a lossless mapping between index names and table names.
+    def _table_name(self, index: str) -> str:
+        return f"{self.prefix}{normalize_name(index)}".replace("-", "_")
+
     def table(self, index: str) -> str:
-        return f"`{self.database}`.`{self.prefix}{normalize_name(index)}`"
+        return f"`{self.database}`.`{self._table_name(index)}`"
 
     def exists(self, index: str) -> bool:
-        name = f"{self.prefix}{normalize_name(index)}"
+        name = self._table_name(index)
         return any(t.name.lower() == name.lower() for t in self.spark.catalog.listTables(self.database))
 
     def _point(self, index: str, location: str) -> None:
@@ -62,9 +68,11 @@ class IndexCatalog:
         self._point(index, loc)
 
     def list(self) -> list[str]:
-        n = len(self.prefix)
-        return sorted(t.name[n:] for t in self.spark.catalog.listTables(self.database)
-                      if t.name.lower().startswith(self.prefix.lower()))
+        """Index names (prefix removed) of the tables whose name starts with
+        the prefix, compared case-insensitively."""
+        pre = self.prefix.replace("-", "_").lower()
+        return sorted(t.name[len(pre):].replace("_", "-") for t in self.spark.catalog.listTables(self.database)
+                      if t.name.lower().startswith(pre) and not t.isTemporary)
 
     def drop(self, index: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table(index)}")
