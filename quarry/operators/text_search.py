@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from quarry.functions.stopwords import FRENCH
 from quarry.functions.text import word_tokens
 
-MAX_BROADCAST_QUERY_LEXEMES = 2_000_000
+MAX_QUERY_LEXEMES = 500_000          # query-lexeme rows resolved on the driver per batch
+MAX_BROADCAST_CANDIDATES = 2_000_000  # (query, record) candidates broadcast into the scan
 COVER_WEIGHT = 0.1  # weight of an unlabelled (class D) lexeme
 
 
@@ -137,40 +138,66 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
     return F.aggregate(hits, init, step, lambda acc: acc["score"])
 
 
-def _rarest(qlex: DataFrame, stats: DataFrame) -> DataFrame:
-    """Per query its rarest lexeme and that lexeme's record count (0 when the
-    lexeme is in no record: the query cannot match)."""
-    r = (qlex.select("query_id", "lexeme").join(stats, "lexeme", "left")
-         .withColumn("df", F.coalesce("df", F.lit(0))))
-    w = Window.partitionBy("query_id").orderBy("df", "lexeme")
-    return r.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
-
-
-def candidates(index: LexemeIndex, qlex: DataFrame, max_broadcast: int = MAX_BROADCAST_QUERY_LEXEMES):
-    """``(query_id, id)`` records holding the query's rarest lexeme - a superset
-    of the AND matches, as small as the rarest posting list - and its size bound.
-
-    The rarest lexemes (one per query, a bounded set) come to the driver so
-    the posting lookup is a literal ``IN`` filter that reaches the scan."""
-    rare = [(r["query_id"], r["lexeme"], r["df"]) for r in _rarest(qlex, index.stats).collect()]
-    bound = sum(df for _, _, df in rare)
-    lex = sorted({lx for _, lx, df in rare if df > 0})
-    spark = qlex.sparkSession
-    rare_df = spark.createDataFrame([(q, lx) for q, lx, df in rare if df > 0],
-                                    T.StructType([qlex.schema["query_id"],
-                                                  T.StructField("lexeme", T.StringType())]))
-    postings = index.terms.where(F.col("lexeme").isin(lex)) if lex else index.terms.limit(0)
-    cands = postings.join(F.broadcast(rare_df), "lexeme").select("query_id", "id")
-    del max_broadcast
-    return cands, bound
-
-
-def _hits(index: LexemeIndex, qlex: DataFrame, cands: DataFrame, bound: int,
-          max_broadcast: int = MAX_BROADCAST_QUERY_LEXEMES) -> DataFrame:
+MAX_IN_LIST = 256  # literal IN lists above this size become a broadcast semi-join
+
+
+def keep_lexemes(df: DataFrame, lexemes_: list[str]) -> DataFrame:
+    """Rows whose ``lexeme`` is in the given (driver-side, bounded) set.
+
+    A short set is a literal ``IN`` (reaches Parquet min/max pruning of a
+    lexeme-sorted index); a long one is a broadcast left-semi join, which
+    Catalyst pushes below aggregations on ``lexeme`` like a filter."""
+    if not lexemes_:
+        return df.limit(0)
+    if len(lexemes_) <= MAX_IN_LIST:
+        return df.where(F.col("lexeme").isin(lexemes_))
+    keys = df.sparkSession.createDataFrame([(x,) for x in lexemes_], "lexeme string")
+    return df.join(F.broadcast(keys), "lexeme", "left_semi")
+
+
+class QueryPlan:
+    """A query batch resolved against an index: query lexemes (a small local
+    table), the lexeme set, and per query its rarest lexeme.
+
+    The query lexemes are bounded (checked against ``MAX_QUERY_LEXEMES``) and
+    come to the driver once; their set is then a literal ``IN`` filter that
+    Catalyst pushes below the index aggregations (or into the scan of a saved
+    index), so statistics and postings are read for these lexemes only."""
+
+    def __init__(self, index: LexemeIndex, queries: DataFrame, stemmer=None):
+        if _query_token_bound(queries) > MAX_QUERY_LEXEMES:
+            raise ValueError("query batch too large; split it into batches")
+        spark = queries.sparkSession
+        ql = query_lexemes(queries, stemmer)
+        rows = ql.collect()
+        self.qlex = spark.createDataFrame(rows, ql.schema)
+        self.lexset = sorted({r["lexeme"] for r in rows})
+        df = {r["lexeme"]: r["df"] for r in keep_lexemes(index.stats, self.lexset).collect()}
+        best: dict = {}
+        for r in rows:
+            key = (df.get(r["lexeme"], 0), r["lexeme"])
+            if r["query_id"] not in best or key < best[r["query_id"]]:
+                best[r["query_id"]] = key
+        self.rare = [(q, lx, d) for q, (d, lx) in best.items()]
+        self.bound = sum(d for _, _, d in self.rare)
+        rare_df = spark.createDataFrame([(q, lx) for q, lx, d in self.rare if d > 0],
+                                        T.StructType([ql.schema["query_id"],
+                                                      T.StructField("lexeme", T.StringType())]))
+        rare_lex = sorted({lx for _, lx, d in self.rare if d > 0})
+        postings = keep_lexemes(index.terms, rare_lex)
+        # records holding the query's rarest lexeme: a superset of the AND
+        # matches, as small as the rarest posting list
+        self.candidates = postings.join(F.broadcast(rare_df), "lexeme").select("query_id", "id")
+
+    def candidates_side(self) -> DataFrame:
+        return F.broadcast(self.candidates) if self.bound <= MAX_BROADCAST_CANDIDATES else self.candidates
+
+
+def _hits(index: LexemeIndex, plan: QueryPlan) -> DataFrame:
     """Sorted hit arrays of the candidate records that hold every query lexeme."""
-    c = F.broadcast(cands) if bound <= max_broadcast else cands
-    q = F.broadcast(qlex.select("query_id", "lexeme", "term", "n_terms"))
-    return (index.positions.join(c, "id")
+    q = F.broadcast(plan.qlex.select("query_id", "lexeme", "term", "n_terms"))
+    return (keep_lexemes(index.positions, plan.lexset)
+            .join(plan.candidates_side(), "id")
             .join(q, ["query_id", "lexeme"])
             .groupBy("query_id", "id")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"),
@@ -178,12 +205,12 @@ def _hits(index: LexemeIndex, qlex: DataFrame, cands: DataFrame, bound: int,
             .where(F.col("n_hit") == F.col("n_terms")))
 
 
-def text_matches(index: LexemeIndex, qlex: DataFrame) -> DataFrame:
+def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None) -> DataFrame:
     """``(query_id, id)`` pairs where the record holds every query lexeme."""
-    cands, bound = candidates(index, qlex)
-    verify = index.terms.select("id", "lexeme").join(
-        F.broadcast(cands) if bound <= MAX_BROADCAST_QUERY_LEXEMES else cands, "id")
-    return (verify.join(F.broadcast(qlex.select("query_id", "lexeme", "n_terms")), ["query_id", "lexeme"])
+    plan = QueryPlan(index, queries, stemmer)
+    verify = (keep_lexemes(index.terms.select("id", "lexeme"), plan.lexset)
+              .join(plan.candidates_side(), "id"))
+    return (verify.join(F.broadcast(plan.qlex.select("query_id", "lexeme", "n_terms")), ["query_id", "lexeme"])
             .groupBy("query_id", "id")
             .agg(F.count(F.lit(1)).alias("n_hit"), F.first("n_terms").alias("n_terms"))
             .where(F.col("n_hit") == F.col("n_terms"))
@@ -200,11 +227,7 @@ def text_search(records: DataFrame, queries: DataFrame, k: int | None = None, *,
     Pass a saved ``LexemeIndex`` to serve many query batches from one index.
     """
     index = index if index is not None else LexemeIndex.build(records, stemmer)
-    if _query_token_bound(queries) > MAX_BROADCAST_QUERY_LEXEMES:
-        raise ValueError("query batch too large for one broadcast; split it into batches")
-    qlex = query_lexemes(queries, stemmer)
-    cands, bound = candidates(index, qlex)
-    hits = _hits(index, qlex, cands, bound)
+    hits = _hits(index, QueryPlan(index, queries, stemmer))
     scored = hits.select("query_id", "id",
                          cover_density(F.col("hits"), F.col("n_terms")).alias("text_score"))
     if length_norm:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators.text_search import LexemeIndex, query_lexemes, text_matches, text_search
+from quarry.operators.text_search import LexemeIndex, text_matches, text_search
 from quarry.plans.common import QUERY_SET_CTE, RECORDS_CTE, rounded, tokens_cte
 from quarry.sources.tables import query_set, records
 
 
 def text_match_all(spark: SparkSession, sf: str) -> DataFrame:
     r, q = records(spark, sf), query_set(spark, sf)
-    return text_matches(LexemeIndex.build(r), query_lexemes(q))
+    return text_matches(LexemeIndex.build(r), q)
 
 
 def text_rank(spark: SparkSession, sf: str) -> DataFrame:
