@@ -74,10 +74,9 @@ def _candidates_schema(query_id_type: T.DataType) -> T.StructType:
     ])
 
 
-def _broadcast_candidates(recs: DataFrame, queries: DataFrame, k: int,
+def _broadcast_candidates(recs: DataFrame, qtab: pa.Table, k: int,
                           max_distance: float | None, qtype: T.DataType) -> DataFrame:
     spark = recs.sparkSession
-    qtab = queries.select("query_id", "query_vec").toArrow()
     qids = qtab.column("query_id").to_numpy(zero_copy_only=False)
     qmat = np.array([np.asarray(v, dtype=np.float64) for v in qtab.column("query_vec").to_pylist()])
     if qmat.ndim != 2:
@@ -153,14 +152,16 @@ def vector_candidates(records: DataFrame, queries: DataFrame, k: int, *,
     qtype = queries.schema["query_id"].dataType
     recs = records.where(F.col("embedding").isNotNull()).where(tags_filter(filters))
     max_distance = None if min_similarity is None else 1.0 - float(min_similarity)
-    stats = queries.select(F.count(F.lit(1)), F.max(F.size("query_vec"))).first()
-    n_queries, dim_probe = stats[0], stats[1] or 0
-    fits = (n_queries <= max_broadcast_queries
-            and n_queries * max(dim_probe, 1) * 8 <= MAX_BROADCAST_BYTES)
+    # one bounded read of the query block: at most max_broadcast_queries + 1 rows
+    qtab = queries.select("query_id", "query_vec").limit(max_broadcast_queries + 1).toArrow()
+    dim_probe = max((len(v) for v in qtab.column("query_vec").to_pylist() if v is not None), default=0)
+    fits = (qtab.num_rows <= max_broadcast_queries
+            and qtab.num_rows * max(dim_probe, 1) * 8 <= MAX_BROADCAST_BYTES)
     if fits:
-        cand = _broadcast_candidates(recs.where(F.size("embedding") == dim_probe), queries, k,
+        cand = _broadcast_candidates(recs.where(F.size("embedding") == dim_probe), qtab, k,
                                      max_distance, qtype)
     else:
+        n_queries = n_queries if n_queries is not None else queries.count()
         cand = _blocked_candidates(recs, queries, k, max_distance, qtype, n_queries,
                                    max_broadcast_queries)
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("id").asc())
