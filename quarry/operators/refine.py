@@ -19,12 +19,22 @@ def document_frequencies(corpus: DataFrame, key: str = "doc_id", text: str = "te
             .groupBy("lexeme").agg(F.count(F.lit(1)).alias("df")))
 
 
+MAX_QUESTION_LEXEMES = 2_000_000
+
+
 def refined_terms(questions: DataFrame, corpus: DataFrame, k: int = 5, key: str = "doc_id",
                   text: str = "text") -> DataFrame:
-    """``(query_id, term_rank, term, idf)`` for ``questions (query_id, query_text)``."""
+    """``(query_id, term_rank, term, idf)`` for ``questions (query_id, query_text)``.
+
+    Document frequencies are computed for the question lexemes only: a
+    broadcast semi-join (size checked) that Catalyst pushes below the
+    per-document distinct and the count, right after the tokenizer."""
     n_docs = corpus.count()  # one scalar, attached as a literal
-    dfs = document_frequencies(corpus, key, text)
     q = lexemes(questions, "query_id", "query_text").select("query_id", "lexeme").distinct()
+    vocab = q.select("lexeme").distinct()
+    if vocab.count() > MAX_QUESTION_LEXEMES:
+        raise ValueError("question batch too large; split it into batches")
+    dfs = document_frequencies(corpus, key, text).join(F.broadcast(vocab), "lexeme", "left_semi")
     scored = (q.join(dfs, "lexeme", "left")
               .withColumn("idf", F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.coalesce("df", F.lit(0))))))
     w = Window.partitionBy("query_id").orderBy(F.col("idf").desc(), F.col("lexeme"))

@@ -33,7 +33,9 @@ def _judged(spark, sf) -> DataFrame:
     flat = _flat(spark, sf)
     ql = emb.select(F.col("vec_id").alias("query_id"), F.col("label").alias("qlabel"))
     dl = emb.select(F.col("vec_id").cast("string").alias("document_id"), F.col("label").alias("dlabel"))
-    j = flat.join(F.broadcast(ql), "query_id", "left").join(dl, "document_id", "left")
+    # label lookups: Spark picks the join strategy from the (checked) sizes;
+    # the embeddings table is never broadcast on trust
+    j = flat.join(ql, "query_id", "left").join(dl, "document_id", "left")
     same = F.col("qlabel") == F.col("dlabel")
     return j.withColumn("is_relevant", F.when(same & (F.col("rank") <= 3), 3)
                         .when(same, 1).otherwise(0))
