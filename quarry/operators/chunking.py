@@ -284,3 +284,12 @@ def token_pack(sections: DataFrame, max_tokens: int = 1000, key: str = "doc_id")
                          "header_1", "header_2", "header_3").select(
         key, "section_no", "chunk_no", F.col("c.text").alias("text"), F.col("c.n").alias("n_tokens"),
         "header_1", "header_2", "header_3")
+
+
+def dedup_by_hash(chunk_rows: DataFrame) -> DataFrame:
+    """One row per distinct chunk content: ``(content_sha256, id, n_copies)``
+    keeping the smallest id.  A hash aggregation with partial combine, so a
+    hash shared by a third of all chunks is pre-aggregated on every mapper
+    and never collected in one task."""
+    return (chunk_rows.groupBy("content_sha256")
+            .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies")))

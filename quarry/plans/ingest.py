@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_text, content_sha256, normalize_index_name, normalize_table_prefix
-from quarry.operators.chunking import (chunk_records, fixed_window_chunks, html_to_markdown,
+from quarry.operators.chunking import (chunk_records, dedup_by_hash, fixed_window_chunks, html_to_markdown,
                                        markdown_sections, merge_by_heading, recursive_chunks,
                                        token_pack)
 from quarry.operators.margins import blocks_from_lines, remove_repeated_margins, repeated_margins
@@ -32,6 +32,10 @@ def chunk_records_q(spark: SparkSession, sf: str) -> DataFrame:
                     "mime_type", "content_sha256")
 
 
+def dedup_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_by_hash(chunk_records(fixed_window_chunks(_docs(spark, sf))))
+
+
 def recursive_chunks_q(spark: SparkSession, sf: str) -> DataFrame:
     c = recursive_chunks(_docs(spark, sf))
     return c.select("doc_id", "partition_number", F.length("text").alias("chunk_len"),
@@ -226,6 +230,10 @@ SELECT md5(CAST(doc_id AS VARCHAR) || '/' || CAST(partition_number AS VARCHAR))
        CAST(doc_id AS VARCHAR) || '.partition.' || CAST(partition_number AS VARCHAR) || '.txt' AS name,
        length(chunk) AS size, partition_number, CAST(0 AS BIGINT) AS section_number, 'text/plain' AS mime_type,
        sha256(chunk) AS content_sha256 FROM c""",
+    "dedup_chunks": f"""WITH {_WINDOWS}
+SELECT sha256(chunk) AS content_sha256,
+       min(md5(CAST(doc_id AS VARCHAR) || '/' || CAST(partition_number AS VARCHAR))) AS id,
+       count(*) AS n_copies FROM c GROUP BY 1""",
     "heading_sections": f"""WITH {_SECTIONS}
 SELECT page_id, section_no, header_1, header_2, header_3, length(content) AS content_len,
        sha256(content) AS content_sha256 FROM sections""",
@@ -264,6 +272,7 @@ QUERIES = {
     "fixed_window_chunks": fixed_window_chunks_q,
     "chunk_records": chunk_records_q,
     "recursive_chunks": recursive_chunks_q,
+    "dedup_chunks": dedup_chunks,
     "heading_sections": heading_sections,
     "merge_by_heading": merge_by_heading_q,
     "token_pack": token_pack_q,

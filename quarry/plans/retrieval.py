@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.store import list_records
-from quarry.operators.vector_search import vector_search
+from quarry.functions.text import payload_field
+from quarry.operators.vector_search import approx_vector_search, vector_search
 from quarry.plans.common import QUERY_SET_CTE, RECORDS_CTE, SCORED_CTE, rounded
 from quarry.functions.tags import tags_filter
 from quarry.sources.tables import query_set, records
@@ -62,6 +63,17 @@ def list_page(spark: SparkSession, sf: str) -> DataFrame:
         "id", "tags", "payload")
 
 
+def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
+    r = records(spark, sf)
+    return r.select("id", payload_field("source").alias("source"),
+                    payload_field("n_chars").cast("bigint").alias("n_chars"))
+
+
+def approx_vector_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    out = approx_vector_search(records(spark, sf), query_set(spark, sf), 5, min_similarity=-1.0)
+    return out.select("query_id", "id", rounded("distance"), "rank")
+
+
 _VEC_SELECT = """SELECT query_id, id, round(distance, 6) + 0.0 AS distance,
        round(1 - distance, 6) + 0.0 AS similarity, rank"""
 
@@ -88,6 +100,9 @@ SELECT id, content FROM records r WHERE {FILTERS_SQL}""",
 SELECT id, payload FROM records r
 WHERE EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1
               AND list_contains(r.tags, '__document_id:' || CAST(l.doc_id AS VARCHAR)))""",
+    "payload_fields": f"""WITH {RECORDS_CTE}
+SELECT id, json_extract_string(payload, '$.source') AS source,
+       CAST(json_extract_string(payload, '$.n_chars') AS BIGINT) AS n_chars FROM records""",
     "list_page": f"""WITH {RECORDS_CTE}
 SELECT id, tags, payload FROM records r WHERE list_has_all(r.tags, ['lang:en'])
 ORDER BY id LIMIT 25 OFFSET 10""",
@@ -102,4 +117,6 @@ QUERIES = {
     "tag_filter_any": tag_filter_any,
     "filter_by_document": filter_by_document,
     "list_page": list_page,
+    "payload_fields": payload_fields,
+    "approx_vector_top_k": approx_vector_top_k,
 }
