@@ -125,3 +125,24 @@ def test_reduce_history_fixture(spark):
     assert si == [t for t in range(14) if t != 5]
     short = reduce_history(msgs.where("turn < 4"), 5).collect()
     assert {r.kind for r in short} == {"kept"}
+
+
+def test_append_turn_and_clean(spark):
+    from quarry.operators.history import append_turn, clean_history, history_tail
+    msgs = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "  "), (2, 0, "user", None)],
+                                 "conv_id int, turn int, role string, text string")
+    assert sorted((r.conv_id, r.turn) for r in clean_history(msgs).collect()) == [(1, 0)]
+    turns = spark.createDataFrame([(1, "u2", "a2"), (3, "u", "a")], "conv_id int, user_text string, assistant_text string")
+    out = sorted((r.conv_id, r.turn, r.role, r.text) for r in append_turn(msgs, turns).collect()
+                 if r.text in ("u2", "a2", "u", "a"))
+    assert out == [(1, 2, "user", "u2"), (1, 3, "assistant", "a2"), (3, 0, "user", "u"), (3, 1, "assistant", "a")]
+    assert sorted(r.turn for r in history_tail(msgs, 1).collect()) == [0, 1]
+
+
+def test_format_fact_and_dedup(spark):
+    from quarry.functions.text import format_fact
+    from quarry.operators.chunking import dedup_by_hash
+    df = spark.createDataFrame([("2024-01-01", "s.txt", "body")], "u string, s string, c string")
+    assert df.select(format_fact("u", "s", "c")).first()[0] == "=== Last update:2024-01-01 ===\nSource:s.txt\nbody\n"
+    rows = spark.createDataFrame([("b", "h1"), ("a", "h1"), ("c", "h2")], "id string, content_sha256 string")
+    assert sorted(map(tuple, dedup_by_hash(rows).collect())) == [("h1", "a", 2), ("h2", "c", 1)]
