@@ -193,16 +193,26 @@ class QueryPlan:
         return F.broadcast(self.candidates) if self.bound <= MAX_BROADCAST_CANDIDATES else self.candidates
 
 
-def _hits(index: LexemeIndex, plan: QueryPlan) -> DataFrame:
-    """Sorted hit arrays of the candidate records that hold every query lexeme."""
+def _hits(index: LexemeIndex, plan: QueryPlan, with_lengths: bool = False) -> DataFrame:
+    """Sorted hit arrays of the candidate records that hold every query lexeme,
+    in one aggregation per ``(query_id, id)`` (the number of distinct terms is
+    read off the array, so no second distinct-aggregation level).
+
+    ``with_lengths`` also counts every lexeme position of the candidate (the
+    normalisation length) in the same pass, instead of aggregating lengths of
+    the whole index."""
     q = F.broadcast(plan.qlex.select("query_id", "lexeme", "term", "n_terms"))
-    return (keep_lexemes(index.positions, plan.lexset)
-            .join(plan.candidates_side(), "id")
-            .join(q, ["query_id", "lexeme"])
-            .groupBy("query_id", "id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("hits"),
-                 F.count_distinct("term").alias("n_hit"), F.first("n_terms").alias("n_terms"))
-            .where(F.col("n_hit") == F.col("n_terms")))
+    pos = index.positions if with_lengths else keep_lexemes(index.positions, plan.lexset)
+    joined = pos.join(plan.candidates_side(), "id").join(q, ["query_id", "lexeme"],
+                                                         "left" if with_lengths else "inner")
+    n_terms = F.first("n_terms", ignorenulls=True) if with_lengths else F.first("n_terms")
+    aggs = [F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("pos", "term"))))
+            .alias("hits"), n_terms.alias("n_terms")]
+    if with_lengths:
+        aggs.append(F.count(F.lit(1)).alias("n_pos"))
+    out = joined.groupBy("query_id", "id").agg(*aggs)
+    n_hit = F.size(F.array_distinct(F.transform("hits", lambda h: h["term"])))
+    return out.where(n_hit == F.col("n_terms"))
 
 
 def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None) -> DataFrame:
@@ -227,13 +237,11 @@ def text_search(records: DataFrame, queries: DataFrame, k: int | None = None, *,
     Pass a saved ``LexemeIndex`` to serve many query batches from one index.
     """
     index = index if index is not None else LexemeIndex.build(records, stemmer)
-    hits = _hits(index, QueryPlan(index, queries, stemmer))
-    scored = hits.select("query_id", "id",
-                         cover_density(F.col("hits"), F.col("n_terms")).alias("text_score"))
+    hits = _hits(index, QueryPlan(index, queries, stemmer), with_lengths=length_norm)
+    score = cover_density(F.col("hits"), F.col("n_terms"))
     if length_norm:
-        scored = (scored.join(index.lengths, "id")
-                  .withColumn("text_score", F.col("text_score") / F.log(F.col("n_pos") + F.lit(1.0)))
-                  .drop("n_pos"))
+        score = score / F.log(F.col("n_pos") + F.lit(1.0))
+    scored = hits.select("query_id", "id", score.alias("text_score"))
     w = Window.partitionBy("query_id").orderBy(F.col("text_score").desc(), F.col("id").asc())
     ranked = scored.withColumn("text_rank", F.row_number().over(w))
     if k is not None and k > 0:

@@ -23,8 +23,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if widen else df
 
 
 def records_from(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -46,7 +47,10 @@ def records_from(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records_from(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "embeddings"))
+    # the documents carry the per-row work; the embeddings side of the join is
+    # left as scanned (Spark broadcasts it when its size allows)
+    return records_from(read_table(spark, sf_dir, "documents"),
+                        read_table(spark, sf_dir, "embeddings", widen=False))
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +58,8 @@ def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The text is the whole passage; the vector is the embedding with
     ``vec_id = item_id``."""
-    b = read_table(spark, sf_dir, "benchmark").alias("b")
-    e = read_table(spark, sf_dir, "embeddings").alias("e")
+    b = read_table(spark, sf_dir, "benchmark", widen=False).alias("b")
+    e = read_table(spark, sf_dir, "embeddings", widen=False).alias("e")
     return (b.join(e, F.col("b.item_id") == F.col("e.vec_id"))
             .select(F.col("b.item_id").alias("query_id"), F.col("b.text").alias("query_text"),
                     F.col("e.embedding").alias("query_vec")))
