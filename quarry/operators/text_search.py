@@ -141,17 +141,20 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
 MAX_IN_LIST = 256  # literal IN lists above this size become a broadcast semi-join
 
 
-def keep_lexemes(df: DataFrame, lexemes_: list[str]) -> DataFrame:
+def keep_lexemes(df: DataFrame, lexemes_: list[str], keys: DataFrame | None = None) -> DataFrame:
     """Rows whose ``lexeme`` is in the given (driver-side, bounded) set.
 
     A short set is a literal ``IN`` (reaches Parquet min/max pruning of a
-    lexeme-sorted index); a long one is a broadcast left-semi join, which
-    Catalyst pushes below aggregations on ``lexeme`` like a filter."""
+    lexeme-sorted index); a long one is a broadcast left-semi join against
+    ``keys`` (a one-column local table of the set), which Catalyst pushes
+    below aggregations on ``lexeme`` like a filter."""
     if not lexemes_:
         return df.limit(0)
     if len(lexemes_) <= MAX_IN_LIST:
         return df.where(F.col("lexeme").isin(lexemes_))
-    keys = df.sparkSession.createDataFrame([(x,) for x in lexemes_], "lexeme string")
+    if keys is None:
+        import pandas as pd
+        keys = df.sparkSession.createDataFrame(pd.DataFrame({"lexeme": lexemes_}), "lexeme string")
     return df.join(F.broadcast(keys), "lexeme", "left_semi")
 
 
@@ -159,32 +162,34 @@ class QueryPlan:
     """A query batch resolved against an index: query lexemes (a small local
     table), the lexeme set, and per query its rarest lexeme.
 
-    The query lexemes are bounded (checked against ``MAX_QUERY_LEXEMES``) and
-    come to the driver once; their set is then a literal ``IN`` filter that
-    Catalyst pushes below the index aggregations (or into the scan of a saved
-    index), so statistics and postings are read for these lexemes only."""
+    The query lexemes are bounded (at most ``MAX_QUERY_LEXEMES`` rows are ever
+    read) and come to the driver once as Arrow; their set is then a literal
+    ``IN`` filter or a broadcast semi-join that Catalyst pushes below the index
+    aggregations (or into the scan of a saved index), so statistics and
+    postings are read for these lexemes only."""
 
     def __init__(self, index: LexemeIndex, queries: DataFrame, stemmer=None):
-        if _query_token_bound(queries) > MAX_QUERY_LEXEMES:
-            raise ValueError("query batch too large; split it into batches")
+        import pandas as pd
+
         spark = queries.sparkSession
         ql = query_lexemes(queries, stemmer)
-        rows = ql.collect()
-        self.qlex = spark.createDataFrame(rows, ql.schema)
-        self.lexset = sorted({r["lexeme"] for r in rows})
-        df = {r["lexeme"]: r["df"] for r in keep_lexemes(index.stats, self.lexset).collect()}
-        best: dict = {}
-        for r in rows:
-            key = (df.get(r["lexeme"], 0), r["lexeme"])
-            if r["query_id"] not in best or key < best[r["query_id"]]:
-                best[r["query_id"]] = key
-        self.rare = [(q, lx, d) for q, (d, lx) in best.items()]
-        self.bound = sum(d for _, _, d in self.rare)
-        rare_df = spark.createDataFrame([(q, lx) for q, lx, d in self.rare if d > 0],
+        pdf = ql.limit(MAX_QUERY_LEXEMES + 1).toPandas()
+        if len(pdf) > MAX_QUERY_LEXEMES:
+            raise ValueError("query batch too large; split it into batches")
+        self.qlex = spark.createDataFrame(pdf, ql.schema)
+        self.lexset = sorted(pdf["lexeme"].unique().tolist())
+        self.keys = (spark.createDataFrame(pd.DataFrame({"lexeme": self.lexset}), "lexeme string")
+                     if len(self.lexset) > MAX_IN_LIST else None)
+        stats = keep_lexemes(index.stats, self.lexset, self.keys).toPandas()
+        m = pdf[["query_id", "lexeme"]].merge(stats, on="lexeme", how="left")
+        m["df"] = m["df"].fillna(0).astype("int64")
+        rare = m.sort_values(["query_id", "df", "lexeme"]).drop_duplicates("query_id")
+        self.bound = int(rare["df"].sum())
+        hit = rare[rare["df"] > 0]
+        rare_df = spark.createDataFrame(hit[["query_id", "lexeme"]],
                                         T.StructType([ql.schema["query_id"],
                                                       T.StructField("lexeme", T.StringType())]))
-        rare_lex = sorted({lx for _, lx, d in self.rare if d > 0})
-        postings = keep_lexemes(index.terms, rare_lex)
+        postings = keep_lexemes(index.terms, sorted(hit["lexeme"].unique().tolist()))
         # records holding the query's rarest lexeme: a superset of the AND
         # matches, as small as the rarest posting list
         self.candidates = postings.join(F.broadcast(rare_df), "lexeme").select("query_id", "id")
@@ -202,7 +207,7 @@ def _hits(index: LexemeIndex, plan: QueryPlan, with_lengths: bool = False) -> Da
     normalisation length) in the same pass, instead of aggregating lengths of
     the whole index."""
     q = F.broadcast(plan.qlex.select("query_id", "lexeme", "term", "n_terms"))
-    pos = index.positions if with_lengths else keep_lexemes(index.positions, plan.lexset)
+    pos = index.positions if with_lengths else keep_lexemes(index.positions, plan.lexset, plan.keys)
     joined = pos.join(plan.candidates_side(), "id").join(q, ["query_id", "lexeme"],
                                                          "left" if with_lengths else "inner")
     n_terms = F.first("n_terms", ignorenulls=True) if with_lengths else F.first("n_terms")
@@ -218,7 +223,7 @@ def _hits(index: LexemeIndex, plan: QueryPlan, with_lengths: bool = False) -> Da
 def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None) -> DataFrame:
     """``(query_id, id)`` pairs where the record holds every query lexeme."""
     plan = QueryPlan(index, queries, stemmer)
-    verify = (keep_lexemes(index.terms.select("id", "lexeme"), plan.lexset)
+    verify = (keep_lexemes(index.terms.select("id", "lexeme"), plan.lexset, plan.keys)
               .join(plan.candidates_side(), "id"))
     return (verify.join(F.broadcast(plan.qlex.select("query_id", "lexeme", "n_terms")), ["query_id", "lexeme"])
             .groupBy("query_id", "id")
