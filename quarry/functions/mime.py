@@ -125,3 +125,10 @@ def is_supported(mime: str | Column) -> Column:
 
 def loader_for(mime: str | Column) -> Column:
     return F.element_at(_literal_map(LOADER_BY_TYPE), _c(mime))
+
+
+def mime_from_name_strict(c: str | Column) -> Column:
+    """As ``mime_from_name`` but an unknown suffix fails the job with
+    ``File type not supported: <name>`` (the loader's strict lookup)."""
+    m = mime_from_name(c)
+    return F.when(m.isNull(), F.raise_error(F.concat(F.lit("File type not supported: "), _c(c)))).otherwise(m)

@@ -53,3 +53,12 @@ def test_cosine(spark):
                                "a array<double>, b array<double>")
     d = [round(r[0], 9) for r in df.select(cosine_distance("a", "b")).collect()]
     assert d == [1.0, 0.0]
+
+
+def test_mime_strict(spark):
+    import pytest
+    from quarry.functions.mime import mime_from_name_strict
+    ok = spark.createDataFrame([("a.docx",)], "x string").select(mime_from_name_strict("x")).first()[0]
+    assert ok.endswith("wordprocessingml.document")
+    with pytest.raises(Exception, match="File type not supported"):
+        spark.createDataFrame([("a.xyz",)], "x string").select(mime_from_name_strict("x")).collect()

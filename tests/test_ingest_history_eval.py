@@ -146,3 +146,17 @@ def test_format_fact_and_dedup(spark):
     assert df.select(format_fact("u", "s", "c")).first()[0] == "=== Last update:2024-01-01 ===\nSource:s.txt\nbody\n"
     rows = spark.createDataFrame([("b", "h1"), ("a", "h1"), ("c", "h2")], "id string, content_sha256 string")
     assert sorted(map(tuple, dedup_by_hash(rows).collect())) == [("h1", "a", 2), ("h2", "c", 1)]
+
+
+def test_reduce_history_multi_summary(spark):
+    # two earlier summaries, then system-less dialogue of 10 messages
+    rows = [(1, 0, "assistant", "s0", False, True), (1, 1, "assistant", "s1", False, True)]
+    rows += [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}", False, False) for t in range(2, 12)]
+    msgs = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, "
+                                       "has_function_item boolean, is_summary boolean")
+    out = reduce_history(msgs, 4, summary_count=2).orderBy("out_pos").collect()
+    # n=12, t=4 -> threshold index 8 > insertion 2; cut starts at 8 (a user message)
+    assert [(r.kind, r.turn) for r in out] == [("summary_prior", 0), ("summary_prior", 1), ("summary", None),
+                                               ("tail", 8), ("tail", 9), ("tail", 10), ("tail", 11)]
+    si = sorted(r.turn for r in summary_input(msgs, 4, summary_count=2).collect())
+    assert si == list(range(2, 8))
