@@ -120,3 +120,39 @@ def test_token_pack_matches_brute_force(spark):
     docs = spark.createDataFrame([(1, "# H\n" + "\n".join(lines))], "doc_id int, text string")
     got = [r.text for r in token_pack(markdown_sections(docs), 10).orderBy("chunk_no").collect()]
     assert got == _pack(lines, 10)
+
+
+def test_saved_index_equals_lazy(spark, tmp_path):
+    from quarry.operators import text_search as ts
+    from quarry.sources.tables import query_set, records
+    sf = "/root/testdata/sf0.001"
+    r, q = records(spark, sf), query_set(spark, sf)
+    lazy = {(x.query_id, x.id, round(x.text_score, 9)) for x in ts.text_search(r, q).collect()}
+    saved = ts.LexemeIndex.build(r).save(str(tmp_path / "idx"), n_files=4)
+    got = {(x.query_id, x.id, round(x.text_score, 9)) for x in ts.text_search(r, q, index=saved).collect()}
+    assert got == lazy and len(lazy) > 0
+    # the short-set path (literal IN) and the long-set path (semi-join) agree
+    few = sorted({x.lexeme for x in saved.terms.select("lexeme").distinct().limit(300).collect()})
+    a = ts.keep_lexemes(saved.terms, few[:100]).count()
+    b = ts.keep_lexemes(saved.terms, few[:100] + ["zz-not-a-word-%d" % i for i in range(300)]).count()
+    assert a == b
+
+
+def test_sinks_and_pairs(spark, tmp_path):
+    from quarry.functions.tags import tags_to_pairs
+    from quarry.sources.files import history_file_stem, write_chunks, write_history
+    df = spark.createDataFrame([({"type": "news", "lang": "fr"},)], "m map<string,string>")
+    assert sorted(df.select(tags_to_pairs("m")).first()[0]) == ["lang:fr", "type:news"]
+    chunks = spark.createDataFrame([("p1", 0, "a"), ("p1", 1, "b"), ("p2", 0, "c")],
+                                   "parent_id string, partition_number int, text string")
+    write_chunks(chunks, str(tmp_path / "chunks"))
+    back = spark.read.parquet(str(tmp_path / "chunks"))
+    assert sorted((r.parent_id, r.text) for r in back.collect()) == [("p1", "a"), ("p1", "b"), ("p2", "c")]
+    msgs = spark.createDataFrame([("c1", 0, "user", "hi", {}), ("c1", 1, "assistant", "yo", {"k": "v"})],
+                                 "conv_id string, turn int, role string, text string, metadata map<string,string>")
+    write_history(msgs, str(tmp_path / "hist"))
+    assert spark.read.json(str(tmp_path / "hist")).count() == 2
+    stem = spark.range(1).select(history_file_stem()).first()[0]
+    assert stem.startswith("ChatHistory-") and stem.endswith(".json") and len(stem) == len("ChatHistory-dd-MM-yy-HHmm.json")
+    assert spark.range(1).select(history_file_stem("notes")).first()[0] == "notes.json"
+    assert spark.range(1).select(history_file_stem("notes.txt")).first()[0] == "notes.txt"
