@@ -32,9 +32,10 @@ def refined_terms(questions: DataFrame, corpus: DataFrame, k: int = 5, key: str
     n_docs = corpus.count()  # one scalar, attached as a literal
     q = lexemes(questions, "query_id", "query_text").select("query_id", "lexeme").distinct()
     vocab = q.select("lexeme").distinct()
-    if vocab.count() > MAX_QUESTION_LEXEMES:
-        raise ValueError("question batch too large; split it into batches")
-    dfs = document_frequencies(corpus, key, text).join(F.broadcast(vocab), "lexeme", "left_semi")
+    # broadcast only a vocabulary of checked size; beyond it a shuffle semi-join
+    small = vocab.limit(MAX_QUESTION_LEXEMES + 1).count() <= MAX_QUESTION_LEXEMES
+    dfs = document_frequencies(corpus, key, text).join(F.broadcast(vocab) if small else vocab,
+                                                       "lexeme", "left_semi")
     scored = (q.join(dfs, "lexeme", "left")
               .withColumn("idf", F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.coalesce("df", F.lit(0))))))
     w = Window.partitionBy("query_id").orderBy(F.col("idf").desc(), F.col("lexeme"))

@@ -97,12 +97,6 @@ def query_lexemes(queries: DataFrame, stemmer=None) -> DataFrame:
             .withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id"))))
 
 
-def _query_token_bound(queries: DataFrame) -> int:
-    """Upper bound of the query-lexeme rows (tokens of all query texts)."""
-    n = queries.select(F.sum(F.size(word_tokens("query_text")))).first()[0]
-    return int(n or 0)
-
-
 def cover_density(hits: Column, n_terms: Column) -> Column:
     """Sum over minimal covers of ``0.1 / (1 + noise)``.
 
@@ -168,14 +162,17 @@ class QueryPlan:
     aggregations (or into the scan of a saved index), so statistics and
     postings are read for these lexemes only."""
 
-    def __init__(self, index: LexemeIndex, queries: DataFrame, stemmer=None):
+    def __init__(self, index: LexemeIndex, queries: DataFrame, stemmer=None,
+                 max_query_lexemes: int = MAX_QUERY_LEXEMES):
         import pandas as pd
 
         spark = queries.sparkSession
         ql = query_lexemes(queries, stemmer)
-        pdf = ql.limit(MAX_QUERY_LEXEMES + 1).toPandas()
-        if len(pdf) > MAX_QUERY_LEXEMES:
-            raise ValueError("query batch too large; split it into batches")
+        pdf = ql.limit(max_query_lexemes + 1).toPandas()
+        if len(pdf) > max_query_lexemes:
+            self._distributed(index, ql)
+            return
+        self.distributed = False
         self.qlex = spark.createDataFrame(pdf, ql.schema)
         self.lexset = sorted(pdf["lexeme"].unique().tolist())
         self.keys = (spark.createDataFrame(pd.DataFrame({"lexeme": self.lexset}), "lexeme string")
@@ -194,8 +191,37 @@ class QueryPlan:
         # matches, as small as the rarest posting list
         self.candidates = postings.join(F.broadcast(rare_df), "lexeme").select("query_id", "id")
 
+    def _distributed(self, index: LexemeIndex, ql: DataFrame) -> None:
+        """Beyond the driver bound nothing is collected: the query lexemes stay
+        a DataFrame, the rarest lexeme comes from a window over the join with
+        the statistics, and every join is a shuffle join whose skewed
+        partitions adaptive execution splits."""
+        self.distributed = True
+        self.qlex = ql
+        self.lexset, self.keys, self.bound = None, None, None
+        vocab = ql.select("lexeme").distinct()
+        stats = index.stats.join(vocab, "lexeme", "left_semi")
+        r = (ql.select("query_id", "lexeme").join(stats, "lexeme", "left")
+             .withColumn("df", F.coalesce("df", F.lit(0))))
+        w = Window.partitionBy("query_id").orderBy("df", "lexeme")
+        rare = (r.withColumn("__r", F.row_number().over(w))
+                .where((F.col("__r") == 1) & (F.col("df") > 0)).select("query_id", "lexeme"))
+        self.candidates = index.terms.join(rare, "lexeme").select("query_id", "id")
+
+    def restrict(self, df: DataFrame) -> DataFrame:
+        """``df`` limited to the query lexemes."""
+        if self.distributed:
+            return df.join(self.qlex.select("lexeme").distinct(), "lexeme", "left_semi")
+        return keep_lexemes(df, self.lexset, self.keys)
+
+    def lexeme_side(self, cols) -> DataFrame:
+        q = self.qlex.select(*cols)
+        return q if self.distributed else F.broadcast(q)
+
     def candidates_side(self) -> DataFrame:
-        return F.broadcast(self.candidates) if self.bound <= MAX_BROADCAST_CANDIDATES else self.candidates
+        if self.distributed or self.bound > MAX_BROADCAST_CANDIDATES:
+            return self.candidates
+        return F.broadcast(self.candidates)
 
 
 def _hits(index: LexemeIndex, plan: QueryPlan, with_lengths: bool = False) -> DataFrame:
@@ -206,8 +232,8 @@ def _hits(index: LexemeIndex, plan: QueryPlan, with_lengths: bool = False) -> Da
     ``with_lengths`` also counts every lexeme position of the candidate (the
     normalisation length) in the same pass, instead of aggregating lengths of
     the whole index."""
-    q = F.broadcast(plan.qlex.select("query_id", "lexeme", "term", "n_terms"))
-    pos = index.positions if with_lengths else keep_lexemes(index.positions, plan.lexset, plan.keys)
+    q = plan.lexeme_side(["query_id", "lexeme", "term", "n_terms"])
+    pos = index.positions if with_lengths else plan.restrict(index.positions)
     joined = pos.join(plan.candidates_side(), "id").join(q, ["query_id", "lexeme"],
                                                          "left" if with_lengths else "inner")
     n_terms = F.first("n_terms", ignorenulls=True) if with_lengths else F.first("n_terms")
@@ -220,12 +246,12 @@ def _hits(index: LexemeIndex, plan: QueryPlan, with_lengths: bool = False) -> Da
     return out.where(n_hit == F.col("n_terms"))
 
 
-def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None) -> DataFrame:
+def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None,
+                 max_query_lexemes: int = MAX_QUERY_LEXEMES) -> DataFrame:
     """``(query_id, id)`` pairs where the record holds every query lexeme."""
-    plan = QueryPlan(index, queries, stemmer)
-    verify = (keep_lexemes(index.terms.select("id", "lexeme"), plan.lexset, plan.keys)
-              .join(plan.candidates_side(), "id"))
-    return (verify.join(F.broadcast(plan.qlex.select("query_id", "lexeme", "n_terms")), ["query_id", "lexeme"])
+    plan = QueryPlan(index, queries, stemmer, max_query_lexemes)
+    verify = plan.restrict(index.terms.select("id", "lexeme")).join(plan.candidates_side(), "id")
+    return (verify.join(plan.lexeme_side(["query_id", "lexeme", "n_terms"]), ["query_id", "lexeme"])
             .groupBy("query_id", "id")
             .agg(F.count(F.lit(1)).alias("n_hit"), F.first("n_terms").alias("n_terms"))
             .where(F.col("n_hit") == F.col("n_terms"))
@@ -234,7 +260,8 @@ def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None) -> DataFr
 
 def text_search(records: DataFrame, queries: DataFrame, k: int | None = None, *,
                 length_norm: bool = False, stemmer=None,
-                index: LexemeIndex | None = None) -> DataFrame:
+                index: LexemeIndex | None = None,
+                max_query_lexemes: int = MAX_QUERY_LEXEMES) -> DataFrame:
     """``(query_id, id, text_score, text_rank)``; ``text_rank`` orders by score
     desc then id. ``k`` keeps the first k per query (``None``/``<=0``: all).
 
@@ -242,7 +269,7 @@ def text_search(records: DataFrame, queries: DataFrame, k: int | None = None, *,
     Pass a saved ``LexemeIndex`` to serve many query batches from one index.
     """
     index = index if index is not None else LexemeIndex.build(records, stemmer)
-    hits = _hits(index, QueryPlan(index, queries, stemmer), with_lengths=length_norm)
+    hits = _hits(index, QueryPlan(index, queries, stemmer, max_query_lexemes), with_lengths=length_norm)
     score = cover_density(F.col("hits"), F.col("n_terms"))
     if length_norm:
         score = score / F.log(F.col("n_pos") + F.lit(1.0))

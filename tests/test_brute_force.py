@@ -106,3 +106,18 @@ def test_reduce_history_random_and_hot(spark):
             want += [("function", i) for i in range(cut) if msgs[i][1] and i != first_sys]
             want += [("tail", i) for i in range(cut, len(msgs)) if i != first_sys]
             assert [(r.kind, r.turn) for r in got] == want
+
+
+def test_text_search_distributed_path_matches(spark):
+    from quarry.operators.text_search import LexemeIndex, text_matches
+    from quarry.sources.tables import query_set, records
+    sf = "/root/testdata/sf0.001"
+    r, q = records(spark, sf), query_set(spark, sf)
+    a = {(x.query_id, x.id, round(x.text_score, 9)) for x in text_search(r, q, length_norm=True).collect()}
+    b = {(x.query_id, x.id, round(x.text_score, 9))
+         for x in text_search(r, q, length_norm=True, max_query_lexemes=10).collect()}
+    assert a == b and a
+    idx = LexemeIndex.build(r)
+    m1 = {tuple(x) for x in text_matches(idx, q).collect()}
+    m2 = {tuple(x) for x in text_matches(idx, q, max_query_lexemes=10).collect()}
+    assert m1 == m2
