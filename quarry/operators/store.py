@@ -67,9 +67,13 @@ def with_defaults(records: DataFrame) -> DataFrame:
 
 
 def latest_per_id(incoming: DataFrame, seq: str | None = None) -> DataFrame:
-    """One row per id; with a sequence column the highest one wins."""
+    """One row per id; with a sequence column the highest one wins.  Without
+    one the choice is still deterministic (the greatest row), so a retried
+    task after a lost executor picks the same row."""
     if seq is None:
-        return incoming.dropDuplicates(["id"])
+        cols = [c for c in incoming.columns if c != "id"]
+        return (incoming.groupBy("id").agg(F.max(F.struct(*cols)).alias("__r"))
+                .select("id", *[F.col("__r")[c].alias(c) for c in cols]))
     w = Window.partitionBy("id").orderBy(F.col(seq).desc())
     return (incoming.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
             .drop("__rn", seq))
