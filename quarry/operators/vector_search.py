@@ -44,7 +44,6 @@ def _batch_top(dist: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int,
     """dist is (n_records, n_queries). Returns the per-query top-k of this batch
     (all ties at the cut are kept so the final cut can break them by id)."""
     out_q, out_id, out_d = [], [], []
-    n = dist.shape[0]
     for j in range(dist.shape[1]):
         col = dist[:, j]
         keep = ~np.isnan(col)
@@ -62,7 +61,6 @@ def _batch_top(dist: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int,
         out_d.append(col[idx])
     if not out_q:
         return None
-    del n
     return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_d)
 
 

@@ -17,10 +17,6 @@ def rounded(c: str | Column, name: str | None = None) -> Column:
     return out.alias(name or (c if isinstance(c, str) else "value"))
 
 
-def select_rounded(df: DataFrame, *float_cols: str) -> DataFrame:
-    return df.select(*[rounded(c) if c in float_cols else F.col(c) for c in df.columns])
-
-
 # DuckDB fragments ------------------------------------------------------------
 
 RECORDS_CTE = """records AS (

@@ -205,9 +205,6 @@ _CLEAN_SQL = r"""array_to_string(list_filter(list_transform(
         lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10)), '\n\n+'),
     lambda p: replace(regexp_replace(p, '^\n+|\n+$', '', 'g'), chr(10), ' ')), lambda p: p <> ''), chr(10))"""
 
-_MIME_CASES = None  # filled below from the fixed table
-
-
 def _mime_sql() -> str:
     from quarry.functions.mime import EXTENSION_TYPES, LOADER_BY_TYPE, SUPPORTED_TYPES
     ext_map = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in EXTENSION_TYPES.items()) + "}"

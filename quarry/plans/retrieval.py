@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.store import list_records
+from quarry.operators.store import list_records, records_of_documents
 from quarry.functions.text import payload_field
 from quarry.operators.vector_search import approx_vector_search, vector_search
 from quarry.plans.common import QUERY_SET_CTE, RECORDS_CTE, SCORED_CTE, rounded
 from quarry.functions.tags import tags_filter
-from quarry.sources.tables import query_set, records
+from quarry.sources.tables import query_set, read_table, records
 
 FILTERS = [["lang:fr"], ["lang:de", "source:src3"]]
 FILTERS_SQL = ("(list_has_all(r.tags, ['lang:fr']) "
@@ -51,8 +51,6 @@ def tag_filter_any(spark: SparkSession, sf: str) -> DataFrame:
 
 def filter_by_document(spark: SparkSession, sf: str) -> DataFrame:
     # every record of the documents that have a quality label of 1
-    from quarry.operators.store import records_of_documents
-    from quarry.sources.tables import read_table
     docs = read_table(spark, sf, "labels").where("quality = 1").select(
         F.col("doc_id").cast("string").alias("document_id"))
     return records_of_documents(records(spark, sf), docs).select("id", "payload")

@@ -1,7 +1,6 @@
 """Spark operators against direct Python implementations on random and
 skewed fixtures (one key holding a third of all rows)."""
 
-import math
 import random
 
 import pytest

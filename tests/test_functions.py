@@ -1,6 +1,5 @@
 """Scalar Column builders on literal fixtures."""
 
-from pyspark.sql import functions as F
 
 from quarry.functions.mime import file_suffix, mime_from_name, is_supported
 from quarry.functions.tags import tags_filter

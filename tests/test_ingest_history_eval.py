@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.operators.chunking import (fixed_window_chunks, markdown_sections, merge_by_heading,
                                        recursive_chunks, split_recursive)

@@ -3,7 +3,6 @@ scores are bounded and order-invariant, nDCG in [0, 1], stream = batch."""
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.chunking import chunk_records, fixed_window_chunks

@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.operators.fusion import fuse
 from quarry.operators.text_search import text_search
