@@ -79,12 +79,17 @@ def _broadcast_candidates(recs: DataFrame, qtab: pa.Table, k: int,
     qmat = np.array([np.asarray(v, dtype=np.float64) for v in qtab.column("query_vec").to_pylist()])
     if qmat.ndim != 2:
         raise ValueError("query vectors must all have the same dimension")
-    bq = spark.sparkContext.broadcast((qids, _unit_rows(qmat)))
+    payload = (qids, _unit_rows(qmat))
+    try:
+        bq = spark.sparkContext.broadcast(payload)
+        get = lambda: bq.value
+    except Exception:  # noqa: BLE001 - no broadcast variables (Spark Connect): ship with the function
+        get = lambda: payload
     arrow_qtype = pa.from_numpy_dtype(qids.dtype) if qids.dtype != object else pa.string()
     dim = qmat.shape[1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_unit = bq.value
+        q_ids, q_unit = get()
         for b in batches:
             if b.num_rows == 0:
                 continue

@@ -44,9 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(path)
+    except Exception:  # noqa: BLE001 - no SparkContext handle (Spark Connect)
+        pass
     return path.rstrip("/")
 
 

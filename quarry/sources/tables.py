@@ -17,10 +17,12 @@ def spread(df: DataFrame) -> DataFrame:
     work (tokenising, scoring) uses every core.  A no-op for wide scans, which
     is the normal case on a cluster.  Projections and filters are still pushed
     below the repartition into the scan."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < slots
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the scan as is
+        return df
+    return df.repartition(slots) if narrow else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True) -> DataFrame:
