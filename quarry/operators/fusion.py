@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.tags import tags_filter
 from quarry.operators.text_search import text_search
-from quarry.operators.vector_search import MAX_BROADCAST_HITS, vector_candidates
+from quarry.operators.vector_search import MAX_BROADCAST_HITS, candidates_and_count
 
 K_VEC = 60
 K_TEXT = 30
@@ -72,13 +72,13 @@ def hybrid_candidates(records: DataFrame, queries: DataFrame, limit: int, mode:
                       candidate_factor: int = CANDIDATE_FACTOR, filters=None,
                       index: DataFrame | None = None):
     n_cand = candidate_factor * limit
-    vc = vector_candidates(records, queries, n_cand, filters=filters)
+    vc, n_queries = candidates_and_count(records, queries, n_cand, filters=filters)
     vec_score = F.col("distance") if mode == "rrf" else (F.lit(1.0) - F.col("distance"))
     vec = vc.select("query_id", "id", vec_score.alias("vec_score"))
     recs_for_text = records.where(tags_filter(filters)) if filters else records
     tc = text_search(recs_for_text, queries, n_cand, length_norm=(mode == "max_norm"), index=index)
     txt = tc.select("query_id", "id", "text_score")
-    return vec, txt
+    return vec, txt, n_queries
 
 
 def hybrid_search(records: DataFrame, queries: DataFrame, limit: int = 10, mode: str = "rrf", *,
@@ -93,11 +93,11 @@ def hybrid_search(records: DataFrame, queries: DataFrame, limit: int = 10, mode:
     the original accepts and ignores it, which is the default here)."""
     if limit < 0:
         raise ValueError("limit must be >= 0")
-    vec, txt = hybrid_candidates(records, queries, limit, mode, candidate_factor, filters, index)
+    vec, txt, n_queries = hybrid_candidates(records, queries, limit, mode, candidate_factor, filters,
+                                            index)
     out = fuse(vec, txt, limit, mode, k_vec=k_vec, k_text=k_text, missing=missing)
     if with_records:
         cols = ["id", "tags", "content", "payload"] + (["embedding"] if with_embeddings else [])
-        n_queries = queries.count()
         hits = F.broadcast(out) if n_queries * limit <= MAX_BROADCAST_HITS else out
         out = records.select(*cols).join(hits, "id")
     return out

@@ -145,13 +145,21 @@ def _blocked_candidates(recs: DataFrame, queries: DataFrame, k: int,
 
 def vector_candidates(records: DataFrame, queries: DataFrame, k: int, *,
                       min_similarity: float | None = None, filters=None,
-                      max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-                      n_queries: int | None = None) -> DataFrame:
+                      max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """``(query_id, id, distance, rank)`` - the k nearest records of every query.
 
     ``k <= 0`` means unlimited (every record passing the threshold). Records
     with a NULL embedding never match. Ties are broken by ``id``.
     """
+    return candidates_and_count(records, queries, k, min_similarity=min_similarity,
+                                filters=filters, max_broadcast_queries=max_broadcast_queries)[0]
+
+
+def candidates_and_count(records: DataFrame, queries: DataFrame, k: int, *,
+                         min_similarity: float | None = None, filters=None,
+                         max_broadcast_queries: int = MAX_BROADCAST_QUERIES):
+    """``vector_candidates`` plus the number of queries (known from the
+    bounded read of the query block, or counted on the large path)."""
     qtype = queries.schema["query_id"].dataType
     recs = records.where(F.col("embedding").isNotNull()).where(tags_filter(filters))
     max_distance = None if min_similarity is None else 1.0 - float(min_similarity)
@@ -161,17 +169,18 @@ def vector_candidates(records: DataFrame, queries: DataFrame, k: int, *,
     fits = (qtab.num_rows <= max_broadcast_queries
             and qtab.num_rows * max(dim_probe, 1) * 8 <= MAX_BROADCAST_BYTES)
     if fits:
+        n_queries = qtab.num_rows
         cand = _broadcast_candidates(recs.where(F.size("embedding") == dim_probe), qtab, k,
                                      max_distance, qtype)
     else:
-        n_queries = n_queries if n_queries is not None else queries.count()
+        n_queries = queries.count()
         cand = _blocked_candidates(recs, queries, k, max_distance, qtype, n_queries,
                                    max_broadcast_queries)
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("id").asc())
     ranked = cand.withColumn("rank", F.row_number().over(w))
     if k > 0:
         ranked = ranked.where(F.col("rank") <= k)
-    return ranked
+    return ranked, n_queries
 
 
 def vector_search(records: DataFrame, queries: DataFrame, k: int = 1, *, offset: int = 0,
@@ -183,9 +192,8 @@ def vector_search(records: DataFrame, queries: DataFrame, k: int = 1, *, offset:
     ``distance < 1 - min_similarity``."""
     if offset < 0:
         raise ValueError("offset must be >= 0")
-    n_queries = queries.count()
-    cand = vector_candidates(records, queries, (k + offset) if k > 0 else 0,
-                             min_similarity=min_similarity, filters=filters, n_queries=n_queries)
+    cand, n_queries = candidates_and_count(records, queries, (k + offset) if k > 0 else 0,
+                                           min_similarity=min_similarity, filters=filters)
     if offset:
         cand = cand.where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
     cols = ["id", "tags", "content", "payload"] + (["embedding"] if with_embeddings else [])
