@@ -156,3 +156,29 @@ def test_sinks_and_pairs(spark, tmp_path):
     assert stem.startswith("ChatHistory-") and stem.endswith(".json") and len(stem) == len("ChatHistory-dd-MM-yy-HHmm.json")
     assert spark.range(1).select(history_file_stem("notes")).first()[0] == "notes.json"
     assert spark.range(1).select(history_file_stem("notes.txt")).first()[0] == "notes.txt"
+
+
+def test_chunk_files_routes_each_row(spark, tmp_path):
+    from quarry.operators.loading import chunk_files, unsupported_files
+    (tmp_path / "a.txt").write_text("x" * 1500, encoding="utf-8")
+    (tmp_path / "b.md").write_text("# T\nbody\n## U\nmore", encoding="utf-8")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "d.html").write_text("<p>x</p>")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    out = chunk_files(files, tags=["type:news"]).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.name.split(".partition.")[0], []).append(r)
+    assert sorted(by) == ["a.txt", "b.md"]
+    assert sorted(r.name for r in by["a.txt"]) == ["a.txt.partition.0.txt", "a.txt.partition.1.txt"]
+    assert [r.size for r in sorted(by["a.txt"], key=lambda r: r.partition_number)] == [1000, 700]
+    assert sorted(r.text for r in by["b.md"]) == ["body", "more"]
+    assert all(r.tags == ["type:news"] and r.mime_type == "text/plain" for r in out)
+    skipped = sorted(r.name for r in unsupported_files(files).collect())
+    assert skipped == ["c.pdf", "d.html"]
+    ready = files.where(F.col("path").endswith("a.txt")).select(F.col("path").alias("document_id"))
+    again = {r.name.split(".partition.")[0] for r in chunk_files(files, ready=ready).collect()}
+    assert again == {"b.md"}
+    (tmp_path / "e.xyz").write_text("?")
+    with pytest.raises(Exception, match="File type not supported"):
+        chunk_files(spark.read.format("binaryFile").load(str(tmp_path)), strict=True).collect()
