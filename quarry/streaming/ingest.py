@@ -40,6 +40,27 @@ def start_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoi
     return writer.start()
 
 
+def start_file_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoint_dir: str, *,
+                      max_files_per_trigger: int = 100, available_now: bool = True,
+                      strict: bool = False) -> StreamingQuery:
+    """Files dropped into ``source_dir`` (any mix of types) -> chunk records,
+    routed per file by MIME type; same exactly-once epoch sink."""
+    from quarry.operators.loading import chunk_files
+
+    schema = ("path string, modificationTime timestamp, length bigint, content binary")
+    stream = (spark.readStream.format("binaryFile").schema(schema)
+              .option("maxFilesPerTrigger", max_files_per_trigger)
+              .load(source_dir))
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        (chunk_files(batch, strict=strict).write.mode("overwrite")
+         .parquet(f"{target_dir.rstrip('/')}/epoch={epoch_id}"))
+
+    writer = stream.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def read_merged(spark: SparkSession, target_dir: str) -> DataFrame:
     """Current table: the latest epoch's row for every chunk id."""
     log = spark.read.parquet(target_dir)

@@ -65,3 +65,20 @@ def test_stream_equals_batch_with_reimport(spark, tmp_path):
     batch = chunk_records(fixed_window_chunks(docs)).select("id", "content_sha256", "size")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
     assert spark.read.parquet(str(tmp_path / "table")).select("epoch").distinct().count() >= 2
+
+
+def test_file_stream_ingest(spark, tmp_path):
+    from quarry.streaming.ingest import start_file_ingest
+    src = tmp_path / "drop"
+    src.mkdir()
+    (src / "a.txt").write_text("alpha. " * 300, encoding="utf-8")
+    q = start_file_ingest(spark, str(src), str(tmp_path / "t"), str(tmp_path / "c"))
+    q.awaitTermination()
+    (src / "b.md").write_text("# H\nbody", encoding="utf-8")
+    (src / "c.pdf").write_bytes(b"%PDF")
+    q = start_file_ingest(spark, str(src), str(tmp_path / "t"), str(tmp_path / "c"))
+    q.awaitTermination()
+    rows = read_merged(spark, str(tmp_path / "t")).collect()
+    names = sorted({r.name.split(".partition.")[0] for r in rows})
+    assert names == ["a.txt", "b.md"]
+    assert sum(r.size for r in rows if r.name.startswith("a.txt")) >= 2100
