@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Extension -> MIME type table of the document loader (51 entries),
-# in the reference's natural order. Unknown extensions map to NULL.
+# in the loader's natural order. Unknown extensions map to NULL.
 EXTENSION_TYPES = {
     ".txt": "text/plain",
     ".md": "text/markdown",

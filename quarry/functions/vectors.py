@@ -25,7 +25,7 @@ def norm(a: str | Column) -> Column:
 
 
 def cosine_distance(a: str | Column, b: str | Column) -> Column:
-    """``a <=> b`` of pgvector: 1 - cos(a, b); NULL when either side is NULL."""
+    """Cosine distance ``1 - cos(a, b)``; NULL when either side is NULL."""
     return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
 
 
