@@ -35,8 +35,11 @@ def normalize_name(name: str | None, blank_ok: bool = False) -> str:
 
 class IndexCatalog:
     def __init__(self, spark: SparkSession, prefix: str = DEFAULT_PREFIX, database: str = "default",
-                 root: str | None = None):
+                 root: str | None = None, buckets: int | None = None):
         self.spark = spark
+        # every version is bucketed and sorted by id, so the anti-join of an
+        # upsert or delete shuffles only the incoming rows, never the index
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.prefix = normalize_name(prefix, blank_ok=True)
         self.database = database
         self.root = (root or f"{shared_dir(spark)}/quarry-indexes").rstrip("/")
@@ -54,18 +57,28 @@ class IndexCatalog:
         name = self._table_name(index)
         return any(t.name.lower() == name.lower() for t in self.spark.catalog.listTables(self.database))
 
-    def _point(self, index: str, location: str) -> None:
+    def _point(self, index: str, location: str, schema) -> None:
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table(index)}")
-        self.spark.sql(f"CREATE TABLE {self.table(index)} USING parquet LOCATION '{location}'")
+        self.spark.sql(f"CREATE TABLE {self.table(index)} ({cols}) USING parquet "
+                       f"CLUSTERED BY (id) SORTED BY (id) INTO {self.buckets} BUCKETS LOCATION '{location}'")
+
+    def _write_version(self, index: str, df: DataFrame) -> None:
+        """Write a new version to a fresh location, bucketed by id, then re-point
+        the index to it (the version being read is never overwritten)."""
+        loc = f"{self.root}/{self.prefix}{normalize_name(index)}/{uuid.uuid4().hex}"
+        tmp = f"`{self.database}`.`quarry_tmp_{uuid.uuid4().hex}`"
+        (df.write.bucketBy(self.buckets, "id").sortBy("id").format("parquet")
+         .option("path", loc).saveAsTable(tmp))
+        self.spark.sql(f"DROP TABLE {tmp}")  # external table: its files stay
+        self._point(index, loc, df.schema)
 
     def create(self, index: str, vector_size: int | None = None) -> None:
         """Create an empty index unless it exists."""
         del vector_size  # the dimension is checked by the search, not the storage
         if self.exists(index):
             return
-        loc = f"{self.root}/{self.prefix}{normalize_name(index)}/{uuid.uuid4().hex}"
-        self.spark.createDataFrame([], RECORD_SCHEMA).write.parquet(loc)
-        self._point(index, loc)
+        self._write_version(index, self.spark.createDataFrame([], RECORD_SCHEMA))
 
     def list(self) -> list[str]:
         """Index names (prefix removed) of the tables whose name starts with
@@ -90,18 +103,12 @@ class IndexCatalog:
     def upsert(self, index: str, incoming: DataFrame, seq: str | None = None) -> None:
         if not self.exists(index):
             raise IndexNotFound(index)
-        new = upsert(self.read(index), incoming, seq)
-        loc = f"{self.root}/{self.prefix}{normalize_name(index)}/{uuid.uuid4().hex}"
-        new.write.parquet(loc)
-        self._point(index, loc)
+        self._write_version(index, upsert(self.read(index), incoming, seq))
 
     def delete(self, index: str, ids: DataFrame) -> None:
         if not self.exists(index):
             return
-        kept = self.read(index).join(ids.select("id"), "id", "left_anti")
-        loc = f"{self.root}/{self.prefix}{normalize_name(index)}/{uuid.uuid4().hex}"
-        kept.write.parquet(loc)
-        self._point(index, loc)
+        self._write_version(index, self.read(index).join(ids.select("id"), "id", "left_anti"))
 
 
 __all__ = ["IndexCatalog", "IndexNotFound", "normalize_name"]

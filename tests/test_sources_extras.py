@@ -182,3 +182,31 @@ def test_chunk_files_routes_each_row(spark, tmp_path):
     (tmp_path / "e.xyz").write_text("?")
     with pytest.raises(Exception, match="File type not supported"):
         chunk_files(spark.read.format("binaryFile").load(str(tmp_path)), strict=True).collect()
+
+
+def test_catalog_upsert_does_not_shuffle_index(spark, tmp_path):
+    import contextlib
+    import io
+    from quarry.operators.store import upsert
+    cat = IndexCatalog(spark, prefix="b-", root=str(tmp_path / "idx"), buckets=4)
+    cat.create("big")
+    recs = spark.range(2000).selectExpr("CAST(id AS STRING) AS id", "CAST(NULL AS ARRAY<FLOAT>) AS embedding",
+                                        "array('k:v') AS tags", "'c' AS content", "'{}' AS payload")
+    cat.upsert("big", recs)
+    inc = recs.limit(10).selectExpr("id", "embedding", "array('k:w') AS tags", "'new' AS content", "payload")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = upsert(cat.read("big"), inc)
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            plan.explain()
+        text = buf.getvalue()
+        # the index side of the anti-join is a bucketed scan without an exchange
+        anti = text[text.index("LeftAnti"):]
+        index_side = anti.split("Exchange")[0]
+        assert "FileScan parquet" in index_side and "Bucketed: true" in index_side
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    cat.upsert("big", inc)
+    assert cat.read("big").count() == 2000
+    assert cat.read("big").where("content = 'new'").count() == 10
