@@ -159,3 +159,15 @@ def test_reduce_history_multi_summary(spark):
                                                ("tail", 8), ("tail", 9), ("tail", 10), ("tail", 11)]
     si = sorted(r.turn for r in summary_input(msgs, 4, summary_count=2).collect())
     assert si == list(range(2, 8))
+
+
+def test_recursive_separators():
+    # "\n\n" first: pieces keep the separator at their start, packing carries <= overlap
+    assert split_recursive("aaaa\n\nbbbb\n\ncccc", 10, 3) == ["aaaa\n\nbbbb", "cccc"]
+    # only "\r": it is found before "\n" and "."
+    assert split_recursive("ab\rcd", 10, 3) == ["ab\rcd"]
+    assert split_recursive("aaaaaa\rbbbbbb", 10, 3) == ["aaaaaa", "bbbbbb"]
+    # a sentence longer than the size falls through "." to single characters
+    # (2 characters of overlap carried); the recursion's chunks are not merged
+    # with the pieces that follow
+    assert split_recursive("x" * 12 + ". yy", 10, 2) == ["x" * 10, "xxxx", ". yy"]
