@@ -6,11 +6,20 @@ included). A query matches a record when every distinct query lexeme occurs in
 it (``plainto_tsquery`` AND semantics); a query made only of stop words matches
 nothing.
 
-Plan: the distinct ``(id, lexeme)`` index is joined with the (small, broadcast)
-query lexemes, counted per ``(query_id, id)`` with map-side partial
-aggregation, and kept when all lexemes are present.  Only the matched pairs go
-back to the positional index, where the hit positions of one record form one
-bounded array that a higher-order fold turns into the cover-density score.
+Plan (per query batch):
+
+1. the query lexemes (bounded) are resolved once on the driver;
+2. the index is restricted to them - a literal ``IN`` for short sets, a
+   broadcast left-semi join otherwise, pushed below the index aggregations;
+3. per query the rarest lexeme is picked from the document frequencies and
+   only its posting list is read: the candidates, a superset of the matches;
+4. the positions of the candidates are joined with the query lexemes and
+   aggregated once per ``(query_id, id)`` into a sorted hit array (bounded by
+   the record length); pairs missing a lexeme are dropped;
+5. a higher-order fold over the hit array gives the cover-density score.
+
+Beyond the driver bound the same plan runs fully distributed (window for the
+rarest lexeme, shuffle joins with adaptive skew handling).
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ from quarry.functions.text import word_tokens
 
 MAX_QUERY_LEXEMES = 500_000          # query-lexeme rows resolved on the driver per batch
 MAX_BROADCAST_CANDIDATES = 2_000_000  # (query, record) candidates broadcast into the scan
+MAX_IN_LIST = 256                     # literal IN lists above this size become a broadcast semi-join
 COVER_WEIGHT = 0.1  # weight of an unlabelled (class D) lexeme
 
 
@@ -83,11 +93,6 @@ class LexemeIndex:
         return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("positions", "terms", "stats", "lengths")])
 
 
-def lexeme_index(records: DataFrame, stemmer=None) -> DataFrame:
-    """Positional index ``(id, lexeme, pos)`` of the record contents."""
-    return lexemes(records, "id", "content", stemmer)
-
-
 def query_lexemes(queries: DataFrame, stemmer=None) -> DataFrame:
     """``(query_id, lexeme, term, n_terms)``: distinct lexemes of every query,
     ``term`` a 0-based number inside the query."""
@@ -132,9 +137,6 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
     return F.aggregate(hits, init, step, lambda acc: acc["score"])
 
 
-MAX_IN_LIST = 256  # literal IN lists above this size become a broadcast semi-join
-
-
 def keep_lexemes(df: DataFrame, lexemes_: list[str], keys: DataFrame | None = None) -> DataFrame:
     """Rows whose ``lexeme`` is in the given (driver-side, bounded) set.
 
