@@ -42,26 +42,19 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 def _batch_top(dist: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int,
                max_distance: float | None):
     """dist is (n_records, n_queries). Returns the per-query top-k of this batch
-    (all ties at the cut are kept so the final cut can break them by id)."""
-    out_q, out_id, out_d = [], [], []
-    for j in range(dist.shape[1]):
-        col = dist[:, j]
-        keep = ~np.isnan(col)
-        if max_distance is not None:
-            keep &= col < max_distance
-        idx = np.nonzero(keep)[0]
-        if k > 0 and idx.size > k:
-            vals = col[idx]
-            kth = np.partition(vals, k - 1)[k - 1]
-            idx = idx[vals <= kth]
-        if idx.size == 0:
-            continue
-        out_q.append(np.repeat(qids[j:j + 1], idx.size))
-        out_id.append(ids[idx])
-        out_d.append(col[idx])
-    if not out_q:
+    as flat (query ids, record ids, distances); every entry tied with a
+    query's k-th distance is kept so the final cut can break ties by id."""
+    valid = ~np.isnan(dist)
+    if max_distance is not None:
+        valid &= dist < max_distance
+    if 0 < k < dist.shape[0]:
+        masked = np.where(valid, dist, np.inf)
+        kth = np.partition(masked, k - 1, axis=0)[k - 1]      # one value per query
+        valid &= masked <= kth[None, :]
+    r, c = np.nonzero(valid)
+    if r.size == 0:
         return None
-    return np.concatenate(out_q), np.concatenate(out_id), np.concatenate(out_d)
+    return qids[c], ids[r], dist[r, c]
 
 
 def _candidates_schema(query_id_type: T.DataType) -> T.StructType:
