@@ -39,22 +39,41 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
         return m / n
 
 
+QUERY_BLOCK = 256  # queries scored together inside a task: ~20 MB of distances per 10k rows
+
+
 def _batch_top(dist: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int,
                max_distance: float | None):
-    """dist is (n_records, n_queries). Returns the per-query top-k of this batch
-    as flat (query ids, record ids, distances); every entry tied with a
-    query's k-th distance is kept so the final cut can break ties by id."""
+    """``dist`` is query-major ``(n_queries, n_records)``.  Returns the
+    per-query top-k of this batch as flat (query ids, record ids, distances);
+    every entry tied with a query's k-th distance is kept so the final cut can
+    break ties by id."""
     valid = ~np.isnan(dist)
     if max_distance is not None:
         valid &= dist < max_distance
-    if 0 < k < dist.shape[0]:
+    if 0 < k < dist.shape[1]:
         masked = np.where(valid, dist, np.inf)
-        kth = np.partition(masked, k - 1, axis=0)[k - 1]      # one value per query
-        valid &= masked <= kth[None, :]
-    r, c = np.nonzero(valid)
-    if r.size == 0:
+        kth = np.partition(masked, k - 1, axis=1)[:, k - 1]   # one value per query
+        valid &= masked <= kth[:, None]
+    q, r = np.nonzero(valid)
+    if q.size == 0:
+        return None
+    return qids[q], ids[r], dist[q, r]
+
+
+def _score_blocks(rec_unit: np.ndarray, ids: np.ndarray, qids: np.ndarray, q_unit: np.ndarray,
+                  k: int, max_distance: float | None):
+    """Top-k of one record batch for all queries, scored QUERY_BLOCK queries at
+    a time so the distance matrix stays small."""
+    parts = []
+    for b in range(0, q_unit.shape[0], QUERY_BLOCK):
+        dist = 1.0 - q_unit[b:b + QUERY_BLOCK] @ rec_unit.T
+        top = _batch_top(dist, ids, qids[b:b + QUERY_BLOCK], k, max_distance)
+        if top is not None:
+            parts.append(top)
+    if not parts:
         return None
-    return qids[c], ids[r], dist[r, c]
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
 
 
 def _candidates_schema(query_id_type: T.DataType) -> T.StructType:
@@ -90,8 +109,7 @@ def _broadcast_candidates(recs: DataFrame, qtab: pa.Table, k: int,
             vec = b.column(1)
             flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             m = flat.reshape(b.num_rows, dim)
-            dist = 1.0 - _unit_rows(m) @ q_unit.T
-            top = _batch_top(dist, ids, q_ids, k, max_distance)
+            top = _score_blocks(_unit_rows(m), ids, q_ids, q_unit, k, max_distance)
             if top is None:
                 continue
             yield pa.RecordBatch.from_arrays(
@@ -126,7 +144,7 @@ def _blocked_candidates(recs: DataFrame, queries: DataFrame, k: int,
             return empty()
         m = _unit_rows(np.stack(rp["embedding"].to_numpy()).astype(np.float64))
         qm = _unit_rows(np.stack(qp["query_vec"].to_numpy()).astype(np.float64))
-        top = _batch_top(1.0 - m @ qm.T, rp["id"].to_numpy(), qp["query_id"].to_numpy(), k, max_distance)
+        top = _score_blocks(m, rp["id"].to_numpy(), qp["query_id"].to_numpy(), qm, k, max_distance)
         if top is None:
             return empty()
         return pd.DataFrame({"query_id": top[0], "id": top[1], "distance": top[2]})
