@@ -39,7 +39,8 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
         return m / n
 
 
-QUERY_BLOCK = 256  # queries scored together inside a task: ~20 MB of distances per 10k rows
+QUERY_BLOCK = 256    # queries scored together inside a task: ~20 MB of distances per 10k rows
+RECORD_CHUNK = 10_000  # records scored together inside one cogroup group
 
 
 def _batch_top(dist: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int,
@@ -144,7 +145,11 @@ def _blocked_candidates(recs: DataFrame, queries: DataFrame, k: int,
             return empty()
         m = _unit_rows(np.stack(rp["embedding"].to_numpy()).astype(np.float64))
         qm = _unit_rows(np.stack(qp["query_vec"].to_numpy()).astype(np.float64))
-        top = _score_blocks(m, rp["id"].to_numpy(), qp["query_id"].to_numpy(), qm, k, max_distance)
+        rid, qid = rp["id"].to_numpy(), qp["query_id"].to_numpy()
+        parts = [t for t in (_score_blocks(m[c:c + RECORD_CHUNK], rid[c:c + RECORD_CHUNK], qid, qm, k,
+                                           max_distance)
+                             for c in range(0, len(m), RECORD_CHUNK)) if t is not None]
+        top = tuple(np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else None
         if top is None:
             return empty()
         return pd.DataFrame({"query_id": top[0], "id": top[1], "distance": top[2]})
