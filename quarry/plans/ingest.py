@@ -108,7 +108,8 @@ def _incoming(spark, sf):
 
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     out = upsert(records(spark, sf), _incoming(spark, sf))
-    return out.select("id", "tags", "payload", F.length("content").alias("content_len"),
+    return out.select("id", F.array_join("tags", "|").alias("tags"), "payload",
+                      F.length("content").alias("content_len"),
                       F.col("embedding").isNull().alias("no_embedding"))
 
 
@@ -252,9 +253,10 @@ inc AS (SELECT CAST(l.doc_id AS VARCHAR) AS id,
                 '__document_id:' || CAST(l.doc_id AS VARCHAR)] AS tags,
                '{{}}' AS payload, length(replace(d.text, chr(0), '')) AS content_len, true AS no_embedding
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
-SELECT id, tags, payload, length(content) AS content_len, embedding IS NULL AS no_embedding FROM records
+SELECT id, array_to_string(tags, '|') AS tags, payload, length(content) AS content_len,
+       embedding IS NULL AS no_embedding FROM records
 WHERE id NOT IN (SELECT id FROM inc)
-UNION ALL SELECT * FROM inc""",
+UNION ALL SELECT id, array_to_string(tags, '|'), payload, content_len, no_embedding FROM inc""",
     "delete_toxic_documents": f"""WITH {RECORDS_CTE}
 SELECT id FROM records WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)""",
     "index_name_norm": r"""SELECT p_partkey,

@@ -41,7 +41,8 @@ def similar_with_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 def tag_filter_all(spark: SparkSession, sf: str) -> DataFrame:
     r = records(spark, sf)
-    return r.where(tags_filter([["lang:fr", "source:src3"]])).select("id", "tags")
+    return r.where(tags_filter([["lang:fr", "source:src3"]])).select(
+        "id", F.array_join("tags", "|").alias("tags"))
 
 
 def tag_filter_any(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +59,7 @@ def filter_by_document(spark: SparkSession, sf: str) -> DataFrame:
 
 def list_page(spark: SparkSession, sf: str) -> DataFrame:
     return list_records(records(spark, sf), filters=[["lang:en"]], limit=25, offset=10).select(
-        "id", "tags", "payload")
+        "id", F.array_join("tags", "|").alias("tags"), "payload")
 
 
 def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +92,8 @@ ranked AS (SELECT query_id, id, distance,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored)
 {_VEC_SELECT} FROM ranked WHERE rank <= 5""",
     "tag_filter_all": f"""WITH {RECORDS_CTE}
-SELECT id, tags FROM records r WHERE list_has_all(r.tags, ['lang:fr', 'source:src3'])""",
+SELECT id, array_to_string(tags, '|') AS tags FROM records r
+WHERE list_has_all(r.tags, ['lang:fr', 'source:src3'])""",
     "tag_filter_any": f"""WITH {RECORDS_CTE}
 SELECT id, content FROM records r WHERE {FILTERS_SQL}""",
     "filter_by_document": f"""WITH {RECORDS_CTE}
@@ -102,7 +104,7 @@ WHERE EXISTS (SELECT 1 FROM labels l WHERE l.quality = 1
 SELECT id, json_extract_string(payload, '$.source') AS source,
        CAST(json_extract_string(payload, '$.n_chars') AS BIGINT) AS n_chars FROM records""",
     "list_page": f"""WITH {RECORDS_CTE}
-SELECT id, tags, payload FROM records r WHERE list_has_all(r.tags, ['lang:en'])
+SELECT id, array_to_string(tags, '|') AS tags, payload FROM records r WHERE list_has_all(r.tags, ['lang:en'])
 ORDER BY id LIMIT 25 OFFSET 10""",
 }
 
