@@ -31,7 +31,7 @@ def list_records(records: DataFrame, filters=None, limit: int = 1, offset: int =
     """Filtered page of records ordered by ``order_by`` (then id).
     ``limit <= 0`` means no limit; Spark plans the limited form as a top-k."""
     out = project(records.where(tags_filter(filters)), with_embeddings)
-    keys = [order_by] if order_by == "id" else [order_by, "id"]
+    keys = [order_by] if isinstance(order_by, str) and order_by == "id" else [order_by, "id"]
     out = out.orderBy(*keys)
     if offset > 0:
         out = out.offset(offset)

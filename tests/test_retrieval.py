@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators.fusion import fuse
 from quarry.operators.text_search import text_search
@@ -97,3 +98,19 @@ def test_vector_blocked_path_matches_broadcast(spark):
     a = {(r.query_id, r.id, r.rank) for r in vector_candidates(recs, qs, 4).collect()}
     b = {(r.query_id, r.id, r.rank) for r in vector_candidates(recs, qs, 4, max_broadcast_queries=3).collect()}
     assert a == b and len(a) == 28
+
+
+def test_projections_and_custom_order(spark):
+    from quarry.operators.fusion import hybrid_search
+    from quarry.operators.store import list_records
+    recs = spark.createDataFrame(
+        [("a", [1.0, 0.0], ["k:1"], "alpha beta", '{"n": 2}'), ("b", [0.0, 1.0], ["k:1"], "beta", '{"n": 1}')],
+        "id string, embedding array<float>, tags array<string>, content string, payload string")
+    qs = spark.createDataFrame([(1, "beta", [1.0, 0.1])], "query_id int, query_text string, query_vec array<float>")
+    assert "embedding" not in vector_search(recs, qs, 1).columns
+    assert "embedding" in vector_search(recs, qs, 1, with_embeddings=True).columns
+    out = hybrid_search(recs, qs, 2, "max_norm", with_records=True, with_embeddings=True).orderBy("rank").collect()
+    assert [r.id for r in out] == ["a", "b"] and out[0].embedding == [1.0, 0.0]
+    ordered = [r.id for r in list_records(recs, limit=0, order_by=F.get_json_object("payload", "$.n")).collect()]
+    assert ordered == ["b", "a"]
+    assert "embedding" in list_records(recs, with_embeddings=True).columns
