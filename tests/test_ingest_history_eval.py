@@ -171,3 +171,18 @@ def test_recursive_separators():
     # (2 characters of overlap carried); the recursion's chunks are not merged
     # with the pieces that follow
     assert split_recursive("x" * 12 + ". yy", 10, 2) == ["x" * 10, "xxxx", ". yy"]
+
+
+def test_context_block_literal(spark):
+    from quarry.operators.context import citations, context_blocks
+    res = spark.createDataFrame(
+        [(1, "s1", 0.9, " first \r\nline\n\n\nsecond "), (1, "s1", 0.5, "  \n "), (1, "s2", 0.7, "other")],
+        "query_id int, source string, score double, content string")
+    qs = spark.createDataFrame([(1, "Quoi ?"), (2, "Rien ?"), (3, "   ")], "query_id int, query_text string")
+    out = {r.query_id: r.context for r in
+           context_blocks(citations(res, source="source"), qs, instructions="INSTR").collect()}
+    assert out[1] == ("INSTR\n[QUESTION]\nQuoi ?\n\n[SEARCH RESULTS]\n"
+                      "Source: s1\n—— first line\nsecond\n\n"
+                      "Source: s2\n—— other\n\n")
+    assert out[2] == "INSTR\n[QUESTION]\nRien ?\n\nAucun result trouvé.\n"
+    assert 3 not in out
