@@ -186,3 +186,34 @@ def test_context_block_literal(spark):
                       "Source: s2\n—— other\n\n")
     assert out[2] == "INSTR\n[QUESTION]\nRien ?\n\nAucun result trouvé.\n"
     assert 3 not in out
+
+
+def test_refined_terms_literal(spark):
+    import math
+    from quarry.operators.refine import refined_terms
+    corpus = spark.createDataFrame([(1, "chat chien"), (2, "chat oiseau"), (3, "chat")], "doc_id int, text string")
+    qs = spark.createDataFrame([(7, "Le chat et le poisson, le chien")], "query_id int, query_text string")
+    out = [(r.term, round(r.idf, 9)) for r in refined_terms(qs, corpus, k=2).orderBy("term_rank").collect()]
+    # poisson: df 0 -> ln(4/1); chien: df 1 -> ln(4/2); chat: df 3 -> ln(4/4); stop words dropped
+    assert out == [("poisson", round(math.log(4.0), 9)), ("chien", round(math.log(2.0), 9))]
+
+
+def test_routing_and_skip(spark):
+    from quarry.operators.routing import route_files, skip_imported
+    files = spark.createDataFrame([("/d/a.PDF",), ("/d/b.md",), ("/d/c.html",), ("/d/d",)], "path string")
+    r = {x.name: (x.mime_type, x.supported, x.loader) for x in route_files(files).collect()}
+    assert r["a.PDF"] == ("application/pdf", True, "pdf")
+    assert r["b.md"] == ("text/markdown", True, "markdown")
+    assert r["c.html"] == ("text/html", False, None)
+    assert r["d"] == (None, False, None)
+    docs = spark.createDataFrame([("x", 1), ("y", 2)], "document_id string, n int")
+    ready = spark.createDataFrame([("y",)], "document_id string")
+    assert [x.document_id for x in skip_imported(docs, ready).collect()] == ["x"]
+
+
+def test_blocks_from_lines(spark):
+    from quarry.operators.margins import blocks_from_lines
+    docs = spark.createDataFrame([(1, "\n".join(f"l{i}" for i in range(12)))], "doc_id int, text string")
+    b = {(x.page_no, x.block_no): (x.top, x.bottom) for x in blocks_from_lines(docs).collect()}
+    assert b[(0, 0)] == (100.0, 90.0) and b[(0, 9)] == (10.0, 0.0) and b[(1, 1)] == (90.0, 80.0)
+    assert len(b) == 12
