@@ -126,3 +126,24 @@ def test_projections_and_custom_order(spark):
     ordered = [r.id for r in list_records(recs, limit=0, order_by=F.get_json_object("payload", "$.n")).collect()]
     assert ordered == ["b", "a"]
     assert "embedding" in list_records(recs, with_embeddings=True).columns
+
+
+def test_search_entry_and_judgements(spark):
+    from quarry.operators.evaluate import attach_judgements, query_metrics, validate_labels
+    from quarry.operators.fusion import search
+    recs = spark.createDataFrame(
+        [("a", [1.0, 0.0], ["lang:fr"], "chat noir", "{}"), ("b", [0.9, 0.1], ["lang:en"], "chat", "{}"),
+         ("c", [0.0, 1.0], ["lang:fr"], "chien", "{}")],
+        "id string, embedding array<float>, tags array<string>, content string, payload string")
+    qs = spark.createDataFrame([(1, "chat", [1.0, 0.0])], "query_id int, query_text string, query_vec array<float>")
+    ignored = {r.id for r in search(recs, qs, 3, filters=[["lang:fr"]]).collect()}
+    assert ignored == {"a", "b", "c"}                      # filters accepted and ignored by default
+    applied = {r.id for r in search(recs, qs, 3, filters=[["lang:fr"]], apply_filters=True).collect()}
+    assert applied == {"a", "c"}
+    res = search(recs, qs, 3, use_normalization=True).select("query_id", "rank", "id")
+    labels = spark.createDataFrame([(1, 1, 3), (1, 2, 7)], "query_id int, rank int, is_relevant int")
+    judged = attach_judgements(res, labels)
+    assert {r.rank: r.is_relevant for r in judged.collect()} == {1: 3, 2: 7, 3: None}
+    assert [r.is_relevant for r in validate_labels(judged).collect()] == [7]
+    m = query_metrics(judged).collect()[0]
+    assert m.n_results == 3 and m.ndcg == 0.0 and m.mrr == 1.0   # a NULL label zeroes nDCG
