@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import let, lower_ascii, quoted, stored, whole, words
 
@@ -81,16 +82,21 @@ def majority_bits(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("long")
-def _fingerprint(lists: pa.Array) -> pa.Array:
-    offsets = np.asarray(lists.offsets).astype(np.int64)
-    hashes = np.asarray(lists.values).view(np.uint64)
-    return pa.array(majority_bits(hashes, offsets).view(np.int64))
+def _majority(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        offsets = np.asarray(lists.offsets).astype(np.int64)
+        bits = majority_bits(np.asarray(lists.values).view(np.uint64), offsets)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bits.view(np.int64))],
+                                         [*batch.schema.names[:-1], "fp"])
 
 
-def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
-    """SimHash of a text as a signed long."""
-    return _fingerprint(shingle_hashes(text, shingle))
+def _narrow(docs: DataFrame, shingle: int, text_col: str, **columns: Column) -> DataFrame:
+    """The given columns with ``fp``, the SimHash of the text as a signed long."""
+    with_hashes = docs.select(*[c.alias(k) for k, c in columns.items()],
+                              shingle_hashes(quoted(text_col), shingle).alias("fp"))
+    schema = T.StructType([*with_hashes.schema.fields[:-1], T.StructField("fp", T.LongType())])
+    return with_hashes.mapInArrow(_majority, schema)
 
 
 # -- bit-sliced links ---------------------------------------------------------------
@@ -200,7 +206,7 @@ def _blocks(width: int, pieces: int) -> list[tuple[int, int]]:
 
 
 def _bits(value: Column, first: int, n: int) -> Column:
-    return F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    return F.shiftrightunsigned(value, first).bitwiseAND(F.lit((1 << n) - 1).cast("long")) if n < 64 else value
 
 
 def _indexed(rows: DataFrame, blocks: list[tuple[int, int]], value: Column) -> DataFrame:
@@ -299,8 +305,7 @@ def _assigned(base: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per document: (doc_id, fingerprint as 16 hex digits, component_id)."""
-    base = stored(docs.select(quoted(id_col).alias("doc_id"), fingerprint(quoted(text_col), shingle).alias("fp")),
-                  "simhash-fingerprints")
+    base = stored(_narrow(docs, shingle, text_col, doc_id=quoted(id_col)), "simhash-fingerprints")
     return _assigned(base, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                                           "component_id")
 
@@ -311,8 +316,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     that of the smallest id (NULL last; of rows that share it, one text)."""
     key = {"__q_k1": F.xxhash64(quoted(id_col), quoted(text_col)),
            "__q_k2": F.xxhash64(F.lit(1), quoted(text_col), quoted(id_col))}
-    base = stored(docs.select(quoted(id_col).alias("doc_id"), *[c.alias(k) for k, c in key.items()],
-                              fingerprint(quoted(text_col), shingle).alias("fp")), "simhash-fingerprints")
+    base = stored(_narrow(docs, shingle, text_col, doc_id=quoted(id_col), **key), "simhash-fingerprints")
     kept = _assigned(base, radius).groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__q_k1", "__q_k2")).alias("s")).select(
         F.col("s.__q_k1").alias("__q_k1"), F.col("s.__q_k2").alias("__q_k2"))
