@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, quality_rules, sharding, simhash
+from quarry.llm import decontaminate, mixing, quality_classifier, quality_rules, sharding, simhash, token_files, toxicity
 from quarry.llm.common import table
 
 
+#: The vocabulary file of op5, in the folder of public tokenizers.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,10 +29,25 @@ def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_report(table(spark, sf_dir, "documents"))
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_fair_mix, op4_quality_cascade, op6_kd_shards)}
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_fair_mix, op4_quality_cascade, op5_token_planes,
+                                   op6_kd_shards, op7_benchmark_leaks, op10_quality)}
 SQL: dict[str, str] = {}
