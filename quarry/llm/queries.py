@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, mixing, quality_classifier, quality_rules, sharding, simhash, token_files, toxicity
+from quarry.llm import (
+    decontaminate, licenses, lm, mixing, quality_classifier, quality_rules, sharding, simhash, token_files, toxicity,
+)
 from quarry.llm.common import table
 
 
@@ -44,10 +46,21 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/<doc_id div 20>/<doc_id>``."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 20).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.licenses(docs.withColumn("path", path))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_fair_mix, op4_quality_cascade, op5_token_planes,
-                                   op6_kd_shards, op7_benchmark_leaks, op10_quality)}
+                                   op6_kd_shards, op7_benchmark_leaks, op8_context_mixing, op9_licenses, op10_quality)}
 SQL: dict[str, str] = {}
