@@ -52,8 +52,8 @@ PIECE = re.compile(r"(\x00?[^\W\d_]+)([^\w\s'\x00]*)(?:\n([^\W\d_]+)([^\w\s'\x00
 
 
 def regular(text: str) -> bool:
-    """No space of the text touches white space or an end."""
-    return not (not text or text[0].isspace() or text[-1].isspace() or "  " in text
+    """No space of the text touches white space or an end (and "\\0" is free as a sign)."""
+    return not (not text or "\0" in text or text[0].isspace() or text[-1].isspace() or "  " in text
                 or any(b in text and (f" {b}" in text or f"{b} " in text) for b in BLANKS))
 
 
