@@ -99,26 +99,44 @@ def _literal_map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(d.items())])
 
 
+def path_name(c: str | Column) -> Column:
+    """Last segment of a file path; ``?`` and ``#`` are ordinary characters."""
+    return F.regexp_extract(_c(c), r"([^/\\]*)$", 1)
+
+
 def base_name(c: str | Column) -> Column:
-    """Last path segment, with any URL query or fragment removed."""
-    path = F.regexp_replace(_c(c), r"[?#].*$", "")
-    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+    """Last segment of a web address, without query and fragment."""
+    return path_name(F.regexp_replace(_c(c), r"[?#].*$", ""))
 
 
-def file_suffix(c: str | Column) -> Column:
-    """Lower-cased last suffix of the base name (like ``pathlib.Path.suffix``), '' if none.
+def _suffix(name: Column) -> Column:
+    """Lower-cased last suffix of a name (like ``pathlib.Path.suffix``), '' if none.
 
     A leading dot alone (``.bashrc``) is not a suffix; a trailing dot gives ''.
     """
-    name = base_name(c)
     return F.lower(F.regexp_extract(name, r"^.+?(\.[^.]+)$|^.*$", 1))
 
 
+def file_suffix(c: str | Column) -> Column:
+    """Suffix of a web address's name."""
+    return _suffix(base_name(c))
+
+
+def path_suffix(c: str | Column) -> Column:
+    """Suffix of a file path's name."""
+    return _suffix(path_name(c))
+
+
 def mime_from_name(c: str | Column) -> Column:
-    """MIME type of a file name by its suffix; NULL when the suffix is unknown."""
+    """MIME type of a web address by its suffix; NULL when the suffix is unknown."""
     return F.element_at(_literal_map(EXTENSION_TYPES), file_suffix(c))
 
 
+def mime_from_path(c: str | Column) -> Column:
+    """MIME type of a file path by its suffix; NULL when the suffix is unknown."""
+    return F.element_at(_literal_map(EXTENSION_TYPES), path_suffix(c))
+
+
 def is_supported(mime: str | Column) -> Column:
     return F.coalesce(_c(mime).isin(*SUPPORTED_TYPES), F.lit(False))
 
@@ -130,5 +148,5 @@ def loader_for(mime: str | Column) -> Column:
 def mime_from_name_strict(c: str | Column) -> Column:
     """As ``mime_from_name`` but an unknown suffix fails the job with
     ``File type not supported: <name>`` (the loader's strict lookup)."""
-    m = mime_from_name(c)
+    m = mime_from_path(c)
     return F.when(m.isNull(), F.raise_error(F.concat(F.lit("File type not supported: "), _c(c)))).otherwise(m)

@@ -17,8 +17,9 @@ def _c(c: str | Column) -> Column:
 
 def normalize_index_name(c: str | Column) -> Column:
     """trim, lower-case, each of whitespace | \\ / . _ : becomes '-'; blank -> NULL."""
-    s = F.regexp_replace(F.lower(F.trim(_c(c))), r"[\s|\\/._:]", "-")
-    return F.when(F.length(F.trim(_c(c))) > 0, s)
+    trimmed = F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    s = F.regexp_replace(F.lower(trimmed), r"(?U)[\s|\\/._:]", "-")
+    return F.when(F.length(trimmed) > 0, s)
 
 
 def normalize_table_prefix(c: str | Column) -> Column:

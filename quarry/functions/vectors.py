@@ -25,8 +25,8 @@ def norm(a: str | Column) -> Column:
 
 
 def cosine_distance(a: str | Column, b: str | Column) -> Column:
-    """Cosine distance ``1 - cos(a, b)``; NULL when either side is NULL."""
-    return F.lit(1.0) - dot(a, b) / (norm(a) * norm(b))
+    """Cosine distance ``1 - cos(a, b)``; NULL when either side is NULL or a zero vector."""
+    return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def similarity_from_distance(d: str | Column) -> Column:

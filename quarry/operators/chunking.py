@@ -165,6 +165,24 @@ def html_to_markdown(c: str | Column) -> Column:
     return x
 
 
+def _fence_toggles(text: Column) -> Column:
+    """Numbers of the lines that open or close a fenced code block, in order."""
+    trimmed = F.transform(F.split(text, "\n", -1), lambda x, i: F.named_struct(
+        F.lit("i"), i, F.lit("s"), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+    fences = F.filter(trimmed, lambda x: x["s"].startswith("```") | x["s"].startswith("~~~"))
+    none = F.lit("")
+
+    def step(acc, x):
+        opens = F.when(x["s"].rlike(r"^```(?!.*```)"), F.lit("```")).when(x["s"].startswith("~~~"), F.lit("~~~"))
+        toggles = F.when(acc["open"] == none, opens.isNotNull()).otherwise(x["s"].startswith(acc["open"]))
+        return F.named_struct(
+            F.lit("open"), F.when(~toggles, acc["open"]).when(acc["open"] == none, opens).otherwise(none),
+            F.lit("at"), F.when(toggles, F.concat(acc["at"], F.array(x["i"]))).otherwise(acc["at"]))
+
+    start = F.named_struct(F.lit("open"), none, F.lit("at"), F.array().cast("array<int>"))
+    return F.aggregate(fences, start, step, lambda acc: acc["at"])
+
+
 def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Split Markdown at ``#``/``##``/``###`` headings (headings removed).
 
@@ -172,11 +190,16 @@ def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text")
     A shallower heading resets the deeper ones; consecutive content lines with
     the same headings form one section, lines joined by a newline and runs
     separated by blank lines or headings joined by two spaces and a newline.
+    Inside a fenced code block (``` or ~~~) every line is content, blank ones and
+    those that start with ``#`` included.
     """
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("ln", "raw"))
-    lines = lines.select(key, "ln", F.regexp_replace(F.col("raw"), r"(?U)^\s+|\s+$", "").alias("s"))
+    lines = docs.select(key, _fence_toggles(F.col(text)).alias("toggles"),
+                        F.posexplode(F.split(F.col(text), "\n", -1)).alias("ln", "raw"))
+    in_code = F.size(F.filter("toggles", lambda t: t <= F.col("ln"))) % 2 == 1
+    lines = lines.select(key, "ln", in_code.alias("in_code"),
+                         F.regexp_replace(F.col("raw"), r"(?U)^\s+|\s+$", "").alias("s"))
     m = F.regexp_extract(F.col("s"), r"^(#{1,3})(?: |$)", 1)
-    lines = lines.withColumn("lvl", F.when(F.length(m) > 0, F.length(m)))
+    lines = lines.withColumn("lvl", F.when(~F.col("in_code") & (F.length(m) > 0), F.length(m)))
     lines = lines.withColumn("h", F.when(F.col("lvl").isNotNull(),
                                          F.regexp_replace(F.expr("substring(s, lvl + 1)"), r"(?U)^\s+|\s+$", "")))
     w = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -189,7 +212,7 @@ def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text")
     p1 = F.coalesce(F.col("l1.p"), F.lit(-1))
     p2 = F.coalesce(F.col("l2.p"), F.lit(-1))
     p3 = F.coalesce(F.col("l3.p"), F.lit(-1))
-    content = (lines.where(F.col("lvl").isNull() & (F.col("s") != ""))
+    content = (lines.where(F.col("lvl").isNull() & ((F.col("s") != "") | F.col("in_code")))
                .select(key, "ln", F.col("s").alias("line"),
                        F.col("l1.t").alias("header_1"),
                        F.when(p2 > p1, F.col("l2.t")).alias("header_2"),

@@ -38,7 +38,7 @@ def context_blocks(cits: DataFrame, questions: DataFrame, instructions: str = ""
                             F.concat(F.lit(BULLET), clean_text(p["text"]), F.lit("\n")))
     per_cit = cits.select(
         "query_id", "relevance", "source_name",
-        F.concat(F.lit("Source: "), F.col("source_name"), F.lit("\n"),
+        F.concat(F.lit("Source: "), F.coalesce("source_name", F.lit("")), F.lit("\n"),
                  F.array_join(F.transform("partitions", line), ""), F.lit("\n")).alias("block"))
     blocks = (per_cit.groupBy("query_id")
               .agg(F.sort_array(F.collect_list(F.struct(

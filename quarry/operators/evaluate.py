@@ -72,8 +72,14 @@ def query_metrics(judged: DataFrame, k: int = 5, unjudged: str = "relevant") ->
          .otherwise(F.col("dcg") / F.col("idcg")).alias("ndcg"))
 
 
-def macro_average(metrics: DataFrame) -> DataFrame:
-    """One row: mean precision, MRR and nDCG over the queries."""
+def macro_average(metrics: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One row: mean precision, MRR and nDCG over the queries.
+
+    With ``queries (query_id)`` the mean is over all of them: a query without any
+    result counts with precision, MRR and nDCG 0."""
+    if queries is not None:
+        metrics = queries.select("query_id").distinct().join(metrics, "query_id", "left").fillna(
+            0.0, ["precision", "mrr", "ndcg"])
     return metrics.agg(F.count(F.lit(1)).alias("n_queries"),
                        F.avg("precision").alias("mean_precision"),
                        F.avg("mrr").alias("mean_mrr"),

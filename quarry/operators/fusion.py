@@ -72,11 +72,16 @@ def hybrid_candidates(records: DataFrame, queries: DataFrame, limit: int, mode:
                       candidate_factor: int = CANDIDATE_FACTOR, filters=None,
                       index: DataFrame | None = None):
     n_cand = candidate_factor * limit
+    if n_cand <= 0:  # nothing is asked for, so nothing is searched
+        empty = queries.select("query_id", F.lit(None).cast("string").alias("id"))
+        return (empty.withColumn("vec_score", F.lit(None).cast("double")).limit(0),
+                empty.withColumn("text_score", F.lit(None).cast("double")).limit(0), 0)
     vc, n_queries = candidates_and_count(records, queries, n_cand, filters=filters)
     vec_score = F.col("distance") if mode == "rrf" else (F.lit(1.0) - F.col("distance"))
     vec = vc.select("query_id", "id", vec_score.alias("vec_score"))
     recs_for_text = records.where(tags_filter(filters)) if filters else records
-    tc = text_search(recs_for_text, queries, n_cand, length_norm=(mode == "max_norm"), index=index)
+    tc = text_search(recs_for_text, queries, n_cand, length_norm=(mode == "max_norm"), index=index,
+                     only=recs_for_text.select("id") if filters else None)
     txt = tc.select("query_id", "id", "text_score")
     return vec, txt, n_queries
 

@@ -1,7 +1,7 @@
 """Conversation-history operators over a message table.
 
 Messages: ``(conv_id, turn, role, text[, has_function_item, is_summary])``
-where ``turn`` is the 0-based position of the message in its conversation.
+where ``turn`` orders the messages of a conversation; gaps are allowed.
 Per-conversation figures come from hash aggregations (partial combine) and
 are joined back on ``conv_id``; no operator sorts a whole conversation in one
 window, so a very long conversation is split by adaptive skew-join handling
@@ -31,45 +31,60 @@ def clean_history(messages: DataFrame) -> DataFrame:
 
 
 def conversation_stats(messages: DataFrame) -> DataFrame:
+    """``(conv_id, n, first_system, first_plain, insertion)``: the message count, the turns
+    of the first system and the first non-summary message, and how many messages stand
+    before the latter (all, if every message is a summary)."""
     m = with_defaults(messages)
-    return m.groupBy("conv_id").agg(
+    st = m.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(F.col("role") == "system", F.col("turn"))).alias("first_system"),
-        F.coalesce(F.min(F.when(~F.col("is_summary"), F.col("turn"))),
-                   F.count(F.lit(1))).alias("insertion"))
+        F.min(F.when(~F.col("is_summary"), F.col("turn"))).alias("first_plain"))
+    before = (m.where("is_summary").join(st.select("conv_id", "first_plain"), "conv_id")
+              .where(F.col("first_plain").isNull() | (F.col("turn") < F.col("first_plain")))
+              .groupBy("conv_id").agg(F.count(F.lit(1)).alias("insertion")))
+    return st.join(before, "conv_id", "left").fillna(0, ["insertion"])
+
+
+def _from_end(messages: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` messages with ``from_end`` (1 for the last); Spark keeps at most
+    ``n`` rows per conversation and task (``WindowGroupLimit``)."""
+    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
+    return messages.withColumn("from_end", F.row_number().over(w)).where(F.col("from_end") <= n)
 
 
 def history_tail(messages: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` messages of every conversation."""
-    stats = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    return messages.join(stats, "conv_id").where(F.col("turn") > F.col("last") - n).drop("last")
+    """The last ``n`` messages of every conversation, whatever gaps ``turn`` has."""
+    return _from_end(messages, n).drop("from_end")
 
 
 def reduction_points(messages: DataFrame, target: int, threshold: int = 0) -> DataFrame:
-    """Per conversation: ``(conv_id, n, first_system, insertion, truncation)``;
-    ``truncation = -1`` when the history is too short to reduce.
+    """Per conversation ``(conv_id, n, first_system, first_plain, truncation)``;
+    ``truncation`` is the turn of the first message of the kept tail, NULL when the
+    history is too short to reduce.
 
-    The target shrinks by one when a system message exists; nothing is cut
+    Positions count the messages present, so gaps in ``turn`` (left by cleaning) do not
+    matter.  The target shrinks by one when a system message exists; nothing is cut
     when ``n - threshold - target <= insertion``; the cut starts at
     ``n - target``, moves back over function messages, and prefers the latest
     user message not before ``n - threshold - target``."""
     if target <= 0 or threshold < 0:
         raise ValueError("target must be > 0 and threshold >= 0")
     m = with_defaults(messages)
-    st = conversation_stats(m)
     t = F.lit(target) - F.when(F.col("first_system").isNotNull(), 1).otherwise(0)
-    st = st.withColumn("t", t).withColumn("thr_idx", F.col("n") - F.lit(threshold) - F.col("t"))
-    j = m.join(st.select("conv_id", "n", "t", "thr_idx"), "conv_id")
-    start = F.least(F.col("n") - F.col("t"), F.col("n") - 1)
-    cut = j.groupBy("conv_id").agg(
-        F.max(F.when((F.col("turn") <= start) & ~F.col("has_function_item"), F.col("turn"))).alias("target_idx"),
-        F.max(F.when((F.col("role") == "user") & ~F.col("has_function_item")
-                     & (F.col("turn") >= F.col("thr_idx")) & (F.col("turn") <= start),
-                     F.col("turn"))).alias("user_idx"))
-    out = st.join(cut, "conv_id")
-    trunc = F.when(F.col("thr_idx") <= F.col("insertion"), F.lit(-1)).otherwise(
-        F.coalesce(F.col("user_idx"), F.col("target_idx"), F.lit(-1)))
-    return out.select("conv_id", "n", "first_system", "insertion", trunc.alias("truncation"))
+    st = conversation_stats(m).withColumn("t", t).where(F.col("n") - threshold - F.col("t") > F.col("insertion"))
+    # the two positions are among the last target + threshold messages
+    ends = _from_end(m.select("conv_id", "turn"), target + threshold).join(st.select("conv_id", "t"), "conv_id")
+    marks = ends.groupBy("conv_id").agg(
+        F.max(F.when(F.col("from_end") == F.greatest(F.col("t"), F.lit(1)), F.col("turn"))).alias("start"),
+        F.max(F.when(F.col("from_end") == F.greatest(F.col("t") + threshold, F.lit(1)), F.col("turn"))).alias("earliest"))
+    plain = ~F.col("has_function_item") & (F.col("turn") <= F.col("start"))
+    cut = m.join(marks, "conv_id").groupBy("conv_id").agg(
+        F.max(F.when(plain, F.col("turn"))).alias("target_turn"),
+        F.max(F.when(plain & (F.col("role") == "user") & (F.col("turn") >= F.col("earliest")), F.col("turn"))
+              ).alias("user_turn"))
+    all_stats = conversation_stats(m).select("conv_id", "n", "first_system", "first_plain")
+    return all_stats.join(cut, "conv_id", "left").select(
+        "conv_id", "n", "first_system", "first_plain", F.coalesce("user_turn", "target_turn").alias("truncation"))
 
 
 def reduce_history(messages: DataFrame, target: int, threshold: int = 0,
@@ -85,19 +100,20 @@ def reduce_history(messages: DataFrame, target: int, threshold: int = 0,
     m = with_defaults(messages)
     pts = reduction_points(m, target, threshold)
     j = m.join(pts, "conv_id")
-    red = F.col("truncation") >= 0
+    red = F.col("truncation").isNotNull()
     turn = F.col("turn")
     kind = (F.when(~red, F.lit("kept"))
             .when(turn == F.col("first_system"), F.lit("system"))
-            .when(F.lit(not single) & (turn < F.col("insertion")), F.lit("summary_prior"))
-            .when((turn >= F.col("insertion")) & (turn < F.col("truncation")) & F.col("has_function_item"),
+            .when(F.lit(not single) & F.coalesce(turn < F.col("first_plain"), F.lit(True)),
+                  F.lit("summary_prior"))
+            .when((turn >= F.col("first_plain")) & (turn < F.col("truncation")) & F.col("has_function_item"),
                   F.lit("function"))
             .when(turn >= F.col("truncation"), F.lit("tail")))
     group = (F.when(F.col("kind") == "system", 0).when(F.col("kind") == "summary_prior", 1)
              .when(F.col("kind") == "function", 3).otherwise(4))
     rows = (j.withColumn("kind", kind).where(F.col("kind").isNotNull())
             .select("conv_id", group.alias("g"), "turn", "role", "kind", "text"))
-    slots = (pts.where(F.col("truncation") >= 0)
+    slots = (pts.where(F.col("truncation").isNotNull())
              .select("conv_id", F.lit(2).alias("g"), F.lit(None).cast(m.schema["turn"].dataType).alias("turn"),
                      F.lit("assistant").alias("role"), F.lit("summary").alias("kind"),
                      F.lit(None).cast("string").alias("text")))
@@ -113,14 +129,14 @@ def reduce_history(messages: DataFrame, target: int, threshold: int = 0,
 
 def summary_input(messages: DataFrame, target: int, threshold: int = 0,
                   summary_count: int = 1) -> DataFrame:
-    """Messages handed to the summariser: ``[0 or insertion, truncation)``
+    """Messages handed to the summariser: before the tail, from the first
+    non-summary message in multi-summary mode,
     without function messages (half-open: nothing is both summarised and kept)."""
     m = with_defaults(messages)
     pts = reduction_points(m, target, threshold)
-    lo = F.lit(0) if summary_count == 1 else F.col("insertion")
-    return (m.join(pts.where(F.col("truncation") >= 0), "conv_id")
-            .where((F.col("turn") >= lo) & (F.col("turn") < F.col("truncation"))
-                   & ~F.col("has_function_item"))
+    lo = F.lit(True) if summary_count == 1 else F.col("turn") >= F.col("first_plain")
+    return (m.join(pts.where(F.col("truncation").isNotNull()), "conv_id")
+            .where(lo & (F.col("turn") < F.col("truncation")) & ~F.col("has_function_item"))
             .select("conv_id", "turn", "role", "text"))
 
 

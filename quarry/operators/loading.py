@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.mime import base_name, mime_from_name_strict
+from quarry.functions.mime import mime_from_name_strict, path_name
 from quarry.operators.chunking import (CHUNK_OVERLAP, CHUNK_SIZE, chunk_records,
                                        markdown_sections, recursive_chunks)
 from quarry.operators.routing import route_files, skip_imported
@@ -51,4 +51,4 @@ def chunk_files(files: DataFrame, *, size: int = CHUNK_SIZE, overlap: int = CHUN
           .select("path", F.col("section_no").alias("partition_number"), F.col("content").alias("text")))
     chunks = text.unionByName(md)
     tag_col = F.array(*[F.lit(t) for t in (tags or [])]).cast("array<string>")
-    return chunk_records(chunks, parent="path", name=base_name(F.col("path")), tags=tag_col)
+    return chunk_records(chunks, parent="path", name=path_name(F.col("path")), tags=tag_col)

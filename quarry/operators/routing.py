@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.mime import base_name, file_suffix, is_supported, loader_for, mime_from_name
+from quarry.functions.mime import (
+    base_name, file_suffix, is_supported, loader_for, mime_from_name, mime_from_path, path_name, path_suffix,
+)
 
 
-def route_files(files: DataFrame, path: str = "path") -> DataFrame:
+def route_files(files: DataFrame, path: str = "path", web: bool = False) -> DataFrame:
     """Add ``name, suffix, mime_type, supported, loader`` to every row; each row
-    is routed on its own type (unknown suffix -> NULL type, not supported)."""
-    mime = mime_from_name(F.col(path))
+    is routed on its own type (unknown suffix -> NULL type, not supported).
+    ``web``: the paths are web addresses, whose query and fragment are no part of the name."""
+    c = F.col(path)
+    name, suffix, mime = ((base_name(c), file_suffix(c), mime_from_name(c)) if web
+                          else (path_name(c), path_suffix(c), mime_from_path(c)))
     return files.select(
-        "*", base_name(F.col(path)).alias("name"), file_suffix(F.col(path)).alias("suffix"),
+        "*", name.alias("name"), suffix.alias("suffix"),
         mime.alias("mime_type"), is_supported(mime).alias("supported"),
         F.when(is_supported(mime), loader_for(mime)).alias("loader"))
 

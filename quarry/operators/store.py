@@ -29,9 +29,19 @@ def project(records: DataFrame, with_embeddings: bool = False) -> DataFrame:
 def list_records(records: DataFrame, filters=None, limit: int = 1, offset: int = 0,
                  order_by: str | Column = "id", with_embeddings: bool = False) -> DataFrame:
     """Filtered page of records ordered by ``order_by`` (then id).
-    ``limit <= 0`` means no limit; Spark plans the limited form as a top-k."""
+    ``limit <= 0`` means no limit; Spark plans the limited form as a top-k.  An offset
+    without a limit reads the one row before the page (a top-k) and keeps the rows
+    after it, so the rest of the table never passes through one task."""
     out = project(records.where(tags_filter(filters)), with_embeddings)
     keys = [order_by] if isinstance(order_by, str) and order_by == "id" else [order_by, "id"]
+    if offset > 0 and limit <= 0:
+        key = F.col(order_by) if isinstance(order_by, str) else order_by
+        last = out.select(key.alias("k"), "id").orderBy("k", "id").offset(offset - 1).limit(1).collect()
+        if not last:
+            return out.limit(0)
+        k, i = F.lit(last[0]["k"]), F.lit(last[0]["id"])
+        after = (key.isNotNull() if last[0]["k"] is None else key > k) | (key.eqNullSafe(k) & (F.col("id") > i))
+        return out.where(F.coalesce(after, F.lit(False))).orderBy(*keys)
     out = out.orderBy(*keys)
     if offset > 0:
         out = out.offset(offset)
@@ -41,11 +51,11 @@ def list_records(records: DataFrame, filters=None, limit: int = 1, offset: int =
 
 
 def document_id(tags: str | Column = "tags") -> Column:
-    """The document id held in the reserved ``__document_id:<id>`` tag."""
+    """The document id held in the reserved ``__document_id:<id>`` tag; NULL without one."""
     t = F.col(tags) if isinstance(tags, str) else tags
     prefix = DOCUMENT_TAG + ":"
     hit = F.filter(t, lambda x: x.startswith(prefix))
-    return F.substring(F.element_at(hit, 1), len(prefix) + 1, 1 << 30)
+    return F.substring(F.try_element_at(hit, F.lit(1)), len(prefix) + 1, 1 << 30)
 
 
 def records_of_documents(records: DataFrame, documents: DataFrame) -> DataFrame:

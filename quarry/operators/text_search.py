@@ -1,4 +1,4 @@
-"""Full-text matching and cover-density ranking over a lexeme index.
+"""Full-text matching and cover-density ranking.
 
 ``to_tsvector``-like normalisation: lower-case, split on anything that is not a
 letter or digit, drop stop words; positions count every word (stop words
@@ -6,20 +6,21 @@ included). A query matches a record when every distinct query lexeme occurs in
 it (``plainto_tsquery`` AND semantics); a query made only of stop words matches
 nothing.
 
-Plan (per query batch):
-
-1. the query lexemes (bounded) are resolved once on the driver;
-2. the index is restricted to them - a literal ``IN`` for short sets, a
-   broadcast left-semi join otherwise, pushed below the index aggregations;
-3. per query the rarest lexeme is picked from the document frequencies and
-   only its posting list is read: the candidates, a superset of the matches;
-4. the positions of the candidates are joined with the query lexemes and
-   aggregated once per ``(query_id, id)`` into a sorted hit array (bounded by
-   the record length); pairs missing a lexeme are dropped;
-5. a higher-order fold over the hit array gives the cover-density score.
-
-Beyond the driver bound the same plan runs fully distributed (window for the
-rarest lexeme, shuffle joins with adaptive skew handling).
+Plan (per query batch), one scan and one tokenise pass of the records, no exchange
+of them and no job while the plan is built:
+
+1. each record row holds its token array;
+2. each query has one key lexeme - its longest, ties by code point; a match must
+   hold it, so the keys found in a row (a hash-set test inside the row, or a join on
+   exploded tokens for a large batch) give the candidate pairs, a superset of the
+   matches;
+3. the candidates are verified and scored inside the row: the query's lexemes
+   against the record's tokens, then a fold over the hits (bounded by the record's
+   length) gives the cover-density score;
+4. top-k per query by ``row_number``, which Spark plans with a partial limit.
+
+A saved ``LexemeIndex`` holds the token arrays by id and ``(lexeme, id)`` pairs, range
+partitioned by both, so step 2 reads the key lexemes' postings only.
 """
 
 from __future__ import annotations
@@ -28,78 +29,75 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.stopwords import FRENCH
 from quarry.functions.text import word_tokens
 
-MAX_QUERY_LEXEMES = 500_000          # query-lexeme rows resolved on the driver per batch
-MAX_BROADCAST_CANDIDATES = 2_000_000  # (query, record) candidates broadcast into the scan
+MAX_QUERY_LEXEMES = 2_000             # key lexemes of a batch tested inside the row
 MAX_IN_LIST = 256                     # literal IN lists above this size become a broadcast semi-join
+MAX_BROADCAST_QUERIES = 200_000       # query rows broadcast to the candidates
 COVER_WEIGHT = 0.1  # weight of an unlabelled (class D) lexeme
 
 
+def kept_tokens(text: str | Column, stemmer: Callable[[Column], Column] | None = None,
+                stop_words=FRENCH) -> Column:
+    """All words in order; stop words and empty strings are ``''`` so positions stay."""
+    stem = stemmer or (lambda w: w)
+    return F.transform(word_tokens(text), lambda w: F.when(
+        (w != "") & ~w.isin(list(stop_words)), stem(w)).otherwise(F.lit("")))
+
+
 def lexemes(df: DataFrame, key: str, text: str,
             stemmer: Callable[[Column], Column] | None = None,
             stop_words=FRENCH) -> DataFrame:
     """``(key, lexeme, pos)`` with 1-based word positions."""
-    out = (df.select(F.col(key), F.posexplode(word_tokens(text)).alias("pos0", "lexeme"))
-           .where((F.col("lexeme") != "") & ~F.col("lexeme").isin(list(stop_words)))
-           .select(key, "lexeme", (F.col("pos0") + 1).alias("pos")))
-    if stemmer is not None:
-        out = out.withColumn("lexeme", stemmer(F.col("lexeme")))
-    return out
+    return (df.select(F.col(key), F.posexplode(kept_tokens(text, stemmer, stop_words)).alias("pos0", "lexeme"))
+            .where(F.col("lexeme") != "").select(key, "lexeme", (F.col("pos0") + 1).alias("pos")))
 
 
 class LexemeIndex:
-    """Inverted index of a record table.
+    """Token arrays of a record table and, once saved, its postings.
 
-    * ``positions`` ``(id, lexeme, pos)`` - every lexeme occurrence;
-    * ``terms``     ``(id, lexeme, tf)``  - one row per record and lexeme;
-    * ``stats``     ``(lexeme, df)``      - records holding the lexeme;
-    * ``lengths``   ``(id, n_pos)``       - lexeme positions per record.
+    * ``tokens`` ``(id, tokens)``  - one row per record;
+    * ``terms``  ``(lexeme, id)``  - one row per record and lexeme.
 
-    ``build`` is lazy (recomputed by every query); ``save`` writes the four
-    tables once - ``terms`` range-partitioned and sorted by lexeme, so the
-    per-query lookup of a few lexemes skips most files by their min/max
-    statistics - and ``load`` reads them back for any number of query batches.
+    ``build`` is lazy; ``save`` writes both once - ``terms`` range-partitioned and
+    sorted by ``(lexeme, id)``, so a lexeme that every record holds is spread over many
+    files and the lookup of a few lexemes skips most files by their statistics - and
+    ``load`` reads them back for any number of query batches.
     """
 
-    def __init__(self, positions: DataFrame, terms: DataFrame, stats: DataFrame, lengths: DataFrame):
-        self.positions, self.terms, self.stats, self.lengths = positions, terms, stats, lengths
+    def __init__(self, tokens: DataFrame, terms: DataFrame, saved: bool = False):
+        self.tokens, self.terms, self.saved = tokens, terms, saved
 
     @classmethod
     def build(cls, records: DataFrame, stemmer=None) -> "LexemeIndex":
-        pos = lexemes(records, "id", "content", stemmer)
-        terms = pos.groupBy("id", "lexeme").agg(F.count(F.lit(1)).alias("tf"))
-        stats = terms.groupBy("lexeme").agg(F.count(F.lit(1)).alias("df"))
-        lengths = pos.groupBy("id").agg(F.count(F.lit(1)).alias("n_pos"))
-        return cls(pos, terms, stats, lengths)
+        tokens = records.select("id", kept_tokens("content", stemmer).alias("tokens"))
+        terms = tokens.select(F.explode(F.array_distinct("tokens")).alias("lexeme"), "id").where("lexeme <> ''")
+        return cls(tokens, terms)
 
     def save(self, path: str, n_files: int | None = None) -> "LexemeIndex":
         path = path.rstrip("/")
-        spark = self.positions.sparkSession
+        spark = self.tokens.sparkSession
         n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.positions.repartition(n, "id").write.mode("errorifexists").parquet(f"{path}/positions")
-        (self.terms.repartitionByRange(n, "lexeme").sortWithinPartitions("lexeme")
+        self.tokens.repartition(n, "id").sortWithinPartitions("id").write.mode("errorifexists").parquet(f"{path}/tokens")
+        (self.terms.repartitionByRange(n, "lexeme", "id").sortWithinPartitions("lexeme", "id")
          .write.mode("errorifexists").parquet(f"{path}/terms"))
-        self.stats.write.mode("errorifexists").parquet(f"{path}/stats")
-        self.lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
         return LexemeIndex.load(spark, path)
 
     @classmethod
     def load(cls, spark, path: str) -> "LexemeIndex":
         path = path.rstrip("/")
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("positions", "terms", "stats", "lengths")])
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("tokens", "terms")], saved=True)
 
 
 def query_lexemes(queries: DataFrame, stemmer=None) -> DataFrame:
-    """``(query_id, lexeme, term, n_terms)``: distinct lexemes of every query,
-    ``term`` a 0-based number inside the query."""
-    q = lexemes(queries, "query_id", "query_text", stemmer).select("query_id", "lexeme").distinct()
-    w = Window.partitionBy("query_id").orderBy("lexeme")
-    return (q.withColumn("term", F.row_number().over(w) - 1)
-            .withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id"))))
+    """``(query_id, terms, key)``: the distinct lexemes of every query in order, and
+    the longest of them; queries without a lexeme are left out."""
+    terms = F.array_sort(F.array_distinct(F.filter(kept_tokens("query_text", stemmer), lambda w: w != "")))
+    longest = F.array_max(F.transform("terms", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return (queries.select("query_id", terms.alias("terms")).where(F.size("terms") > 0)
+            .withColumn("key", longest))
 
 
 def cover_density(hits: Column, n_terms: Column) -> Column:
@@ -137,147 +135,67 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
     return F.aggregate(hits, init, step, lambda acc: acc["score"])
 
 
-def keep_lexemes(df: DataFrame, lexemes_: list[str], keys: DataFrame | None = None) -> DataFrame:
+def keep_lexemes(df: DataFrame, lexemes_: list[str]) -> DataFrame:
     """Rows whose ``lexeme`` is in the given (driver-side, bounded) set.
 
     A short set is a literal ``IN`` (reaches Parquet min/max pruning of a
-    lexeme-sorted index); a long one is a broadcast left-semi join against
-    ``keys`` (a one-column local table of the set), which Catalyst pushes
-    below aggregations on ``lexeme`` like a filter."""
+    lexeme-sorted index); a long one is a broadcast left-semi join."""
     if not lexemes_:
         return df.limit(0)
     if len(lexemes_) <= MAX_IN_LIST:
         return df.where(F.col("lexeme").isin(lexemes_))
-    if keys is None:
-        import pandas as pd
-        keys = df.sparkSession.createDataFrame(pd.DataFrame({"lexeme": lexemes_}), "lexeme string")
+    keys = df.sparkSession.createDataFrame([(w,) for w in lexemes_], "lexeme string")
     return df.join(F.broadcast(keys), "lexeme", "left_semi")
 
 
-class QueryPlan:
-    """A query batch resolved against an index: query lexemes (a small local
-    table), the lexeme set, and per query its rarest lexeme.
-
-    The query lexemes are bounded (at most ``MAX_QUERY_LEXEMES`` rows are ever
-    read) and come to the driver once as Arrow; their set is then a literal
-    ``IN`` filter or a broadcast semi-join that Catalyst pushes below the index
-    aggregations (or into the scan of a saved index), so statistics and
-    postings are read for these lexemes only."""
-
-    def __init__(self, index: LexemeIndex, queries: DataFrame, stemmer=None,
-                 max_query_lexemes: int = MAX_QUERY_LEXEMES):
-        import pandas as pd
-
-        spark = queries.sparkSession
-        ql = query_lexemes(queries, stemmer)
-        pdf = ql.limit(max_query_lexemes + 1).toPandas()
-        if len(pdf) > max_query_lexemes:
-            self._distributed(index, ql)
-            return
-        self.distributed = False
-        self.qlex = spark.createDataFrame(pdf, ql.schema)
-        self.lexset = sorted(pdf["lexeme"].unique().tolist())
-        self.keys = (spark.createDataFrame(pd.DataFrame({"lexeme": self.lexset}), "lexeme string")
-                     if len(self.lexset) > MAX_IN_LIST else None)
-        stats = keep_lexemes(index.stats, self.lexset, self.keys).toPandas()
-        m = pdf[["query_id", "lexeme"]].merge(stats, on="lexeme", how="left")
-        m["df"] = m["df"].fillna(0).astype("int64")
-        rare = m.sort_values(["query_id", "df", "lexeme"]).drop_duplicates("query_id")
-        self.bound = int(rare["df"].sum())
-        hit = rare[rare["df"] > 0]
-        rare_df = spark.createDataFrame(hit[["query_id", "lexeme"]],
-                                        T.StructType([ql.schema["query_id"],
-                                                      T.StructField("lexeme", T.StringType())]))
-        postings = keep_lexemes(index.terms, sorted(hit["lexeme"].unique().tolist()))
-        # records holding the query's rarest lexeme: a superset of the AND
-        # matches, as small as the rarest posting list
-        self.candidates = postings.join(F.broadcast(rare_df), "lexeme").select("query_id", "id")
-
-    def _distributed(self, index: LexemeIndex, ql: DataFrame) -> None:
-        """Beyond the driver bound nothing is collected: the query lexemes stay
-        a DataFrame, the rarest lexeme comes from a window over the join with
-        the statistics, and every join is a shuffle join whose skewed
-        partitions adaptive execution splits."""
-        self.distributed = True
-        self.qlex = ql
-        self.lexset, self.keys, self.bound = None, None, None
-        vocab = ql.select("lexeme").distinct()
-        stats = index.stats.join(vocab, "lexeme", "left_semi")
-        r = (ql.select("query_id", "lexeme").join(stats, "lexeme", "left")
-             .withColumn("df", F.coalesce("df", F.lit(0))))
-        w = Window.partitionBy("query_id").orderBy("df", "lexeme")
-        rare = (r.withColumn("__r", F.row_number().over(w))
-                .where((F.col("__r") == 1) & (F.col("df") > 0)).select("query_id", "lexeme"))
-        self.candidates = index.terms.join(rare, "lexeme").select("query_id", "id")
-
-    def restrict(self, df: DataFrame) -> DataFrame:
-        """``df`` limited to the query lexemes."""
-        if self.distributed:
-            return df.join(self.qlex.select("lexeme").distinct(), "lexeme", "left_semi")
-        return keep_lexemes(df, self.lexset, self.keys)
-
-    def lexeme_side(self, cols) -> DataFrame:
-        q = self.qlex.select(*cols)
-        return q if self.distributed else F.broadcast(q)
-
-    def candidates_side(self) -> DataFrame:
-        if self.distributed or self.bound > MAX_BROADCAST_CANDIDATES:
-            return self.candidates
-        return F.broadcast(self.candidates)
-
-
-def _hits(index: LexemeIndex, plan: QueryPlan, with_lengths: bool = False) -> DataFrame:
-    """Sorted hit arrays of the candidate records that hold every query lexeme,
-    in one aggregation per ``(query_id, id)`` (the number of distinct terms is
-    read off the array, so no second distinct-aggregation level).
-
-    ``with_lengths`` also counts every lexeme position of the candidate (the
-    normalisation length) in the same pass, instead of aggregating lengths of
-    the whole index."""
-    q = plan.lexeme_side(["query_id", "lexeme", "term", "n_terms"])
-    pos = index.positions if with_lengths else plan.restrict(index.positions)
-    joined = pos.join(plan.candidates_side(), "id").join(q, ["query_id", "lexeme"],
-                                                         "left" if with_lengths else "inner")
-    n_terms = F.first("n_terms", ignorenulls=True) if with_lengths else F.first("n_terms")
-    aggs = [F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("pos", "term"))))
-            .alias("hits"), n_terms.alias("n_terms")]
-    if with_lengths:
-        aggs.append(F.count(F.lit(1)).alias("n_pos"))
-    out = joined.groupBy("query_id", "id").agg(*aggs)
-    n_hit = F.size(F.array_distinct(F.transform("hits", lambda h: h["term"])))
-    return out.where(n_hit == F.col("n_terms"))
-
-
-def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None,
-                 max_query_lexemes: int = MAX_QUERY_LEXEMES) -> DataFrame:
+def _pairs(index: LexemeIndex, queries: DataFrame, stemmer, max_query_lexemes: int) -> DataFrame:
+    """``(query_id, id, terms, tokens)`` of the matches: candidates by key lexeme whose
+    tokens hold all lexemes of the query."""
+    ql = query_lexemes(queries, stemmer)
+    # one bounded read of the query side: its distinct keys
+    keys = [r[0] for r in ql.select("key").distinct().limit(max_query_lexemes + 1).collect()]
+    small = len(keys) <= max_query_lexemes
+    if small and not index.saved:
+        found = F.filter(F.array_distinct("tokens"), lambda w: w.isin(keys)) if keys else F.array().cast("array<string>")
+        rows = index.tokens.select("id", "tokens", F.explode(found).alias("key"))
+        pairs = rows.join(F.broadcast(ql) if ql.count() <= MAX_BROADCAST_QUERIES else ql, "key")
+    else:
+        terms = keep_lexemes(index.terms, keys) if small else index.terms
+        pairs = (terms.withColumnRenamed("lexeme", "key").join(ql, "key").join(index.tokens, "id"))
+    return pairs.where(F.size(F.array_except("terms", "tokens")) == 0).select("query_id", "id", "terms", "tokens")
+
+
+def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None, max_query_lexemes: int = MAX_QUERY_LEXEMES) -> DataFrame:
     """``(query_id, id)`` pairs where the record holds every query lexeme."""
-    plan = QueryPlan(index, queries, stemmer, max_query_lexemes)
-    verify = plan.restrict(index.terms.select("id", "lexeme")).join(plan.candidates_side(), "id")
-    return (verify.join(plan.lexeme_side(["query_id", "lexeme", "n_terms"]), ["query_id", "lexeme"])
-            .groupBy("query_id", "id")
-            .agg(F.count(F.lit(1)).alias("n_hit"), F.first("n_terms").alias("n_terms"))
-            .where(F.col("n_hit") == F.col("n_terms"))
-            .select("query_id", "id"))
+    return _pairs(index, queries, stemmer, max_query_lexemes).select("query_id", "id")
 
 
 def text_search(records: DataFrame, queries: DataFrame, k: int | None = None, *,
                 length_norm: bool = False, stemmer=None,
-                index: LexemeIndex | None = None,
+                index: LexemeIndex | None = None, only: DataFrame | None = None,
                 max_query_lexemes: int = MAX_QUERY_LEXEMES) -> DataFrame:
     """``(query_id, id, text_score, text_rank)``; ``text_rank`` orders by score
-    desc then id. ``k`` keeps the first k per query (``None``/``<=0``: all).
+    desc then id. ``k`` keeps the first k per query; without it (``None``/``<=0``) all
+    matches are returned and ``text_rank`` is NULL (numbering every match of a query
+    would need one task).
 
     ``length_norm`` divides the score by ``ln(1 + number of lexeme positions)``.
-    Pass a saved ``LexemeIndex`` to serve many query batches from one index.
+    Pass a saved ``LexemeIndex`` to serve many query batches from one index;
+    ``only (id)`` then limits the matches to some records.
     """
     index = index if index is not None else LexemeIndex.build(records, stemmer)
-    hits = _hits(index, QueryPlan(index, queries, stemmer, max_query_lexemes), with_lengths=length_norm)
+    pairs = _pairs(index, queries, stemmer, max_query_lexemes)
+    if only is not None and index.saved:
+        pairs = pairs.join(only.select("id"), "id", "left_semi")
+    placed = F.filter(F.transform("tokens", lambda w, i: F.struct(
+        (i + 1).alias("pos"), (F.array_position("terms", w) - 1).cast("int").alias("term"))), lambda h: h["term"] >= 0)
+    hits = pairs.select("query_id", "id", F.size("terms").alias("n_terms"), placed.alias("hits"),
+                        F.size(F.filter("tokens", lambda w: w != "")).alias("n_pos"))
     score = cover_density(F.col("hits"), F.col("n_terms"))
     if length_norm:
         score = score / F.log(F.col("n_pos") + F.lit(1.0))
     scored = hits.select("query_id", "id", score.alias("text_score"))
+    if k is None or k <= 0:
+        return scored.withColumn("text_rank", F.lit(None).cast("int"))
     w = Window.partitionBy("query_id").orderBy(F.col("text_score").desc(), F.col("id").asc())
-    ranked = scored.withColumn("text_rank", F.row_number().over(w))
-    if k is not None and k > 0:
-        ranked = ranked.where(F.col("text_rank") <= k)
-    return ranked
+    return scored.withColumn("text_rank", F.row_number().over(w)).where(F.col("text_rank") <= k)

@@ -1,22 +1,24 @@
 """Exact cosine top-k of a batch of query vectors against a record table.
 
-Plan shape (no cross join, no pair rows):
-
-* fast path - the query block (size checked: ``max_broadcast_queries``) is
-  shipped to every task as one numpy matrix; ``mapInArrow`` streams the record
-  scan, scores each Arrow batch with one matrix product and emits only the
-  per-batch top-k of every query.  The record table is never shuffled.
-* large query sets - queries are cut into blocks and records into shards;
-  ``cogroup(block, shard)`` scores one bounded block x shard pair per group.
-  Both sides are replicated only by the block / shard count.
-
-Both paths end with ``row_number() <= k`` per query, which Spark runs as a
-partial + final ``WindowGroupLimit`` so at most ``k`` rows per query and
-partition cross the shuffle.
+Plan shape (no cross join, no pair rows, no shuffle of records): a block of
+queries of checked size is shipped to every task as one numpy matrix, and
+``mapInArrow`` streams the record scan past it.  A task scores each Arrow batch
+with matrix products, keeps a running top-k per query and emits at most ``k`` rows
+per query once.  A query batch that does not fit one block is cut into blocks by a
+hash of the query id, and the scan runs once per block; the rows do not depend on
+the number of blocks.
+
+The final cut is ``row_number() <= k`` per query, which Spark runs as a partial +
+final ``WindowGroupLimit``.
+
+All query vectors must have one dimension (else ``ValueError``); NULL vectors,
+zero vectors and records of another dimension match nothing; ties are broken by id
+inside the task, so equal vectors never leave it beyond ``k`` per query.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -26,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.tags import tags_filter
+from quarry.functions.vectors import cosine_distance
 
-MAX_BROADCAST_QUERIES = 4096        # query rows shipped as one matrix
+MAX_BROADCAST_QUERIES = 65_536      # query rows of one block
 MAX_BROADCAST_BYTES = 64 << 20      # and never more than this many bytes
-SHARD_ROWS = 200_000                # record rows per scoring group (large path)
 MAX_BROADCAST_HITS = 1_000_000      # queries x k hit rows joined back by broadcast
 
 
@@ -40,41 +42,34 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
 
 
 QUERY_BLOCK = 256    # queries scored together inside a task: ~20 MB of distances per 10k rows
-RECORD_CHUNK = 10_000  # records scored together inside one cogroup group
 
 
-def _batch_top(dist: np.ndarray, ids: np.ndarray, qids: np.ndarray, k: int,
-               max_distance: float | None):
-    """``dist`` is query-major ``(n_queries, n_records)``.  Returns the
-    per-query top-k of this batch as flat (query ids, record ids, distances);
-    every entry tied with a query's k-th distance is kept so the final cut can
-    break ties by id."""
-    valid = ~np.isnan(dist)
-    if max_distance is not None:
-        valid &= dist < max_distance
-    if 0 < k < dist.shape[1]:
-        masked = np.where(valid, dist, np.inf)
-        kth = np.partition(masked, k - 1, axis=1)[:, k - 1]   # one value per query
-        valid &= masked <= kth[:, None]
-    q, r = np.nonzero(valid)
-    if q.size == 0:
-        return None
-    return qids[q], ids[r], dist[q, r]
-
-
-def _score_blocks(rec_unit: np.ndarray, ids: np.ndarray, qids: np.ndarray, q_unit: np.ndarray,
-                  k: int, max_distance: float | None):
-    """Top-k of one record batch for all queries, scored QUERY_BLOCK queries at
-    a time so the distance matrix stays small."""
-    parts = []
+def _first_k(query: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int):
+    """The first ``k`` rows of every query by (distance, id); a tie of equal
+    vectors is cut like any other."""
+    order = np.lexsort((ids, dist, query))
+    query, ids, dist = query[order], ids[order], dist[order]
+    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
+    place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+    keep = place < k
+    return query[keep], ids[keep], dist[keep]
+
+
+def _score_batch(rec_unit: np.ndarray, ids: np.ndarray, q_unit: np.ndarray, k: int,
+                 max_distance: float | None) -> Iterator[tuple]:
+    """``(query numbers, ids, distances)`` of one record batch, QUERY_BLOCK queries at
+    a time; with ``k > 0`` at most ``k`` rows per query."""
     for b in range(0, q_unit.shape[0], QUERY_BLOCK):
         dist = 1.0 - q_unit[b:b + QUERY_BLOCK] @ rec_unit.T
-        top = _batch_top(dist, ids, qids[b:b + QUERY_BLOCK], k, max_distance)
-        if top is not None:
-            parts.append(top)
-    if not parts:
-        return None
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(3))
+        valid = ~np.isnan(dist)
+        if max_distance is not None:
+            valid &= dist < max_distance
+        if 0 < k < dist.shape[1]:
+            masked = np.where(valid, dist, np.inf)
+            valid &= masked <= np.partition(masked, k - 1, axis=1)[:, k - 1][:, None]
+        q, r = np.nonzero(valid)
+        found = (q + b, ids[r], dist[q, r])
+        yield _first_k(*found, k) if k > 0 else found
 
 
 def _candidates_schema(query_id_type: T.DataType) -> T.StructType:
@@ -85,89 +80,63 @@ def _candidates_schema(query_id_type: T.DataType) -> T.StructType:
     ])
 
 
-def _broadcast_candidates(recs: DataFrame, qtab: pa.Table, k: int,
-                          max_distance: float | None, qtype: T.DataType) -> DataFrame:
-    spark = recs.sparkSession
-    qids = qtab.column("query_id").to_numpy(zero_copy_only=False)
-    qmat = np.array([np.asarray(v, dtype=np.float64) for v in qtab.column("query_vec").to_pylist()])
-    if qmat.ndim != 2:
+def _dimension(queries: DataFrame) -> int | None:
+    """The one dimension of the query vectors; None without any."""
+    lo, hi = queries.where(F.col("query_vec").isNotNull()).agg(
+        F.min(F.size("query_vec")), F.max(F.size("query_vec"))).first()
+    if lo != hi:
         raise ValueError("query vectors must all have the same dimension")
-    payload = (qids, _unit_rows(qmat))
+    return lo
+
+
+def _block_candidates(recs: DataFrame, block: pa.Table, k: int, max_distance: float | None,
+                      qtype: T.DataType) -> DataFrame:
+    """Candidates of one block of queries against the whole record scan."""
+    arrow_ids = block.column("query_id").combine_chunks()
+    q_unit = _unit_rows(np.array(block.column("query_vec").to_pylist(), dtype=np.float64))
+    payload = (arrow_ids, q_unit)
+    spark = recs.sparkSession
     try:
         bq = spark.sparkContext.broadcast(payload)
         get = lambda: bq.value
     except Exception:  # noqa: BLE001 - no broadcast variables (Spark Connect): ship with the function
         get = lambda: payload
-    arrow_qtype = pa.from_numpy_dtype(qids.dtype) if qids.dtype != object else pa.string()
-    dim = qmat.shape[1]
+    dim = q_unit.shape[1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_unit = get()
+        query_ids, q_unit = get()
+
+        def rows(query, ids, dist) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [query_ids.take(pa.array(query)), pa.array(ids.astype(object), type=pa.string()),
+                 pa.array(dist, type=pa.float64())], names=["query_id", "id", "distance"])
+
+        best = (np.empty(0, np.int64), np.empty(0, "U1"), np.empty(0))
         for b in batches:
             if b.num_rows == 0:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            vec = b.column(1)
-            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            m = flat.reshape(b.num_rows, dim)
-            top = _score_blocks(_unit_rows(m), ids, q_ids, q_unit, k, max_distance)
-            if top is None:
+            ids = np.array(b.column(0).to_pylist(), dtype=str)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            found = _score_batch(_unit_rows(flat.reshape(b.num_rows, dim)), ids, q_unit, k, max_distance)
+            if k <= 0:
+                yield from (rows(*part) for part in found if len(part[0]))
                 continue
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(top[0], type=arrow_qtype), pa.array(top[1], type=pa.string()),
-                 pa.array(top[2], type=pa.float64())],
-                names=["query_id", "id", "distance"])
+            parts = [best, *found]
+            best = _first_k(*[np.concatenate([p[i] for p in parts]) for i in range(3)], k)
+        if len(best[0]):
+            yield rows(*best)
 
     return recs.select("id", "embedding").mapInArrow(score, _candidates_schema(qtype))
 
 
-def _blocked_candidates(recs: DataFrame, queries: DataFrame, k: int,
-                        max_distance: float | None, qtype: T.DataType,
-                        n_queries: int, block: int) -> DataFrame:
-    n_blocks = max(1, -(-n_queries // block))
-    n_records = recs.count()
-    n_shards = max(1, -(-n_records // SHARD_ROWS))
-    # cogroup keys must have identical types on both sides (int and bigint hash
-    # to different partitions), so every key is a bigint
-    r = (recs.select("id", "embedding")
-         .withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("bigint"))
-         .withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))))
-    q = (queries.select("query_id", "query_vec")
-         .withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("bigint"))
-         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint")))))
-
-    def score(rp, qp):
-        import pandas as pd
-
-        def empty():
-            return pd.DataFrame({"query_id": qp["query_id"].iloc[:0],
-                                 "id": pd.Series([], dtype=str),
-                                 "distance": pd.Series([], dtype="float64")})
-        if len(rp) == 0 or len(qp) == 0:
-            return empty()
-        m = _unit_rows(np.stack(rp["embedding"].to_numpy()).astype(np.float64))
-        qm = _unit_rows(np.stack(qp["query_vec"].to_numpy()).astype(np.float64))
-        rid, qid = rp["id"].to_numpy(), qp["query_id"].to_numpy()
-        parts = [t for t in (_score_blocks(m[c:c + RECORD_CHUNK], rid[c:c + RECORD_CHUNK], qid, qm, k,
-                                           max_distance)
-                             for c in range(0, len(m), RECORD_CHUNK)) if t is not None]
-        top = tuple(np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else None
-        if top is None:
-            return empty()
-        return pd.DataFrame({"query_id": top[0], "id": top[1], "distance": top[2]})
-
-    return (r.groupBy("qblock", "shard")
-            .cogroup(q.groupBy("qblock", "shard"))
-            .applyInPandas(score, _candidates_schema(qtype)))
-
-
 def vector_candidates(records: DataFrame, queries: DataFrame, k: int, *,
                       min_similarity: float | None = None, filters=None,
                       max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """``(query_id, id, distance, rank)`` - the k nearest records of every query.
 
-    ``k <= 0`` means unlimited (every record passing the threshold). Records
-    with a NULL embedding never match. Ties are broken by ``id``.
+    ``k <= 0`` means unlimited: every record passing the threshold, ``rank`` NULL
+    (numbering all pairs of a query would need one task). Records with a NULL
+    embedding never match. Ties are broken by ``id``.
     """
     return candidates_and_count(records, queries, k, min_similarity=min_similarity,
                                 filters=filters, max_broadcast_queries=max_broadcast_queries)[0]
@@ -176,29 +145,37 @@ def vector_candidates(records: DataFrame, queries: DataFrame, k: int, *,
 def candidates_and_count(records: DataFrame, queries: DataFrame, k: int, *,
                          min_similarity: float | None = None, filters=None,
                          max_broadcast_queries: int = MAX_BROADCAST_QUERIES):
-    """``vector_candidates`` plus the number of queries (known from the
-    bounded read of the query block, or counted on the large path)."""
+    """``vector_candidates`` plus the number of queries."""
     qtype = queries.schema["query_id"].dataType
-    recs = records.where(F.col("embedding").isNotNull()).where(tags_filter(filters))
     max_distance = None if min_similarity is None else 1.0 - float(min_similarity)
-    # one bounded read of the query block: at most max_broadcast_queries + 1 rows
-    qtab = queries.select("query_id", "query_vec").limit(max_broadcast_queries + 1).toArrow()
-    dim_probe = max((len(v) for v in qtab.column("query_vec").to_pylist() if v is not None), default=0)
-    fits = (qtab.num_rows <= max_broadcast_queries
-            and qtab.num_rows * max(dim_probe, 1) * 8 <= MAX_BROADCAST_BYTES)
-    if fits:
-        n_queries = qtab.num_rows
-        cand = _broadcast_candidates(recs.where(F.size("embedding") == dim_probe), qtab, k,
-                                     max_distance, qtype)
+    queries = queries.select("query_id", "query_vec").where(F.col("query_vec").isNotNull())
+    # one bounded read of the query block tells whether it is the only one
+    block = queries.limit(max_broadcast_queries + 1).toArrow()
+    sizes = {len(v) for v in block.column("query_vec").to_pylist()}
+    one = block.num_rows <= max_broadcast_queries and block.num_rows * max(sizes, default=1) * 8 <= MAX_BROADCAST_BYTES
+    if one:
+        if len(sizes) > 1:
+            raise ValueError("query vectors must all have the same dimension")
+        dim, n_queries = max(sizes, default=None), block.num_rows
+    else:
+        dim, n_queries = _dimension(queries), queries.count()
+    schema = T.StructType([*_candidates_schema(qtype).fields, T.StructField("rank", T.IntegerType())])
+    if not n_queries or not dim:
+        return records.sparkSession.createDataFrame([], schema), n_queries
+    recs = records.where(F.size("embedding") == dim).where(tags_filter(filters))
+    if one:
+        blocks = [block]
     else:
-        n_queries = queries.count()
-        cand = _blocked_candidates(recs, queries, k, max_distance, qtype, n_queries,
-                                   max_broadcast_queries)
+        rows = min(max_broadcast_queries, max(1, MAX_BROADCAST_BYTES // (8 * dim)))
+        n_blocks = -(-2 * n_queries // rows)  # hash blocks of about half the bound
+        of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+        blocks = (queries.where(of == b).toArrow() for b in range(n_blocks))
+    parts = [_block_candidates(recs, b, k, max_distance, qtype) for b in blocks if b.num_rows]
+    cand = reduce(DataFrame.unionByName, parts)
+    if k <= 0:
+        return cand.withColumn("rank", F.lit(None).cast("int")), n_queries
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("id").asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    if k > 0:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked, n_queries
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), n_queries
 
 
 def vector_search(records: DataFrame, queries: DataFrame, k: int = 1, *, offset: int = 0,
@@ -223,79 +200,49 @@ def vector_search(records: DataFrame, queries: DataFrame, k: int = 1, *, offset:
             .select("query_id", *cols, "distance", "similarity", "rank"))
 
 
-def approx_vector_search(records: DataFrame, queries: DataFrame, k: int, *,
-                         min_similarity: float = 0.0, bucket_length: float = 0.1,
-                         num_hash_tables: int = 8, seed: int = 7,
-                         shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Approximate top-k: a record is scored against a query only when they
-    share a random-projection LSH bucket (Spark ML ``BucketedRandomProjectionLSH``
-    on unit vectors, where Euclidean order equals cosine order).
-
-    No pair table is built: every ``(hash table, bucket)`` is split into record
-    shards of at most ``shard_rows`` rows, the queries of the bucket are
-    replicated to its shards, and each ``cogroup`` group is scored in numpy
-    emitting only its per-query top-k - a bucket holding a third of all
-    records is just more shards.  Returns ``(query_id, id, distance, rank)``.
-
-    Unit vectors project to about N(0, 1/dim) on a random direction, so the
-    bucket length is on that scale (0.1 for 64 dimensions).  On the driver's
-    64-d embeddings this gives recall@5 0.94 while still scoring ~86 % of all
-    (query, record) pairs: LSH pays off only on clustered data, which is why
-    the exact batched scan is the default."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    def unit(c):
-        n = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-        return array_to_vector(F.transform(c, lambda x: x.cast("double") / n))
+def choose_centroids(records: DataFrame, n_lists: int) -> DataFrame:
+    """``n_lists`` record vectors, spread by a hash of their id: ``(centroid, centroid_vec)``."""
+    pool = records.where(F.col("embedding").isNotNull()).select(
+        F.col("id").alias("centroid"), F.col("embedding").alias("centroid_vec"))
+    return pool.orderBy(F.md5("centroid"), "centroid").limit(n_lists)
 
-    qtype = queries.schema["query_id"].dataType
+
+def approx_vector_search(records: DataFrame, queries: DataFrame, k: int, *,
+                         min_similarity: float | None = None, filters=None, n_lists: int = 16,
+                         probes: int = 4) -> DataFrame:
+    """Approximate top-k over centroid lists: every record belongs to the list of its
+    nearest centroid (one copy per record), a query is scored against the records of
+    its ``probes`` nearest lists only.  Returns ``(query_id, id, distance, rank)``.
+
+    At most ``n_lists`` centroids are shipped to tasks, as literals of a JVM expression.
+    The probed pairs meet in an equi-join on the list, whose skewed partitions adaptive
+    execution splits, and each query keeps its first ``k``.
+    """
+    if k <= 0:
+        raise ValueError("k must be > 0")
     max_distance = None if min_similarity is None else 1.0 - float(min_similarity)
-    r = records.where(F.col("embedding").isNotNull()).select("id", "embedding", unit(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", "query_vec", unit(F.col("query_vec")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=num_hash_tables, seed=seed).fit(r)
-
-    def buckets(df, cols):
-        out = model.transform(df).select(*cols, F.posexplode("h").alias("tbl", "hv"))
-        return out.select(*cols, F.col("tbl").cast("bigint").alias("tbl"),
-                          vector_to_array("hv")[0].cast("bigint").alias("bucket"))
-
-    n_shards = max(1, -(-records.count() // shard_rows))
-    # identical (bigint) key types on both sides of the cogroup
-    rb = buckets(r, ["id", "embedding"]).withColumn(
-        "shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("bigint"))
-    qb = (buckets(q, ["query_id", "query_vec"])
-          .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_shards - 1).cast("bigint")))))
-
-    def score(rp, qp):
-        import pandas as pd
-
-        def empty():
-            return pd.DataFrame({"query_id": qp["query_id"].iloc[:0], "id": pd.Series([], dtype=str),
-                                 "distance": pd.Series([], dtype="float64")})
-        if len(rp) == 0 or len(qp) == 0:
-            return empty()
-        m = _unit_rows(np.stack(rp["embedding"].to_numpy()).astype(np.float64))
-        qm = _unit_rows(np.stack(qp["query_vec"].to_numpy()).astype(np.float64))
-        rid, qid = rp["id"].to_numpy(), qp["query_id"].to_numpy()
-        parts = [t for t in (_score_blocks(m[c:c + RECORD_CHUNK], rid[c:c + RECORD_CHUNK], qid, qm, k,
-                                           max_distance)
-                             for c in range(0, len(m), RECORD_CHUNK)) if t is not None]
-        if not parts:
-            return empty()
-        return pd.DataFrame({"query_id": np.concatenate([p_[0] for p_ in parts]),
-                             "id": np.concatenate([p_[1] for p_ in parts]),
-                             "distance": np.concatenate([p_[2] for p_ in parts])})
-
-    cand = (rb.groupBy("tbl", "bucket", "shard")
-            .cogroup(qb.groupBy("tbl", "bucket", "shard"))
-            .applyInPandas(score, _candidates_schema(qtype))
-            # a pair found in several hash tables has the same distance
-            .dropDuplicates(["query_id", "id"]))
+    recs = records.where(F.col("embedding").isNotNull()).where(tags_filter(filters))
+    centroids = choose_centroids(records, n_lists).toArrow()  # at most n_lists rows
+    cent = [(r["centroid"], [float(x) for x in r["centroid_vec"]]) for r in centroids.to_pylist()]
+    names, matrix = [c for c, _ in cent], [v for _, v in cent]
+
+    def lists(vec: str, n: int):
+        """The ``n`` nearest centroids of a vector column, by distance then name."""
+        scored = F.array(*[F.struct(cosine_distance(F.col(vec), F.array(*[F.lit(x) for x in v])).alias("d"),
+                                    F.lit(c).alias("c")) for c, v in zip(names, matrix)])
+        return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["d"].isNotNull())), 1, n),
+                           lambda x: x["c"])
+
+    if not cent:
+        return candidates_and_count(recs, queries, k, min_similarity=min_similarity)[0]
+    r = recs.select("id", "embedding", F.explode(lists("embedding", 1)).alias("list"))
+    q = queries.select("query_id", "query_vec", F.explode(lists("query_vec", probes)).alias("list"))
+    cand = r.join(q, "list").select("query_id", "id", cosine_distance("query_vec", "embedding").alias("distance"))
+    cand = cand.where(F.col("distance").isNotNull())
+    if max_distance is not None:
+        cand = cand.where(F.col("distance") < max_distance)
     w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("id").asc())
-    out = cand.withColumn("rank", F.row_number().over(w))
-    return out.where(F.col("rank") <= k) if k > 0 else out
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def hashing_embedder(num_features: int = 64, text_col: str = "content", out_col: str = "embedding"):

@@ -26,7 +26,7 @@ RECORDS_CTE = """records AS (
           '__document_id:' || CAST(d.doc_id AS VARCHAR)] AS tags,
          d.text AS content,
          CAST(json_object('source', d.source, 'n_chars', d.n_chars) AS VARCHAR) AS payload
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"""
 
 QUERY_SET_CTE = """query_set AS (
   SELECT b.item_id AS query_id, b.text AS query_text,
@@ -38,7 +38,7 @@ SCORED_CTE = """scored AS (
          1 - list_dot_product(q.query_vec, r.embedding)
              / (sqrt(list_dot_product(q.query_vec, q.query_vec))
                 * sqrt(list_dot_product(r.embedding, r.embedding))) AS distance
-  FROM query_set q, records r {where})"""
+  FROM query_set q, records r WHERE r.embedding IS NOT NULL {where})"""
 
 STOP_SQL = sql_list()
 

@@ -52,7 +52,9 @@ def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def macro_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    m = macro_average(query_metrics(_judged(spark, sf), k=5))
+    # every benchmark item is a question; those without a vector return nothing
+    questions = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"))
+    m = macro_average(query_metrics(_judged(spark, sf), k=5), questions)
     return m.select("n_queries", rounded("mean_precision"), rounded("mean_mrr"),
                     rounded("mean_ndcg"))
 
@@ -119,8 +121,9 @@ SELECT query_id, rank, document_id, round(score, 6) + 0.0 AS score FROM flat""",
 SELECT query_id, n_results, n_relevant, round(precision, 6) + 0.0 AS precision,
        round(mrr, 6) + 0.0 AS mrr, round(ndcg, 6) + 0.0 AS ndcg FROM metrics""",
     "macro_metrics": f"""{_JUDGED}
-SELECT count(*) AS n_queries, round(avg(precision), 6) + 0.0 AS mean_precision,
-       round(avg(mrr), 6) + 0.0 AS mean_mrr, round(avg(ndcg), 6) + 0.0 AS mean_ndcg FROM metrics""",
+SELECT count(*) AS n_queries, round(sum(precision) / count(*), 6) + 0.0 AS mean_precision,
+       round(sum(mrr) / count(*), 6) + 0.0 AS mean_mrr, round(sum(ndcg) / count(*), 6) + 0.0 AS mean_ndcg
+FROM benchmark b LEFT JOIN metrics m ON m.query_id = b.item_id""",
     "citation_groups": f"""{RESULTS_CTES}
 SELECT query_id, id AS source_name, round(score, 6) + 0.0 AS relevance, CAST(1 AS BIGINT) AS n_partitions FROM results""",
     "context_block_text": f"""{_CONTEXT}

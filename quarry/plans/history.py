@@ -16,8 +16,19 @@ TARGET = 5
 TAIL = 4
 
 
+#: The conversations with blank messages, and function messages, derived from their keys,
+#: so that cleaning leaves gaps and the rows of these queries can fail.
+CONV_COLUMNS = ["conv_id", "turn", "role", "CASE WHEN (conv_id + turn) % 4 = 1 THEN '  ' ELSE text END AS text",
+                "(conv_id * 3 + turn) % 5 = 0 AS has_function_item"]
+CONV_SQL = ", ".join(CONV_COLUMNS)
+
+
 def _conv(spark, sf):
-    return read_table(spark, sf, "conversations")
+    return read_table(spark, sf, "conversations").selectExpr(*CONV_COLUMNS)
+
+
+def _cleaned(spark, sf):
+    return clean_history(_conv(spark, sf))
 
 
 def clean_history_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,15 +36,15 @@ def clean_history_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def history_tail_q(spark: SparkSession, sf: str) -> DataFrame:
-    return history_tail(_conv(spark, sf), TAIL).select("conv_id", "turn", "role")
+    return history_tail(_cleaned(spark, sf), TAIL).select("conv_id", "turn", "role")
 
 
 def reduce_history_q(spark: SparkSession, sf: str) -> DataFrame:
-    return reduce_history(_conv(spark, sf), TARGET).select("conv_id", "out_pos", "turn", "role", "kind")
+    return reduce_history(_cleaned(spark, sf), TARGET).select("conv_id", "out_pos", "turn", "role", "kind")
 
 
 def summary_input_q(spark: SparkSession, sf: str) -> DataFrame:
-    return summary_input(_conv(spark, sf), TARGET).select("conv_id", "turn", "role")
+    return summary_input(_cleaned(spark, sf), TARGET).select("conv_id", "turn", "role")
 
 
 def refined_terms_q(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,36 +62,42 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
         "id", "parent_id", "name", "size", "partition_number", "content_sha256")
 
 
-_PTS = f"""st AS (SELECT conv_id, count(*) AS n, min(CASE WHEN role = 'system' THEN turn END) AS first_system,
-                min(turn) AS insertion FROM conversations GROUP BY conv_id),
-st3 AS (SELECT *, n - {TARGET} + CASE WHEN first_system IS NOT NULL THEN 1 ELSE 0 END AS thr_idx,
-               least(n - ({TARGET} - CASE WHEN first_system IS NOT NULL THEN 1 ELSE 0 END), n - 1) AS start
-        FROM st),
-cut AS (SELECT s.conv_id, max(CASE WHEN c.turn <= s.start THEN c.turn END) AS target_idx,
-               max(CASE WHEN c.role = 'user' AND c.turn >= s.thr_idx AND c.turn <= s.start THEN c.turn END) AS user_idx
-        FROM st3 s JOIN conversations c USING (conv_id) GROUP BY s.conv_id),
-pts AS (SELECT s.conv_id, s.first_system, s.insertion,
-               CASE WHEN s.thr_idx <= s.insertion THEN -1 ELSE coalesce(u.user_idx, u.target_idx, -1) END AS truncation
-        FROM st3 s JOIN cut u USING (conv_id))"""
+_CLEANED = f"""raw AS (SELECT {CONV_SQL} FROM conversations),
+msgs AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+                count(*) OVER (PARTITION BY conv_id) AS n
+         FROM raw WHERE regexp_matches(text, '\\S'))"""
+
+# positions are counted here message by message, on the cleaned conversations
+_PTS = f"""{_CLEANED},
+sys AS (SELECT conv_id, max(n) AS n, min(CASE WHEN role = 'system' THEN pos END) AS first_system FROM msgs GROUP BY conv_id),
+goal AS (SELECT *, {TARGET} - CASE WHEN first_system IS NULL THEN 0 ELSE 1 END AS t FROM sys),
+tailed AS (
+  SELECT g.conv_id, g.first_system,
+         max(CASE WHEN NOT m.has_function_item AND m.pos <= least(g.n - g.t, g.n - 1) THEN m.pos END) AS at,
+         max(CASE WHEN NOT m.has_function_item AND m.role = 'user' AND m.pos >= g.n - g.t
+                   AND m.pos <= least(g.n - g.t, g.n - 1) THEN m.pos END) AS at_user
+  FROM goal g JOIN msgs m USING (conv_id) WHERE g.n - g.t > 0 GROUP BY g.conv_id, g.first_system),
+pts AS (SELECT s.conv_id, s.first_system, coalesce(t.at_user, t.at) AS truncation FROM sys s LEFT JOIN tailed t USING (conv_id))"""
 
 SQL = {
-    "clean_history": "SELECT conv_id, turn, role FROM conversations WHERE regexp_matches(text, '\\S')",
-    "history_tail": f"""SELECT c.conv_id, c.turn, c.role FROM conversations c
-JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id) m USING (conv_id)
-WHERE c.turn > m.last - {TAIL}""",
+    "clean_history": f"WITH {_CLEANED}\nSELECT conv_id, turn, role FROM msgs",
+    "history_tail": f"""WITH {_CLEANED}
+SELECT conv_id, turn, role FROM msgs WHERE pos >= n - {TAIL}""",
     "reduce_history": f"""WITH {_PTS},
 r AS (
-  SELECT c.conv_id, c.turn, c.role,
-         CASE WHEN p.truncation < 0 THEN 'kept' WHEN c.turn = p.first_system THEN 'system'
-              WHEN c.turn >= p.truncation THEN 'tail' END AS kind
-  FROM conversations c JOIN pts p USING (conv_id)
+  SELECT m.conv_id, m.turn, m.role,
+         CASE WHEN p.truncation IS NULL THEN 'kept' WHEN m.pos = p.first_system THEN 'system'
+              WHEN m.pos < p.truncation AND m.has_function_item THEN 'function'
+              WHEN m.pos >= p.truncation THEN 'tail' END AS kind
+  FROM msgs m JOIN pts p USING (conv_id)
   UNION ALL
-  SELECT conv_id, NULL, 'assistant', 'summary' FROM pts WHERE truncation >= 0),
-g AS (SELECT *, CASE kind WHEN 'system' THEN 0 WHEN 'summary' THEN 2 ELSE 4 END AS grp FROM r WHERE kind IS NOT NULL)
+  SELECT conv_id, NULL, 'assistant', 'summary' FROM pts WHERE truncation IS NOT NULL),
+g AS (SELECT *, CASE kind WHEN 'system' THEN 0 WHEN 'summary' THEN 2 WHEN 'function' THEN 3 ELSE 4 END AS grp
+      FROM r WHERE kind IS NOT NULL)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY grp, turn) - 1 AS out_pos, turn, role, kind FROM g""",
     "summary_input": f"""WITH {_PTS}
-SELECT c.conv_id, c.turn, c.role FROM conversations c JOIN pts p USING (conv_id)
-WHERE p.truncation >= 0 AND c.turn >= 0 AND c.turn < p.truncation""",
+SELECT m.conv_id, m.turn, m.role FROM msgs m JOIN pts p USING (conv_id)
+WHERE m.pos < p.truncation AND NOT m.has_function_item""",
     "refined_terms": f"""WITH {tokens_cte('dtok', 'documents', 'doc_id', 'text')},
 {tokens_cte('qtok', 'benchmark', 'item_id', 'text')},
 dfs AS (SELECT lexeme, count(DISTINCT key) AS df FROM dtok GROUP BY lexeme),

@@ -82,8 +82,14 @@ def page_text_without_margins(spark: SparkSession, sf: str) -> DataFrame:
                     content_sha256("text").alias("text_sha256"))
 
 
+#: Endings given to the page addresses by their id, so that every loader occurs.
+_ENDINGS = ["", "/a.PDF", "/b.docx", "/c.pptx", "/d.xlsx", "/e.md?raw=1", "/f.txt", "/g.html#top", "/h.tar.gz", "/.env"]
+NAMES_SQL = "CASE page_id % 10 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(_ENDINGS)) + " END"
+
+
 def mime_routing(spark: SparkSession, sf: str) -> DataFrame:
-    r = route_files(read_table(spark, sf, "pages").select("page_id", F.col("url").alias("path")))
+    pages = read_table(spark, sf, "pages").select("page_id", F.expr(f"concat(url, {NAMES_SQL})").alias("path"))
+    r = route_files(pages, web=True)
     return r.select("page_id", "name", "suffix", "mime_type", "supported", "loader")
 
 
@@ -212,7 +218,7 @@ def _mime_sql() -> str:
     load_map = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LOADER_BY_TYPE.items()) + "}"
     sup = "(" + ", ".join(f"'{t}'" for t in SUPPORTED_TYPES) + ")"
     return f"""WITH n AS (
-  SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\\\]*)$', 1) AS name FROM pages),
+  SELECT page_id, regexp_extract(regexp_replace(concat(url, {NAMES_SQL}), '[?#].*$', ''), '([^/\\\\]*)$', 1) AS name FROM pages),
 s AS (SELECT page_id, name, lower(coalesce(regexp_extract(name, '^.+?(\\.[^.]+)$', 1), '')) AS suffix FROM n),
 m AS (SELECT page_id, name, suffix, {ext_map}[suffix] AS mime_type FROM s)
 SELECT page_id, name, suffix, mime_type, coalesce(mime_type IN {sup}, false) AS supported,

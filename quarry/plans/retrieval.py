@@ -68,14 +68,20 @@ def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
                     payload_field("n_chars").cast("bigint").alias("n_chars"))
 
 
+LISTS, PROBES = 16, 4
+
+
 def approx_vector_top_k(spark: SparkSession, sf: str) -> DataFrame:
-    out = approx_vector_search(records(spark, sf), query_set(spark, sf), 5, min_similarity=-1.0)
+    out = approx_vector_search(records(spark, sf), query_set(spark, sf), 5, n_lists=LISTS, probes=PROBES)
     return out.select("query_id", "id", rounded("distance"), "rank")
 
 
 _VEC_SELECT = """SELECT query_id, id, round(distance, 6) + 0.0 AS distance,
        round(1 - distance, 6) + 0.0 AS similarity, rank"""
 
+_COS = ("1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) "
+        "* sqrt(list_dot_product({b}, {b})))")
+
 SQL = {
     "vector_top_k": f"""WITH {RECORDS_CTE}, {QUERY_SET_CTE}, {SCORED_CTE.format(where='')},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored)
@@ -88,9 +94,20 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 ranked AS (SELECT query_id, id, distance,
                   row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 3 AS rank FROM scored)
 {_VEC_SELECT} FROM ranked WHERE rank BETWEEN 1 AND 5""",
-    "similar_with_filters": f"""WITH {RECORDS_CTE}, {QUERY_SET_CTE}, {SCORED_CTE.format(where='WHERE ' + FILTERS_SQL)},
+    "similar_with_filters": f"""WITH {RECORDS_CTE}, {QUERY_SET_CTE}, {SCORED_CTE.format(where='AND ' + FILTERS_SQL)},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored)
 {_VEC_SELECT} FROM ranked WHERE rank <= 5""",
+    "approx_vector_top_k": f"""WITH {RECORDS_CTE}, {QUERY_SET_CTE},
+cent AS (SELECT id AS c, embedding AS cv FROM records WHERE embedding IS NOT NULL ORDER BY md5(id), id LIMIT {LISTS}),
+rl AS (SELECT id, embedding, c AS list FROM (
+  SELECT r.id, r.embedding, cent.c, row_number() OVER (PARTITION BY r.id ORDER BY {_COS.format(a='r.embedding', b='cv')}, c) AS i
+  FROM records r, cent WHERE r.embedding IS NOT NULL) WHERE i = 1),
+ql AS (SELECT query_id, query_vec, c AS list FROM (
+  SELECT q.query_id, q.query_vec, cent.c, row_number() OVER (PARTITION BY q.query_id ORDER BY {_COS.format(a='q.query_vec', b='cv')}, c) AS i
+  FROM query_set q, cent) WHERE i <= {PROBES}),
+hit AS (SELECT ql.query_id, rl.id, {_COS.format(a='ql.query_vec', b='rl.embedding')} AS distance FROM ql JOIN rl USING (list))
+SELECT query_id, id, round(distance, 6) + 0.0 AS distance,
+       row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM hit QUALIFY rank <= 5""",
     "tag_filter_all": f"""WITH {RECORDS_CTE}
 SELECT id, array_to_string(tags, '|') AS tags FROM records r
 WHERE list_has_all(r.tags, ['lang:fr', 'source:src3'])""",

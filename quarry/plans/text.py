@@ -14,13 +14,16 @@ def text_match_all(spark: SparkSession, sf: str) -> DataFrame:
     return text_matches(LexemeIndex.build(r), q)
 
 
+TOP = 20  # ranked matches reported per query
+
+
 def text_rank(spark: SparkSession, sf: str) -> DataFrame:
-    out = text_search(records(spark, sf), query_set(spark, sf))
+    out = text_search(records(spark, sf), query_set(spark, sf), TOP)
     return out.select("query_id", "id", rounded("text_score"), "text_rank")
 
 
 def text_rank_norm(spark: SparkSession, sf: str) -> DataFrame:
-    out = text_search(records(spark, sf), query_set(spark, sf), length_norm=True)
+    out = text_search(records(spark, sf), query_set(spark, sf), TOP, length_norm=True)
     return out.select("query_id", "id", rounded("text_score"), "text_rank")
 
 
@@ -66,12 +69,12 @@ SQL = {
     "text_rank": f"""WITH {TEXT_CTES}
 SELECT query_id, id, round(score, 6) + 0.0 AS text_score,
        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS text_rank
-FROM covers""",
+FROM covers QUALIFY text_rank <= {TOP}""",
     "text_rank_norm": f"""WITH {TEXT_CTES}, normed AS (
   SELECT c.query_id, c.id, c.score / ln(1 + d.n_pos) AS score FROM covers c JOIN doclen d USING (id))
 SELECT query_id, id, round(score, 6) + 0.0 AS text_score,
        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS text_rank
-FROM normed""",
+FROM normed QUALIFY text_rank <= {TOP}""",
 }
 
 QUERIES = {

@@ -37,11 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read here.
-    When it is unset (a local test session) a private folder is created and
-    registered, so ``DataFrame.checkpoint()`` and written tables work.
+    When it is unset, a local session gets a private folder (any other master is an
+    error: its executors would not see the driver's disk); the folder is registered, so ``DataFrame.checkpoint()`` and written tables work.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:

@@ -13,6 +13,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.operators.store import RECORD_SCHEMA, upsert
 from quarry.session import shared_dir
@@ -54,12 +55,14 @@ class IndexCatalog:
         return f"`{self.database}`.`{self._table_name(index)}`"
 
     def exists(self, index: str) -> bool:
-        name = self._table_name(index)
-        return any(t.name.lower() == name.lower() for t in self.spark.catalog.listTables(self.database))
+        return self.spark.catalog.tableExists(self.table(index))
 
     def _point(self, index: str, location: str, schema) -> None:
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table(index)}")
+        if self.exists(index):  # one catalog update: readers see the old version or the new one
+            self.spark.sql(f"ALTER TABLE {self.table(index)} SET LOCATION '{location}'")
+            self.spark.catalog.refreshTable(self.table(index))
+            return
         self.spark.sql(f"CREATE TABLE {self.table(index)} ({cols}) USING parquet "
                        f"CLUSTERED BY (id) SORTED BY (id) INTO {self.buckets} BUCKETS LOCATION '{location}'")
 
@@ -68,17 +71,23 @@ class IndexCatalog:
         the index to it (the version being read is never overwritten)."""
         loc = f"{self.root}/{self.prefix}{normalize_name(index)}/{uuid.uuid4().hex}"
         tmp = f"`{self.database}`.`quarry_tmp_{uuid.uuid4().hex}`"
-        (df.write.bucketBy(self.buckets, "id").sortBy("id").format("parquet")
+        (df.repartition(self.buckets, "id").write.bucketBy(self.buckets, "id").sortBy("id").format("parquet")
          .option("path", loc).saveAsTable(tmp))
         self.spark.sql(f"DROP TABLE {tmp}")  # external table: its files stay
         self._point(index, loc, df.schema)
 
     def create(self, index: str, vector_size: int | None = None) -> None:
-        """Create an empty index unless it exists."""
-        del vector_size  # the dimension is checked by the search, not the storage
+        """Create an empty index unless it exists.  With ``vector_size`` an upsert of a
+        vector of another size fails."""
         if self.exists(index):
             return
         self._write_version(index, self.spark.createDataFrame([], RECORD_SCHEMA))
+        if vector_size:
+            self.spark.sql(f"ALTER TABLE {self.table(index)} SET TBLPROPERTIES ('quarry.vector_size' = '{int(vector_size)}')")
+
+    def vector_size(self, index: str) -> int | None:
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self.table(index)}").collect()
+        return next((int(r["value"]) for r in rows if r["key"] == "quarry.vector_size"), None)
 
     def list(self) -> list[str]:
         """Index names (prefix removed) of the tables whose name starts with
@@ -103,6 +112,10 @@ class IndexCatalog:
     def upsert(self, index: str, incoming: DataFrame, seq: str | None = None) -> None:
         if not self.exists(index):
             raise IndexNotFound(index)
+        if size := self.vector_size(index):
+            wrong = F.col("embedding").isNotNull() & (F.size("embedding") != size)
+            incoming = incoming.withColumn("embedding", F.when(wrong, F.raise_error(F.concat(
+                F.lit(f"index vectors have {size} values; record "), "id"))).otherwise(F.col("embedding")))
         self._write_version(index, upsert(self.read(index), incoming, seq))
 
     def delete(self, index: str, ids: DataFrame) -> None:

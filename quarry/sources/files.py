@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.mime import base_name
+from quarry.functions.mime import path_name
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("role", T.StringType()),
@@ -42,7 +42,7 @@ def list_source_files(spark: SparkSession, directory: str, recursive: bool = Fal
     binary column out of the scan)."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
           .load(directory))
-    return (df.select("path", base_name(F.col("path")).alias("name"), "length", "modificationTime")
+    return (df.select("path", path_name(F.col("path")).alias("name"), "length", "modificationTime")
             .where(~F.col("name").startswith(".")))
 
 
@@ -59,23 +59,32 @@ def read_text_documents(spark: SparkSession, paths) -> DataFrame:
 
 def read_history(spark: SparkSession, paths) -> DataFrame:
     """Messages ``(conv_id, turn, role, text, metadata, has_function_item)``
-    from JSON-array history files; one file is one conversation (its path)."""
-    from pyspark.sql import Window
-    raw = spark.read.schema(MESSAGE_SCHEMA).json(paths, multiLine=True)
+    from JSON-array history files.  One file is one conversation, named by its
+    ``conv_id=`` folder (as ``write_history`` lays them out) or else by its path."""
+    schema = T.StructType([*MESSAGE_SCHEMA.fields, T.StructField("conv_id", T.StringType())])
+    raw = spark.read.schema(schema).json(paths, multiLine=True)
     # a file is read by one task in order, so ids are consecutive inside it
-    mid = F.monotonically_increasing_id()
-    return (raw.withColumn("conv_id", F.input_file_name()).withColumn("mid", mid)
-            .withColumn("turn", F.col("mid") - F.min("mid").over(Window.partitionBy("conv_id")))
-            .select("conv_id", "turn", "role", F.col("content").alias("text"),
+    raw = raw.withColumn("file", F.input_file_name()).withColumn("mid", F.monotonically_increasing_id())
+    first = raw.groupBy("file").agg(F.min("mid").alias("first"))
+    return (raw.join(first, "file").withColumn("turn", F.col("mid") - F.col("first"))
+            .select(F.coalesce("conv_id", "file").alias("conv_id"), "turn", "role", F.col("content").alias("text"),
                     F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
                     F.coalesce("has_function_item", F.lit(False)).alias("has_function_item")))
 
 
 def write_history(messages: DataFrame, path: str) -> None:
-    """One JSON document per conversation folder (``conv_id`` partitions)."""
-    (messages.select("conv_id", "turn", "role", F.col("text").alias("content"), "metadata")
-     .repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-     .write.mode("errorifexists").json(path))
+    """One JSON array per conversation, in a folder ``conv_id=<id>``; messages in turn
+    order with role, content, metadata and the function flag.  ``turn`` itself is the
+    place in the array, so gaps close."""
+    for name, kind in (("metadata", "map<string,string>"), ("has_function_item", "boolean")):
+        if name not in messages.columns:
+            messages = messages.withColumn(name, F.lit(None).cast(kind))
+    message = F.struct("role", F.col("text").alias("content"), "metadata", "has_function_item")
+    rows = messages.select("conv_id", F.struct(F.col("turn").alias("t"), F.to_json(message).alias("m")).alias("row"))
+    arrays = rows.groupBy("conv_id").agg(F.to_json(F.transform(
+        F.array_sort(F.collect_list("row")),
+        lambda x: F.from_json(x["m"], MESSAGE_SCHEMA))).alias("value"))
+    arrays.repartition("conv_id").write.partitionBy("conv_id").mode("errorifexists").text(path)
 
 
 def history_file_stem(custom: str | None = None):
@@ -119,6 +128,20 @@ def write_eval_results(nested: DataFrame, base: str, run_id: str) -> str:
     return path
 
 
+CHUNK_BUCKETS = 64  # folders of a chunk store
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunk rows persisted per parent document (partition folders)."""
-    chunks.write.mode("overwrite").partitionBy("parent_id").parquet(path)
+    """Add chunk rows to the store at ``path``, in hash buckets of their parent document.
+    Chunks of other parents stay; a parent written again replaces its former chunks
+    (``read_chunks`` takes the latest write of each parent)."""
+    (chunks.withColumns({"bucket": F.pmod(F.xxhash64("parent_id"), F.lit(CHUNK_BUCKETS)).cast("int"),
+                         "written_at": F.current_timestamp()})
+     .repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path))
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of every parent's latest write."""
+    rows = spark.read.parquet(path)
+    latest = rows.groupBy("parent_id").agg(F.max("written_at").alias("written_at"))
+    return rows.join(latest, ["parent_id", "written_at"]).drop("bucket", "written_at")

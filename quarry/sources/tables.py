@@ -31,11 +31,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True)
 
 
 def records_from(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Record table ``(id, embedding, tags, content, payload)`` of documents that
-    have an embedding (``doc_id = vec_id``)."""
+    """Record table ``(id, embedding, tags, content, payload)`` of all documents;
+    ``embedding`` (``vec_id = doc_id``) is NULL where a document has none."""
     d = documents.alias("d")
     e = embeddings.alias("e")
-    return (d.join(e, F.col("d.doc_id") == F.col("e.vec_id"))
+    return (d.join(e, F.col("d.doc_id") == F.col("e.vec_id"), "left")
             .select(
                 F.col("d.doc_id").cast("string").alias("id"),
                 F.col("e.embedding").alias("embedding"),

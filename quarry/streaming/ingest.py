@@ -2,10 +2,11 @@
 
 ``readStream`` over the source folder (checkpointed file source, so every file
 is read once) -> per micro-batch: one row per document, chunking, chunk
-records -> written to ``<target>/epoch=<id>`` with overwrite.  A replayed
-epoch (after a lost executor or driver restart) rewrites the same folder, so
-the sink is exactly-once.  Readers merge on read: for every chunk id the row
-of the latest epoch wins, which makes re-imported documents an upsert.
+records -> written to ``<target>/epoch=<id>`` with overwrite, the list
+of the documents read to ``<target>-parents/epoch=<id>``.  A replayed
+epoch (after a lost executor or driver restart) rewrites the same folders, so
+the sink is exactly-once.  Readers merge on read: of every document the chunks
+of its latest epoch count, which makes re-imported documents an upsert.
 """
 
 from __future__ import annotations
@@ -18,10 +19,19 @@ from quarry.operators.chunking import chunk_records, fixed_window_chunks
 
 
 def _chunk_batch(batch: DataFrame) -> DataFrame:
-    docs = batch.dropDuplicates(["doc_id"])
+    """Chunk records; of rows that repeat a document the same one is taken every time."""
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    docs = batch.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
     return chunk_records(fixed_window_chunks(docs))
 
 
+def _write_epoch(chunks: DataFrame, parents: DataFrame, target_dir: str, epoch_id: int) -> None:
+    """Chunks of the epoch and the parents it read, those without a chunk included."""
+    base = target_dir.rstrip("/")
+    chunks.write.mode("overwrite").parquet(f"{base}/epoch={epoch_id}")
+    parents.distinct().write.mode("overwrite").parquet(f"{base}-parents/epoch={epoch_id}")
+
+
 def start_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoint_dir: str, *,
                  file_pattern: str = "documents.parquet", max_files_per_trigger: int = 1,
                  available_now: bool = True, chunker=_chunk_batch) -> StreamingQuery:
@@ -32,8 +42,8 @@ def start_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoi
               .parquet(source_dir))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        (chunker(batch).write.mode("overwrite")
-         .parquet(f"{target_dir.rstrip('/')}/epoch={epoch_id}"))
+        _write_epoch(chunker(batch), batch.select(F.col("doc_id").cast("string").alias("parent_id")),
+                     target_dir, epoch_id)
 
     writer = stream.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -53,8 +63,8 @@ def start_file_ingest(spark: SparkSession, source_dir: str, target_dir: str, che
               .load(source_dir))
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
-        (chunk_files(batch, strict=strict).write.mode("overwrite")
-         .parquet(f"{target_dir.rstrip('/')}/epoch={epoch_id}"))
+        _write_epoch(chunk_files(batch, strict=strict), batch.select(F.col("path").alias("parent_id")),
+                     target_dir, epoch_id)
 
     writer = stream.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -62,7 +72,15 @@ def start_file_ingest(spark: SparkSession, source_dir: str, target_dir: str, che
 
 
 def read_merged(spark: SparkSession, target_dir: str) -> DataFrame:
-    """Current table: the latest epoch's row for every chunk id."""
-    log = spark.read.parquet(target_dir)
-    w = Window.partitionBy("id").orderBy(F.col("epoch").desc())
-    return log.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "epoch")
+    """Current table: of every parent the chunks of its latest epoch only, so a document
+    that came again shorter (or empty) leaves nothing behind.  The latest epoch comes from
+    the narrow parent log; chunk texts move in one join at most."""
+    base = target_dir.rstrip("/")
+    latest = spark.read.parquet(f"{base}-parents").groupBy("parent_id").agg(F.max("epoch").alias("epoch"))
+    return spark.read.parquet(base).join(latest, ["parent_id", "epoch"]).drop("epoch")
+
+
+def compact(spark: SparkSession, target_dir: str, new_dir: str) -> None:
+    """Write the current table as epoch -1 of a new log (older than any later epoch)."""
+    merged = read_merged(spark, target_dir)
+    _write_epoch(merged, merged.select("parent_id"), new_dir, -1)

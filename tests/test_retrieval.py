@@ -96,17 +96,13 @@ def test_vector_blocked_path_matches_broadcast(spark):
     qs = spark.createDataFrame([(j, [rnd.uniform(-1, 1) for _ in range(8)]) for j in range(7)],
                                "query_id int, query_vec array<float>")
     a = {(r.query_id, r.id, r.rank) for r in vector_candidates(recs, qs, 4).collect()}
-    # many partitions and several shards: cogroup keys must meet in the same partition
-    import quarry.operators.vector_search as vs
-    old_rows = vs.SHARD_ROWS
+    # several query blocks and many partitions give the same rows
     spark.conf.set("spark.sql.shuffle.partitions", "37")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    vs.SHARD_ROWS = 70
     try:
         b = {(r.query_id, r.id, r.rank)
              for r in vector_candidates(recs, qs, 4, max_broadcast_queries=3).collect()}
     finally:
-        vs.SHARD_ROWS = old_rows
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert a == b and len(a) == 28
