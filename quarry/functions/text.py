@@ -49,6 +49,20 @@ def word_tokens(c: str | Column) -> Column:
     return F.split(F.lower(_c(c)), TOKEN_SPLIT, -1)
 
 
+def french_stem(c: str | Column) -> Column:
+    """Minimal French stem (the published plural-and-ending rules for words of six letters
+    and more): ``-aux`` becomes ``-al``, a last ``x`` goes, else last ``s``, ``r``, ``e``,
+    ``é`` go in this order, and a doubled last letter becomes one.  Pass it as ``stemmer`` to
+    the text search, which applies it to records and queries alike."""
+    w = _c(c)
+    plain = w
+    for ending in ("s", "r", "e", "é"):
+        plain = F.regexp_replace(plain, f"{ending}$", "")
+    plain = F.regexp_replace(plain, r"(.)\1$", "$1")
+    return (F.when(F.length(w) < 6, w).when(w.endswith("aux"), F.regexp_replace(w, "ux$", "l"))
+            .when(w.endswith("x"), F.regexp_replace(w, "x$", "")).otherwise(plain))
+
+
 def is_stop_word(c: str | Column) -> Column:
     return _c(c).isin(FRENCH)
 

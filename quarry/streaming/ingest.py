@@ -71,6 +71,21 @@ def start_file_ingest(spark: SparkSession, source_dir: str, target_dir: str, che
     return writer.start()
 
 
+def start_file_import(spark: SparkSession, catalog, index: str, source_dir: str, checkpoint_dir: str, *,
+                      max_files_per_trigger: int = 100, available_now: bool = True, **options) -> StreamingQuery:
+    """Files dropped into ``source_dir`` -> records upserted into an index, per micro-batch
+    (a replayed batch upserts the same ids)."""
+    from quarry.operators.loading import import_files
+
+    stream = (spark.readStream.format("binaryFile")
+              .schema("path string, modificationTime timestamp, length bigint, content binary")
+              .option("maxFilesPerTrigger", max_files_per_trigger).load(source_dir))
+    writer = stream.writeStream.foreachBatch(
+        lambda batch, _: import_files(catalog, index, batch, **options)).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def read_merged(spark: SparkSession, target_dir: str) -> DataFrame:
     """Current table: of every parent the chunks of its latest epoch only, so a document
     that came again shorter (or empty) leaves nothing behind.  The latest epoch comes from
