@@ -90,6 +90,10 @@ def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
         if s in text:
             sep, rest = s, list(separators[i + 1:])
             break
+    if sep == "" and size > 1:  # single characters pack to plain windows
+        last = max(0, -(-(len(text) - size) // (size - overlap)))
+        windows = (text[k * (size - overlap):k * (size - overlap) + size].strip() for k in range(last + 1))
+        return [w for w in windows if w]
     chunks, small = [], []
     for p in _pieces(text, sep):
         if len(p) < size:
@@ -268,23 +272,18 @@ def token_pack(sections: DataFrame, max_tokens: int = 1000, key: str = "doc_id")
     header_1, header_2, header_3)``."""
     if max_tokens <= 0:
         raise ValueError("max_tokens must be > 0")
-    el = sections.select(key, "section_no", "header_1", "header_2", "header_3",
-                         F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    el = el.withColumn("line", F.regexp_replace("line", r"\s+$", "")).where(F.trim("line") != "")
-    el = el.withColumn("n", _word_count(F.col("line")))
-    words = F.split(F.trim("line"), r"\s+")
-    n_pieces = F.ceil(F.col("n") / F.lit(max_tokens)).cast("int")
-    pieces = F.when(F.col("n") <= max_tokens, F.array(F.struct(F.col("line").alias("text"), F.col("n").alias("n"))))\
-        .otherwise(F.transform(F.sequence(F.lit(0), n_pieces - 1), lambda i: F.struct(
-            F.array_join(F.slice(words, i * max_tokens + 1, max_tokens), " ").alias("text"),
-            F.least(F.lit(max_tokens), F.col("n") - i * max_tokens).alias("n"))))
-    el = el.select(key, "section_no", "header_1", "header_2", "header_3", "line_no",
-                   F.posexplode(pieces).alias("piece_no", "p"))
-    grouped = (el.groupBy(key, "section_no")
-               .agg(F.array_sort(F.collect_list(F.struct("line_no", "piece_no", F.col("p.text").alias("text"),
-                                                         F.col("p.n").alias("n")))).alias("els"),
-                    F.first("header_1").alias("header_1"), F.first("header_2").alias("header_2"),
-                    F.first("header_3").alias("header_3")))
+    def pieces(line: Column) -> Column:
+        n, words = _word_count(line), F.split(F.trim(line), r"\s+")
+        cut = F.transform(F.sequence(F.lit(0), F.ceil(n / F.lit(max_tokens)).cast("int") - 1), lambda i: F.named_struct(
+            F.lit("text"), F.array_join(F.slice(words, i * max_tokens + 1, max_tokens), " "),
+            F.lit("n"), F.least(F.lit(max_tokens), n - i * max_tokens)))
+        return F.when(n <= max_tokens, F.array(F.named_struct(F.lit("text"), line, F.lit("n"), n))).otherwise(cut)
+
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")),
+                     lambda x: F.trim(x) != "")
+    # the elements of a section are an array in its row: no exchange
+    grouped = sections.select(key, "section_no", "header_1", "header_2", "header_3",
+                              F.flatten(F.transform(lines, pieces)).alias("els"))
     empty = F.array().cast("array<struct<text:string,n:int>>")
     init = F.struct(empty.alias("done"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("n"))
 

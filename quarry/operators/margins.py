@@ -7,9 +7,9 @@ comparisons).  A trimmed text seen at least ``min_count`` times in one band of
 a document is removed from every page of that document; the kept blocks of a
 page are concatenated in block order without separator.
 
-Plan: one aggregation on ``(doc_id, band, text)`` with partial combine, an
-anti-join on ``(doc_id, text)`` and a per-page ordered concatenation (pages
-are small).
+Plan: one aggregation on ``(doc_id, band, text)`` with partial combine, a left
+join on ``(doc_id, text)`` and one per-page ordered concatenation of the blocks
+without a match (pages are small, and pages without any stay).
 """
 
 from __future__ import annotations
@@ -47,16 +47,11 @@ def remove_repeated_margins(blocks: DataFrame, top_frac: float = TOP, bottom_fra
                             min_count: int = MIN_COUNT) -> DataFrame:
     """``(doc_id, page_no, text)``: page texts without repeated margins; every
     page of the input appears (possibly with an empty text)."""
-    common = repeated_margins(blocks, top_frac, bottom_frac, min_count)
+    common = repeated_margins(blocks, top_frac, bottom_frac, min_count).withColumn("repeated", F.lit(True))
     b = blocks.select("doc_id", "page_no", "block_no", _trim(F.col("text")).alias("text"))
-    kept = (b.where(F.col("text") != "")
-            .join(common, ["doc_id", "text"], "left_anti"))
-    pages = b.select("doc_id", "page_no").distinct()
-    texts = (kept.groupBy("doc_id", "page_no")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "text"))),
-                                           lambda x: x["text"]), "").alias("text")))
-    return (pages.join(texts, ["doc_id", "page_no"], "left")
-            .select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text")))
+    kept = F.when(F.col("repeated").isNull() & (F.col("text") != ""), F.struct("block_no", "text"))
+    return (b.join(common, ["doc_id", "text"], "left").groupBy("doc_id", "page_no")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"]), "").alias("text")))
 
 
 def blocks_from_lines(docs: DataFrame, lines_per_page: int = 10, page_height: float = 100.0,

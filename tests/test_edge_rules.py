@@ -234,3 +234,42 @@ def test_macro_average_over_all_queries(spark):
     m = query_metrics(judged)
     assert macro_average(m, asked).first().asDict() == {
         "n_queries": 2, "mean_precision": 0.25, "mean_mrr": 0.5, "mean_ndcg": 0.5}
+
+
+def test_unbroken_text_is_cut_by_arithmetic():
+    from quarry.operators.chunking import _pack, split_recursive
+    for n in (0, 1, 9, 10, 11, 16, 17, 22, 23, 100):
+        for size, overlap in ((10, 3), (10, 0), (7, 6), (2, 1)):
+            text = "".join(chr(97 + k % 26) if k % 5 else "\t" for k in range(n))
+            assert split_recursive(text, size, overlap) == (_pack(list(text), size, overlap) if text else [])
+
+
+def test_french_stem(spark):
+    from quarry.functions.text import french_stem
+    pairs = [("dossiers", "dossier"), ("chevaux", "cheval"), ("nationale", "national"), ("continuelles", "continuel"),
+             ("chat", "chat")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r[0] == r[1] for r in df.select(french_stem("a"), french_stem("b")).collect())
+    recs = spark.createDataFrame([("1", "les dossiers nationaux"), ("2", "autre")], "id string, content string")
+    qs = spark.createDataFrame([(1, "dossier national")], "query_id int, query_text string")
+    assert [r.id for r in text_search(recs, qs, 5, stemmer=french_stem).collect()] == ["1"]
+    assert text_search(recs, qs, 5).collect() == []
+
+
+def test_files_become_searchable_records(spark, tmp_path):
+    from quarry.operators.loading import import_files
+    from quarry.operators.store import delete_documents
+    cat = IndexCatalog(spark, prefix="imp", root=str(tmp_path / "idx"), buckets=2)
+    cat.drop_all()
+    path = lambda n: f"/in/{n}"
+    files = lambda rows: spark.createDataFrame([(path(n), bytearray(t.encode())) for n, t in rows], "path string, content binary")
+    import_files(cat, "files", files([("a#1.txt", "alpha beta"), ("b.md", "# T\ngamma delta\n# U\nmore"), ("c.pdf", "%PDF")]))
+    recs = cat.read("files")
+    assert {r.tags[0] for r in recs.collect()} == {"__document_id:/in/a#1.txt", "__document_id:/in/b.md"}
+    qs = spark.createDataFrame([(1, "gamma")], "query_id int, query_text string")
+    assert text_search(recs, qs, 3).count() == 1
+    import_files(cat, "files", files([("b.md", "plain now")]))
+    assert sorted(r.content for r in cat.read("files").collect()) == ["alpha beta", "plain now"]
+    gone = spark.createDataFrame([(path("a#1.txt"),)], "document_id string")
+    assert [r.content for r in delete_documents(cat.read("files"), gone).collect()] == ["plain now"]
+    cat.drop_all()
