@@ -225,7 +225,30 @@ SELECT page_id, name, suffix, mime_type, coalesce(mime_type IN {sup}, false) AS
        CASE WHEN coalesce(mime_type IN {sup}, false) THEN {load_map}[mime_type] END AS loader FROM m"""
 
 
+# elements of a section are its lines (long ones cut into 100-word windows); packing walks
+# them one by one
+_TOKEN_PACK = f"""WITH RECURSIVE {_SECTIONS},
+ln AS (SELECT page_id, section_no, i, regexp_replace(raw, '\\s+$', '', 'g') AS line FROM (
+  SELECT page_id, section_no, unnest(string_split(content, chr(10))) AS raw,
+         unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM sections)),
+wl AS (SELECT *, regexp_split_to_array(trim(line), '\\s+') AS words FROM ln WHERE trim(line) <> ''),
+pieces AS (SELECT *, unnest(range(0, CAST(ceil(len(words) / 100.0) AS BIGINT))) AS j FROM wl),
+e AS (SELECT page_id, section_no, row_number() OVER (PARTITION BY page_id, section_no ORDER BY i, j) AS k,
+             CASE WHEN len(words) <= 100 THEN line
+                  ELSE array_to_string(words[j * 100 + 1:j * 100 + 100], ' ') END AS text,
+             least(len(words) - j * 100, 100) AS n FROM pieces),
+walk AS (
+  SELECT page_id, section_no, k, n AS total, 0 AS chunk_no FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.page_id, e.section_no, e.k, CASE WHEN w.total + e.n <= 100 THEN w.total + e.n ELSE e.n END,
+         CASE WHEN w.total + e.n <= 100 THEN w.chunk_no ELSE w.chunk_no + 1 END
+  FROM walk w JOIN e ON e.page_id = w.page_id AND e.section_no = w.section_no AND e.k = w.k + 1)
+SELECT page_id, section_no, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(sum(n) AS BIGINT) AS n_tokens,
+       sha256(string_agg(text, chr(10) ORDER BY k)) AS content_sha256
+FROM walk JOIN e USING (page_id, section_no, k) GROUP BY page_id, section_no, chunk_no"""
+
 SQL = {
+    "token_pack": _TOKEN_PACK,
     "fixed_window_chunks": f"""WITH {_WINDOWS}
 SELECT doc_id, partition_number, start, length(chunk) AS chunk_len, sha256(chunk) AS content_sha256 FROM c""",
     "chunk_records": f"""WITH {_WINDOWS}
