@@ -133,9 +133,11 @@ def labelled(rows: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     return rows.join(F.broadcast(labels), "id")
 
 
-def fit(train: DataFrame, labels: DataFrame, *, features: int = FEATURES, sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """``train``: (id, x) with ``x`` hash buckets, training rows only; ``labels``: (id, y)."""
-    rows = stored(labelled(train, labels, LABEL_ROWS), "fm-train")
+def fit(train: DataFrame, labels: DataFrame, x: Column, *, features: int = FEATURES,
+        sample_rows: int = SAMPLE_ROWS) -> Machine:
+    """``train``: (id, text), training rows only; ``labels``: (id, y); ``x``: the hash buckets
+    of ``text``, computed for labelled rows only."""
+    rows = stored(labelled(train, labels, LABEL_ROWS).select("id", "y", x.alias("x")), "fm-train")
     n, n1 = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     n0 = n - n1
     place = np.full(BUCKETS, -1, np.int32)

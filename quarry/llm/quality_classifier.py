@@ -69,9 +69,8 @@ def held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         label_id: str = "doc_id", label: str = "quality") -> fm.Machine:
-    train = docs.where(~held_out(quoted(id_col))).select(quoted(id_col).alias("id"),
-                                                         features(quoted(text_col)).alias("x"))
-    return fm.fit(train, labels.select(quoted(label_id).alias("id"), quoted(label).alias("y")))
+    train = docs.where(~held_out(quoted(id_col))).select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    return fm.fit(train, labels.select(quoted(label_id).alias("id"), quoted(label).alias("y")), features(F.col("text")))
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
