@@ -187,6 +187,45 @@ def _fence_toggles(text: Column) -> Column:
     return F.aggregate(fences, start, step, lambda acc: acc["at"])
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _heading_states(lines: Column, in_code) -> Column:
+    """``(ln, h1, h2, h3)`` from each heading line on, and before the first one (-1)."""
+    level = lambda s: F.length(F.regexp_extract(s, r"^(#{1,3})(?: |$)", 1))
+    heads = F.filter(F.transform(lines, lambda s, i: F.named_struct(F.lit("ln"), i, F.lit("lvl"), level(s), F.lit("s"), s)),
+                     lambda x: (x["lvl"] > 0) & ~in_code(x["ln"]))
+    none = F.lit(None).cast("string")
+
+    def state(ln, h1, h2, h3):
+        return F.named_struct(F.lit("ln"), ln, F.lit("h1"), h1, F.lit("h2"), h2, F.lit("h3"), h3)
+
+    def step(acc, x):
+        text = F.regexp_replace(F.substr(x["s"], x["lvl"] + 1), r"(?U)^\s+|\s+$", "")
+        last = acc[F.size(acc) - 1]
+        return F.concat(acc, F.array(state(
+            x["ln"], F.when(x["lvl"] == 1, text).otherwise(last["h1"]),
+            F.when(x["lvl"] == 2, text).when(x["lvl"] > 2, last["h2"]), F.when(x["lvl"] == 3, text))))
+
+    return F.aggregate(heads, F.array(state(F.lit(-1), none, none, none)), step)
+
+
+def _segment_text(lines: Column, first: Column, count: Column, in_code) -> Column:
+    """Content lines of ``count`` lines from number ``first`` on; NULL without any."""
+    numbered = F.transform(F.slice(lines, first + 1, count), lambda s, k: F.named_struct(
+        F.lit("ln"), first + k, F.lit("s"), s))
+    kept = F.filter(numbered, lambda x: (x["s"] != "") | in_code(x["ln"]))
+
+    def joined(rows):
+        return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, lambda x, k: F.concat(
+            F.when(k == 0, F.lit("")).when(rows[F.greatest(k - 1, F.lit(0))]["ln"] == x["ln"] - 1, F.lit("\n"))
+            .otherwise(F.lit("  \n")), x["s"])), ""))
+
+    return _let(kept, joined)
+
+
 def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Split Markdown at ``#``/``##``/``###`` headings (headings removed).
 
@@ -196,48 +235,37 @@ def markdown_sections(docs: DataFrame, key: str = "doc_id", text: str = "text")
     separated by blank lines or headings joined by two spaces and a newline.
     Inside a fenced code block (``` or ~~~) every line is content, blank ones and
     those that start with ``#`` included.
+
+    All of it happens inside the document's row: folds run over its headings, not
+    over its lines, and no line crosses an exchange.
     """
-    lines = docs.select(key, _fence_toggles(F.col(text)).alias("toggles"),
-                        F.posexplode(F.split(F.col(text), "\n", -1)).alias("ln", "raw"))
-    in_code = F.size(F.filter("toggles", lambda t: t <= F.col("ln"))) % 2 == 1
-    lines = lines.select(key, "ln", in_code.alias("in_code"),
-                         F.regexp_replace(F.col("raw"), r"(?U)^\s+|\s+$", "").alias("s"))
-    m = F.regexp_extract(F.col("s"), r"^(#{1,3})(?: |$)", 1)
-    lines = lines.withColumn("lvl", F.when(~F.col("in_code") & (F.length(m) > 0), F.length(m)))
-    lines = lines.withColumn("h", F.when(F.col("lvl").isNotNull(),
-                                         F.regexp_replace(F.expr("substring(s, lvl + 1)"), r"(?U)^\s+|\s+$", "")))
-    w = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def last_at(level):
-        return F.last(F.when(F.col("lvl") == level, F.struct(F.col("ln").alias("p"), F.col("h").alias("t"))),
-                      ignorenulls=True).over(w)
-
-    lines = lines.withColumn("l1", last_at(1)).withColumn("l2", last_at(2)).withColumn("l3", last_at(3))
-    p1 = F.coalesce(F.col("l1.p"), F.lit(-1))
-    p2 = F.coalesce(F.col("l2.p"), F.lit(-1))
-    p3 = F.coalesce(F.col("l3.p"), F.lit(-1))
-    content = (lines.where(F.col("lvl").isNull() & ((F.col("s") != "") | F.col("in_code")))
-               .select(key, "ln", F.col("s").alias("line"),
-                       F.col("l1.t").alias("header_1"),
-                       F.when(p2 > p1, F.col("l2.t")).alias("header_2"),
-                       F.when(p3 > F.greatest(p1, p2), F.col("l3.t")).alias("header_3")))
-    wc = Window.partitionBy(key).orderBy("ln")
-    meta = F.struct("header_1", "header_2", "header_3")
-    content = (content.withColumn("prev_meta", F.lag(meta).over(wc))
-               .withColumn("prev_ln", F.lag("ln").over(wc)))
-    new_sec = F.when(F.col("prev_meta").isNull() | (F.col("prev_meta") != meta), 1).otherwise(0)
-    content = (content.withColumn("section_no", F.sum(new_sec).over(wc) - 1)
-               .withColumn("sep", F.when(F.col("prev_ln") == F.col("ln") - 1, "\n").otherwise("  \n")))
-    return (content.groupBy(key, "section_no")
-            .agg(F.array_sort(F.collect_list(F.struct("ln", "sep", "line"))).alias("ls"),
-                 F.first("header_1").alias("header_1"), F.first("header_2").alias("header_2"),
-                 F.first("header_3").alias("header_3"))
-            .select(key, "section_no",
-                    F.concat(F.element_at("ls", 1)["line"],
-                             F.array_join(F.transform(F.slice("ls", 2, 1 << 30),
-                                                      lambda x: F.concat(x["sep"], x["line"])), "")
-                             ).alias("content"),
-                    "header_1", "header_2", "header_3"))
+    lines = F.transform(F.split(F.col(text), "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    rows = docs.select(key, _fence_toggles(F.col(text)).alias("toggles"), lines.alias("lines"))
+    in_code = lambda ln: F.size(F.filter("toggles", lambda t: t <= ln)) % 2 == 1
+    rows = rows.withColumn("states", _heading_states(F.col("lines"), in_code))
+
+    def segment(x, k):
+        last = F.size("states") - 1
+        end = F.when(k == last, F.size("lines")).otherwise(F.col("states")[F.least(k + 1, last)]["ln"])
+        return F.named_struct(F.lit("content"), _segment_text(F.col("lines"), x["ln"] + 1, end - x["ln"] - 1, in_code),
+                              F.lit("h1"), x["h1"], F.lit("h2"), x["h2"], F.lit("h3"), x["h3"])
+
+    segments = rows.select(key, F.filter(F.transform("states", segment), lambda x: x["content"].isNotNull()).alias("segments"))
+
+    def step(acc, x):  # neighbours under the same headings are one section
+        last = acc[F.size(acc) - 1]
+        same = (F.size(acc) > 0) & F.try_element_at(acc, F.lit(-1))["h1"].eqNullSafe(x["h1"]) & F.try_element_at(
+            acc, F.lit(-1))["h2"].eqNullSafe(x["h2"]) & F.try_element_at(acc, F.lit(-1))["h3"].eqNullSafe(x["h3"])
+        merged = F.named_struct(F.lit("content"), F.concat(last["content"], F.lit("  \n"), x["content"]),
+                                F.lit("h1"), x["h1"], F.lit("h2"), x["h2"], F.lit("h3"), x["h3"])
+        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))).otherwise(
+            F.concat(acc, F.array(x)))
+
+    kind = "array<struct<content:string,h1:string,h2:string,h3:string>>"
+    sections = F.aggregate("segments", F.array().cast(kind), step)
+    return (segments.select(key, F.posexplode(sections).alias("section_no", "s"))
+            .select(key, F.col("section_no").cast("long").alias("section_no"), F.col("s.content").alias("content"),
+                    F.col("s.h1").alias("header_1"), F.col("s.h2").alias("header_2"), F.col("s.h3").alias("header_3")))
 
 
 def merge_by_heading(sections: DataFrame, key: str = "doc_id") -> DataFrame:

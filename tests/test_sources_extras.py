@@ -172,7 +172,7 @@ def test_chunk_files_routes_each_row(spark, tmp_path):
     assert sorted(r.name for r in by["a.txt"]) == ["a.txt.partition.0.txt", "a.txt.partition.1.txt"]
     assert [r.size for r in sorted(by["a.txt"], key=lambda r: r.partition_number)] == [1000, 700]
     assert sorted(r.text for r in by["b.md"]) == ["body", "more"]
-    assert all(r.tags == ["type:news"] and r.mime_type == "text/plain" for r in out)
+    assert all(r.tags == [f"__document_id:{r.parent_id}", "type:news"] and r.mime_type == "text/plain" for r in out)
     skipped = sorted(r.name for r in unsupported_files(files).collect())
     assert skipped == ["c.pdf", "d.html"]
     ready = files.where(F.col("path").endswith("a.txt")).select(F.col("path").alias("document_id"))
