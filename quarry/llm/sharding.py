@@ -157,7 +157,10 @@ def _quantiles(here: DataFrame, nodes: dict[int, tuple[int, int, int, int, int]]
             F.sum("__q_size").alias("w"))
         run = bins.withColumn("upto", F.sum("w").over(Window.partitionBy("n").orderBy("b")))
         hit = run.where("upto >= want").groupBy("n", "lo", "step").agg(F.min(F.struct("b", "w", "upto")).alias("hit"))
-        for r in hit.collect():
+        hits = hit.collect()
+        for n in set(open_) - {r["n"] for r in hits}:  # the goal is all of the interval, but for rounding
+            cuts[n] = open_.pop(n)[2]
+        for r in hits:
             d, lo, hi, below, goal, slack = open_.pop(r["n"])
             b, w, upto = r["hit"]
             left, right = lo + b * r["step"], min(hi, lo + (b + 1) * r["step"])
