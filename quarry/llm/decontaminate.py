@@ -17,8 +17,9 @@ shingles of five words (an item of fewer words is one shingle).
 At similarity 0.8 two fingerprints differ in about 10 of 64 bits (standard
 deviation 3); the default radius of 23 is more than four deviations above.
 
-Scale: everything is DataFrame operations.  The items' shingles are broadcast up to
-``BROADCAST_SHINGLES`` rows and joined by shuffle beyond.  Hits, windows and
+Scale: everything is DataFrame operations.  A benchmark of up to ``INLINE_SHINGLES``
+shingles is an array literal that each row's shingles are intersected with, so no text is exploded or shuffled; up to
+``BROADCAST_SHINGLES`` it is broadcast, and joined by shuffle beyond.  Hits, windows and
 verification are keyed by the hash of the text, and windows by the hash of their
 content, so a passage or a text that a third of all rows share is handled once.
 
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import let, quoted, stored, whole
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
-#: Item shingles up to this number (16 bytes each) are broadcast.
-BROADCAST_SHINGLES = 2_000_000
+#: Distinct item shingles up to the first number are tested inside the row; up to the
+#: second (16 bytes each) they are broadcast to the exploded shingles.
+INLINE_SHINGLES, BROADCAST_SHINGLES = 10_000, 2_000_000
 
 
 def terms(text: Column) -> Column:
@@ -78,20 +80,50 @@ def _counted(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode("shingles").alias("h")).groupBy(key, "h").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _leaks(docs: DataFrame, items: DataFrame, n: int, similarity: float, radius: int) -> DataFrame:
+def _with_hits(docs: DataFrame, known: DataFrame, n: int, inline: int) -> DataFrame:
+    """Distinct texts that hold a known shingle: (text, all, at), the hash of the text, all
+    its shingles and the places of those that are known.
+
+    Up to ``inline`` known shingles are an array inside the row's expression; more are
+    joined with the exploded shingles, and the texts found are joined back."""
+    key = F.xxhash64(whole("text")).alias("text")
+    values = [r[0] for r in known.limit(inline + 1).collect()]
+    if 0 < len(values) <= inline:
+        listed = F.expr("array(" + ", ".join(
+            f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
+
+        def hits(all_: Column) -> Column:
+            return let(F.array_intersect(all_, listed), lambda common: F.when(F.size(common) > 0, F.named_struct(
+                F.lit("all"), all_, F.lit("at"), F.filter(F.sequence(F.lit(0), F.size(all_) - 1),
+                                                          lambda i: F.array_contains(common, all_[i])))))
+
+        # one expression, so that nothing of it is evaluated again for each shingle
+        found = docs.select(key, let(shingles(F.col("text"), n), hits).alias("found")).where("found IS NOT NULL")
+        found = found.select("text", "found.all", "found.at")
+    else:
+        rows = docs.select(key, shingles(F.col("text"), n).alias("all"))
+        few = known.count() <= BROADCAST_SHINGLES
+        spots = rows.select("text", F.posexplode("all").alias("at", "h"))
+        hits = spots.join(F.broadcast(known) if few else known, "h").select("text", "at").distinct()
+        hits = stored(hits.groupBy("text").agg(F.array_sort(F.collect_list("at")).alias("at")), "leak-hits")
+        found = rows.join(hits, "text")
+    return found.groupBy("text").agg(F.first("all").alias("all"), F.first("at").alias("at"))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, n: int, similarity: float, radius: int, inline: int) -> DataFrame:
     """(text, item_id, similarity, start) for items (item_id, shingles) of ``n``-term shingles."""
     items = items.withColumn("m", F.size("shingles"))
     least = similarity / (1 + similarity)  # of the shingles of both sides
-    known = items.select(F.explode("shingles").alias("h"), "m").distinct()
+    known = stored(items.select(F.explode("shingles").alias("h"), "m").distinct(), "leak-shingles")
+    # 1. texts with hits, hits (text, place) by item length, and the windows that start at one
+    texts = stored(_with_hits(docs, known.select("h").distinct(), n, inline), "leak-texts")
+    spots = texts.select("text", "all", F.explode("at").alias("at")).select(
+        "text", "at", F.col("all")[F.col("at")].alias("h"))
     few = known.count() <= BROADCAST_SHINGLES
-    # 1. hits (text, place) by item length, and the windows that start at one
-    spots = docs.select(F.xxhash64(whole("text")).alias("text"), F.posexplode(shingles(F.col("text"), n)).alias("at", "h"))
-    hits = spots.join(F.broadcast(known) if few else known, "h").select("text", "m", "at").distinct()
-    hits = stored(hits, "leak-hits")
+    hits = spots.join(F.broadcast(known) if few else known, "h")
+    hits = hits.select("text", "m", "at").distinct()
+    texts = texts.drop("at")
     places = hits.groupBy("text", "m").agg(F.array_sort(F.collect_list("at")).alias("at"))  # at most one text's places
-    sizes = docs.select(F.xxhash64(whole("text")).alias("text"), F.col("text").alias("body"))
-    sizes = sizes.join(hits.select("text").distinct(), "text").groupBy("text").agg(F.first("body").alias("body"))
-    texts = stored(sizes.select("text", shingles(F.col("body"), n).alias("all")), "leak-texts")
     last = F.greatest(F.size("all") - F.col("m"), F.lit(0))
     width = F.least(F.size("all"), F.col("m"))
     # hits from place i on that lie in the window: those up to the last place before its end
@@ -131,17 +163,17 @@ def _leaks(docs: DataFrame, items: DataFrame, n: int, similarity: float, radius:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY,
-          radius: int = RADIUS) -> DataFrame:
+          radius: int = RADIUS, inline: int = INLINE_SHINGLES) -> DataFrame:
     """(doc_id, item_id, similarity, start): the best window of every leaked item, its
     first term's place counted from 0."""
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    found = _text_leaks(rows, benchmark, item_col, item_text_col, similarity, radius)
+    found = _text_leaks(rows, benchmark, item_col, item_text_col, similarity, radius, inline)
     return (rows.select("doc_id", F.xxhash64(whole("text")).alias("text")).join(found, "text")
             .select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start"))
 
 
 def _text_leaks(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, similarity: float,
-                radius: int) -> DataFrame:
+                radius: int, inline: int = INLINE_SHINGLES) -> DataFrame:
     items = stored(benchmark.select(quoted(item_col).alias("item_id"), quoted(item_text_col).alias("body"))
                    .withColumn("n", F.least(F.size(terms(F.col("body"))), F.lit(SHINGLE))).where("n > 0").distinct(),
                    "leak-items")
@@ -151,7 +183,7 @@ def _text_leaks(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_
         if here.isEmpty():
             continue
         here = stored(here.select("item_id", shingles(F.col("body"), n).alias("shingles")), "leak-items")
-        part = _leaks(rows, here, n, similarity, radius)
+        part = _leaks(rows, here, n, similarity, radius, inline)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "text long, item_id long, similarity double, start int")

@@ -42,6 +42,8 @@ def check(spark, docs, items):
     d = spark.createDataFrame([(*x, "c") for x in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in D.leaks(d, b).collect()}
+    joined = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in D.leaks(d, b, inline=0).collect()}
+    assert joined == got
     want = brute(docs, items)
     assert set(got) == set(want)
     for k, (sim, _) in want.items():
