@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import quoted, whole
 from quarry.session import scratch_path
 
-BLOCK, CHUNK, LEVEL, PIECES = 32_768, 262_144, 3, 1_000_000
+BLOCK, CHUNK, LEVEL, PIECES = 32_768, 262_144, 3, 1_300_000
 SCHEMA = ("shard int, chunk int, n_ids long, doc_ids array<long>, lengths array<long>, block int, "
           "planes array<binary>")
 #: White space next to which a space is no sure cut: every character that any common
@@ -57,6 +58,10 @@ def regular(text: str) -> bool:
                 or any(b in text and (f" {b}" in text or f"{b} " in text) for b in BLANKS))
 
 
+#: The commonest marks after a word.
+MARKS = frozenset(".,!?;:")
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, an end id after each."""
 
@@ -91,30 +96,33 @@ class Encoder:
         return [data[a:b] for a, b in zip((4 * (starts + line)).tolist(), ends.tolist())]
 
     def _learn(self, parts: set[str]) -> None:
-        """Remember pieces: what followed a space, or "\0" and a text's first piece."""
-        known, words, marks, other, runs = self.known, set(), set(), [], []
-        for p in parts:
-            if p.isalpha():
-                words.add(p)
-            elif (m := PIECE.fullmatch(p)) and (m[1][1:] if p[0] == "\0" else m[1]).isalpha() and (
-                    m[3] is None or m[3].isalpha()):
+        """Remember new pieces: what followed a space, or "\0" and a text's first piece."""
+        known = self.known
+        plain = list(filter(str.isalpha, parts))
+        known.update(zip(plain, self._encode_words(plain, " ")))
+        ended, runs, other = [], [], []  # a word and one mark; up to two words and their marks; the rest
+        for p in parts.difference(plain):
+            word = p[:-1]
+            if p[-1:] in MARKS and word.isalpha():
+                ended.append(p)
+            elif (m := PIECE.fullmatch(p)) and m[1].lstrip("\0").isalpha() and (m[3] is None or m[3].isalpha()):
                 runs.append((p, m[1], m[2], m[3] and "\0" + m[3], m[4]))
-                words.add(m[1])
-                marks.add(m[2])
-                if m[3]:
-                    words.add("\0" + m[3])
-                    marks.add(m[4])
             else:
                 other.append(p)
-        words.difference_update(known)
+        words = {p[:-1] for p in ended}
+        words.update(r[1] for r in runs)
+        words.update(r[3] for r in runs if r[3])
+        words = words.difference(known)
         spaced = [w for w in words if w[0] != "\0"]
         first = [w for w in words if w[0] == "\0"]
         known.update(zip(spaced, self._encode_words(spaced, " ")))
         known.update(zip(first, self._encode_words([w[1:] for w in first], "\n")))
         known.update(zip(other, self._encode([p[1:] if p[:1] == "\0" else " " + p for p in other])))
+        marks = {p[-1] for p in ended}.union([r[2] for r in runs], [r[4] for r in runs if r[3]])
         mark, line = dict(zip(marks, self._encode(list(marks)))), self._encode(["\n"])[0]
+        known.update([(p, known[p[:-1]] + mark[p[-1]]) for p in ended])
         known.update([(p, known[w] + mark[m] + line + known[v] + mark[n] if v else known[w] + mark[m])
-                      for p, w, m, v, n in runs if p not in known])
+                      for p, w, m, v, n in runs])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known = self.known
@@ -148,9 +156,10 @@ def shared_encoder(path: str, end_id: int) -> Encoder:
 def to_planes(ids: bytes, block: int) -> list[bytes]:
     """Byte planes of fixed-size blocks, each compressed."""
     pack, out = zstandard.ZstdCompressor(level=LEVEL), []
-    for first in range(0, len(ids), 4 * block):
-        part = np.frombuffer(ids[first:first + 4 * block], np.uint8).reshape(-1, 4)
-        out += [pack.compress(np.ascontiguousarray(part[:, k]).tobytes()) for k in range(4)]
+    values = np.frombuffer(ids, np.uint32)
+    for first in range(0, len(values), block):
+        part = values[first:first + block]
+        out += [pack.compress((part >> np.uint32(8 * k)).astype(np.uint8).tobytes()) for k in range(4)]
     return out
 
 
@@ -159,7 +168,11 @@ def from_planes(planes: list[bytes]) -> bytes:
     blocks = []
     for first in range(0, len(planes), 4):
         columns = [np.frombuffer(unpack.decompress(p), np.uint8) for p in planes[first:first + 4]]
-        blocks.append(np.stack(columns, axis=1).tobytes())
+        part = columns[0].astype(np.uint32)
+        for k in range(1, 4):
+            if columns[k].any():
+                part |= columns[k].astype(np.uint32) << np.uint32(8 * k)
+        blocks.append(part.tobytes())
     return b"".join(blocks)
 
 
@@ -216,31 +229,37 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             .select("shard", "chunk", "n_ids", (F.col("before") + F.col("inside")).alias("start")))
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()),
-                        ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    for batch in batches:
-        for row in batch.to_pylist():
-            data, at, out = from_planes(row["planes"]), 0, []
-            for doc, n in zip(row["doc_ids"], row["lengths"]):
-                out.append({"shard": row["shard"], "chunk": row["chunk"], "doc_id": doc, "at": at, "n_tokens": n,
-                            "ids": data[4 * at:4 * (at + n)]})
-                at += n
-            yield pa.RecordBatch.from_pylist(out, schema)
+def _reader(checksums: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data, lengths = memoryview(from_planes(row["planes"])), np.array(row["lengths"], np.int64)
+                starts = np.cumsum(lengths) - lengths
+                parts = [data[4 * a:4 * b] for a, b in zip(starts.tolist(), (starts + lengths).tolist())]
+                last = (pa.array([zlib.crc32(p) for p in parts], pa.int64()) if checksums
+                        else pa.array([bytes(p) for p in parts], pa.binary()))
+                n = len(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["chunk"]] * n, pa.int32()),
+                     pa.array(row["doc_ids"], pa.int64()), pa.array(starts), pa.array(lengths), last],
+                    ["shard", "chunk", "doc_id", "at", "n_tokens", "ids_crc32" if checksums else "ids"])
+    return run
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, chunk, doc_id, at, n_tokens, ids): the ids of every document, as bytes."""
+def read_tokens(spark: SparkSession, path: str, *, checksums: bool = False) -> DataFrame:
+    """(shard, chunk, doc_id, at, n_tokens, ids): the ids of every document, as bytes; with
+    ``checksums`` their crc32 (``ids_crc32``) instead."""
     stored = spark.read.schema(SCHEMA).parquet(path)
+    last = "ids_crc32 long" if checksums else "ids binary"
     return stored.select("shard", "chunk", "doc_ids", "lengths", "planes").mapInArrow(
-        _reader, "shard int, chunk int, doc_id long, at long, n_tokens long, ids binary")
+        _reader(checksums), f"shard int, chunk int, doc_id long, at long, n_tokens long, {last}")
 
 
 def token_report(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     """Write the files and read them back: (doc_id, start, n_tokens, ids_crc32, shard, chunk)."""
     spark = docs.sparkSession
     path = write_tokens(docs, scratch_path(spark, "tokens"), tokenizer_path, **options)
-    rows = read_tokens(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    rows = read_tokens(spark, path, checksums=True)
     starts = index(spark, path).select("shard", "chunk", "start")
     return rows.join(starts, ["shard", "chunk"]).select(
         "doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "shard", "chunk")
