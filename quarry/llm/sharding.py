@@ -116,7 +116,8 @@ def grow_tree(rows: DataFrame, n_shards: int | None = None, target_bytes: int |
 
 def _descend(rows: DataFrame, levels: list[list[Split]]) -> DataFrame:
     """``rows`` with ``__q_node`` after the given levels of the tree."""
-    rows = rows.withColumn("__q_node", F.lit(0))
+    # node 0 for all; a literal would turn the first equi-join into a nested loop
+    rows = rows.withColumn("__q_node", (F.col("__q_size") < 0).cast("int"))
     for level in levels:
         splits = rows.sparkSession.createDataFrame(
             [(s.node, s.dim, s.cut, s.left, s.right) for s in level],
