@@ -24,8 +24,8 @@ verification are keyed by the hash of the text, and windows by the hash of their
 content, so a passage or a text that a third of all rows share is handled once.
 
 Defined cases: words are lower-cased runs of letters and digits; NULL or empty
-texts and items without words leak nothing; repeated rows are reported alike;
-empty tables give no rows.
+texts and items without words leak nothing; repeated rows are reported alike; an id that
+several items share (NULL too) counts its best one; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -174,9 +174,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 def _text_leaks(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, similarity: float,
                 radius: int, inline: int = INLINE_SHINGLES) -> DataFrame:
-    items = stored(benchmark.select(quoted(item_col).alias("item_id"), quoted(item_text_col).alias("body"))
-                   .withColumn("n", F.least(F.size(terms(F.col("body"))), F.lit(SHINGLE))).where("n > 0").distinct(),
-                   "leak-items")
+    # an item is an id with a text: ids may be NULL or repeat with other texts
+    items = stored(benchmark.select(quoted(item_col).alias("id"), quoted(item_text_col).alias("body"))
+                   .withColumn("n", F.least(F.size(terms(F.col("body"))), F.lit(SHINGLE))).where("n > 0").distinct()
+                   .withColumn("item_id", F.xxhash64("id", "body")), "leak-items")
     found = None
     for n in range(1, SHINGLE + 1):
         here = items.where(F.col("n") == n)
@@ -187,7 +188,10 @@ def _text_leaks(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "text long, item_id long, similarity double, start int")
-    return stored(found, "leak-found")
+    named = found.join(items.select("item_id", "id"), "item_id").groupBy("text", "id").agg(
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
+    return stored(named.select("text", F.col("id").alias("item_id"), "best.similarity",
+                               (-F.col("best.back")).alias("start")), "leak-found")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id",

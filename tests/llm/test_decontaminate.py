@@ -62,6 +62,7 @@ def test_edits_places_and_edges(spark):
     rnd = random.Random(5)
     word = lambda: "w%d" % rnd.randrange(5000)
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([60, 40, 25, 9, 5, 3, 1, 80])]
+    items += [(0, " ".join(word() for _ in range(30))), (None, items[1][1])]  # an id used twice, and none
     items += [(90, ""), (91, None), (92, "a a a a a a a a a a a a"), (93, items[0][1])]
     docs, k = [(1, None), (2, ""), (3, "a " * 500), (4, "a a a a a a a a a a")], 10
     for _, body in items[:8]:
