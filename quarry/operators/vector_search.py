@@ -18,6 +18,7 @@ inside the task, so equal vectors never leave it beyond ``k`` per query.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from typing import Iterator
 
@@ -214,7 +215,7 @@ def approx_vector_search(records: DataFrame, queries: DataFrame, k: int, *,
     nearest centroid (one copy per record), a query is scored against the records of
     its ``probes`` nearest lists only.  Returns ``(query_id, id, distance, rank)``.
 
-    At most ``n_lists`` centroids are shipped to tasks, as literals of a JVM expression.
+    At most ``n_lists`` centroids are shipped to tasks, as one literal of a JVM expression.
     The probed pairs meet in an equi-join on the list, whose skewed partitions adaptive
     execution splits, and each query keeps its first ``k``.
     """
@@ -223,13 +224,13 @@ def approx_vector_search(records: DataFrame, queries: DataFrame, k: int, *,
     max_distance = None if min_similarity is None else 1.0 - float(min_similarity)
     recs = records.where(F.col("embedding").isNotNull()).where(tags_filter(filters))
     centroids = choose_centroids(records, n_lists).toArrow()  # at most n_lists rows
-    cent = [(r["centroid"], [float(x) for x in r["centroid_vec"]]) for r in centroids.to_pylist()]
-    names, matrix = [c for c, _ in cent], [v for _, v in cent]
+    cent = [{"c": r["centroid"], "v": [float(x) for x in r["centroid_vec"]]} for r in centroids.to_pylist()]
+    # one literal for all: a literal a number takes seconds to plan
+    known = F.from_json(F.lit(json.dumps(cent)), "array<struct<c string, v array<double>>>")
 
     def lists(vec: str, n: int):
         """The ``n`` nearest centroids of a vector column, by distance then name."""
-        scored = F.array(*[F.struct(cosine_distance(F.col(vec), F.array(*[F.lit(x) for x in v])).alias("d"),
-                                    F.lit(c).alias("c")) for c, v in zip(names, matrix)])
+        scored = F.transform(known, lambda x: F.struct(cosine_distance(F.col(vec), x["v"]).alias("d"), x["c"].alias("c")))
         return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["d"].isNotNull())), 1, n),
                            lambda x: x["c"])
 

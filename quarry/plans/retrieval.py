@@ -68,7 +68,8 @@ def payload_fields(spark: SparkSession, sf: str) -> DataFrame:
                     payload_field("n_chars").cast("bigint").alias("n_chars"))
 
 
-LISTS, PROBES = 16, 4
+# recall@5 of the benchmark queries is 0.93 or more on sf0.001, sf0.01 and sf0.1 (README)
+LISTS, PROBES = 64, 40
 
 
 def approx_vector_top_k(spark: SparkSession, sf: str) -> DataFrame:

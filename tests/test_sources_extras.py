@@ -10,9 +10,11 @@ from quarry.functions.text import payload_field
 from quarry.operators.chunking import markdown_sections, token_pack
 from quarry.operators.fusion import search
 from quarry.operators.vector_search import approx_vector_search, hashing_embedder, vector_candidates
+from quarry.plans.retrieval import QUERIES
 from quarry.sources.catalog import IndexCatalog, IndexNotFound
 from quarry.sources.files import (list_source_files, nest_eval_results, read_eval_queries, read_history,
                                   read_text_documents, write_eval_results)
+from quarry.sources.tables import query_set, records
 
 
 def test_list_and_read_files(spark, tmp_path):
@@ -82,6 +84,13 @@ def test_approx_recall(spark):
     assert len(exact & approx) / len(exact) >= 0.8
 
 
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_approx_recall_of_the_registered_query(spark, sf):
+    exact = {(r.query_id, r.id) for r in vector_candidates(records(spark, sf), query_set(spark, sf), 5).collect()}
+    approx = {(r.query_id, r.id) for r in QUERIES["approx_vector_top_k"](spark, sf).collect()}
+    assert exact and len(exact & approx) / len(exact) >= 0.9
+
+
 def test_embedder_and_search(spark):
     docs = spark.createDataFrame([("1", "le chat noir dort"), ("2", "un chien court"), ("3", "chat et chien")],
                                  "id string, content string")
