@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 from collections import Counter
 
 from quarry.llm import licenses as L
@@ -95,3 +96,23 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a/b", "Released under the MIT License.")], df.schema)
     none = spark.createDataFrame([], "license string, text string")
     assert [r.license for r in L.licenses(one, none).collect()] == [None]
+
+
+def test_whole_texts_and_notices_in_long_lines(spark):
+    texts = {p.stem: p.read_text() for p in L.TEXTS.glob("*.txt")}
+    assert set(texts) == {"Apache-2.0", "BSD-3-Clause", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0"}
+    wrapped = {k: "\n".join(textwrap.fill(x, 78) for x in t.replace("<year> <copyright holders>", "2021 A. Body").split("\n"))
+               for k, t in texts.items()}
+    filler = " ".join(f"filler{k}" for k in range(30))
+    files = [(k, f"{name}/LICENSE", wrapped[name]) for k, name in enumerate(sorted(texts))]
+    files += [(10 + k, f"{name}/src/deep/x.txt", "prose of its own kind") for k, name in enumerate(sorted(texts))]
+    files += [(20, "one/x.txt", f"{filler} Released under the MIT License. {filler}"), (21, "one/y.txt", filler),
+              (22, "two/x.txt", f"{filler} this program is free\nsoftware: you can redistribute\nit and/or modify it\nunder the "
+               f"terms of the\nGNU General Public License as\npublished by the Free\nSoftware Foundation {filler}")]
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in L.licenses(df).collect()}
+    for k, name in enumerate(sorted(texts)):
+        assert (got[k].license, got[k].origin) == (name, "own") and got[k].similarity > 0.95
+        assert (got[10 + k].license, got[10 + k].origin, got[10 + k].source_dir) == (name, "inherited", name)
+    assert (got[20].license, got[20].origin) == ("MIT", "own") and got[21].license is None
+    assert (got[22].license, got[22].origin) == ("GPL-3.0", "own")
