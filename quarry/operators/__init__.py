@@ -13,6 +13,8 @@ from quarry.operators.history import (append_turn, clean_history, history_tail,
                                       summary_input)
 from quarry.operators.loading import chunk_files
 from quarry.operators.margins import remove_repeated_margins, repeated_margins
+from quarry.operators.postings import PostingsIndex
+from quarry.operators.quantised_search import QuantisedIndex, approx_vector_search
 from quarry.operators.refine import refined_terms
 from quarry.operators.routing import route_files, skip_imported, supported_files
 from quarry.operators.store import (delete_document, delete_documents, delete_records, list_records,
@@ -20,7 +22,7 @@ from quarry.operators.store import (delete_document, delete_documents, delete_re
 # ``text_search`` and ``vector_search`` are also the names of their modules;
 # import those functions from the modules so the modules stay reachable.
 from quarry.operators.text_search import LexemeIndex, text_matches
-from quarry.operators.vector_search import approx_vector_search, vector_candidates
+from quarry.operators.vector_search import vector_candidates
 
 __all__ = sorted(n for n, v in list(globals().items())
                  if not n.startswith("_") and not isinstance(v, type(sys)))

@@ -8,7 +8,8 @@
   the chunk array of each row; Spark explodes it.  Work scales with documents.
 * ``markdown_sections`` - heading-aware sections computed with windows over
   the exploded lines of each document.
-* ``merge_by_heading`` - sections of a document regrouped by first heading.
+* ``merge_by_heading`` - sections of a document regrouped by first heading;
+  ``merge_by_heading_across`` - those of all documents, in parts of bounded size.
 * ``chunk_records`` - chunk rows described like generated partition files.
 """
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import content_sha256
+from quarry.operators.ordering import row_numbers
+from quarry.session import scratch_path
 
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
@@ -343,3 +346,42 @@ def dedup_by_hash(chunk_rows: DataFrame) -> DataFrame:
     and never collected in one task."""
     return (chunk_rows.groupBy("content_sha256")
             .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies")))
+
+
+PART_CHARS = 1_000_000
+
+
+def merge_by_heading_across(sections: DataFrame, key: str = "doc_id", part_chars: int = PART_CHARS) -> DataFrame:
+    """Sections of all documents regrouped by their first heading (``No_Heading`` when none),
+    bodies joined by newlines in the order of document and section.
+
+    Returns ``(heading_no, heading, part, content)``: headings are numbered by first
+    appearance, and the text of a heading comes in numbered parts.  A section belongs to the
+    part in which it starts, counting ``part_chars`` characters to a part, so a part holds at
+    most that and one section, and the parts in order, joined by newlines, are the whole text.
+
+    A heading that every document has is many tasks: sections are dealt into sorted ranges,
+    lengths are summed per heading and range, and a section's place is the sum before its
+    range plus that inside it."""
+    if part_chars <= 0:
+        raise ValueError("part_chars must be > 0")
+    heading = F.coalesce("header_1", "header_2", "header_3", F.lit("No_Heading"))
+    rows = sections.select(heading.alias("heading"), F.col(key).alias("doc"), "section_no", "content")
+    spark = sections.sparkSession
+    path = scratch_path(spark, "headings")
+    (rows.repartitionByRange("heading", "doc", "section_no").withColumn("range", F.spark_partition_id()).write.parquet(path))
+    rows = spark.read.parquet(path).withColumn("size", F.length("content") + F.lit(1).cast("long"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("heading", "range").agg(F.sum("size").alias("n"), F.min(F.struct("doc", "section_no")).alias("first"))
+    starts = sums.select("heading", "range", F.coalesce(F.sum("n").over(before("heading").orderBy("range")), F.lit(0)).alias("start"))
+    inside = F.coalesce(F.sum("size").over(before("range", "heading").orderBy("doc", "section_no")), F.lit(0))
+    placed = rows.withColumn("inside", inside).join(starts, ["heading", "range"])
+    part = F.floor((F.col("start") + F.col("inside")) / F.lit(part_chars)).alias("n")
+    parts = placed.groupBy("heading", part).agg(
+        F.array_sort(F.collect_list(F.struct("doc", "section_no", "content"))).alias("bodies"))
+    # parts that a long section leaves without a start are not there: number those that are
+    numbered = parts.withColumn("part", F.row_number().over(Window.partitionBy("heading").orderBy("n")) - 1)
+    order = row_numbers(sums.groupBy("heading").agg(F.min("first").alias("first")).select("first.*", "heading"),
+                        ["doc", "section_no", "heading"], "heading_no").select("heading", "heading_no")
+    return numbered.join(order, "heading").select(
+        "heading_no", "heading", "part", F.array_join(F.transform("bodies", lambda b: b["content"]), "\n").alias("content"))

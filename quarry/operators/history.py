@@ -140,11 +140,16 @@ def summary_input(messages: DataFrame, target: int, threshold: int = 0,
             .select("conv_id", "turn", "role", "text"))
 
 
-def append_turn(messages: DataFrame, turns: DataFrame) -> DataFrame:
-    """Append ``(conv_id, user_text, assistant_text)`` as two new messages at
-    the end of each conversation."""
+def append_turn(messages: DataFrame, turns: DataFrame, order: str | None = None) -> DataFrame:
+    """Append ``(conv_id, user_text, assistant_text)`` as two new messages at the end of each
+    conversation.  Several exchanges of one conversation follow each other in the order of
+    the column ``order`` of ``turns`` (without it, or on ties, of their texts); the window
+    holds the new exchanges of one conversation only."""
     last = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    t = turns.join(last, "conv_id", "left").withColumn("base", F.coalesce(F.col("last") + 1, F.lit(0)))
+    w = Window.partitionBy("conv_id").orderBy(*([order] if order else []), "user_text", "assistant_text")
+    place = turns.withColumn("__place", F.row_number().over(w) - 1)
+    t = place.join(last, "conv_id", "left").withColumn(
+        "base", F.coalesce(F.col("last") + 1, F.lit(0)) + 2 * F.col("__place"))
     new = t.select("conv_id", F.explode(F.array(
         F.struct(F.col("base").alias("turn"), F.lit("user").alias("role"), F.col("user_text").alias("text")),
         F.struct((F.col("base") + 1).alias("turn"), F.lit("assistant").alias("role"),

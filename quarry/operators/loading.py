@@ -72,10 +72,10 @@ def file_records(files: DataFrame, *, embed=None, **options) -> DataFrame:
 
 def import_files(catalog, index: str, files: DataFrame, **options) -> None:
     """Chunk, embed and upsert files into an index; a file imported again replaces its
-    former chunks, and ``delete_documents`` by path removes them."""
+    former chunks, in one step: no reader sees chunks of both versions.
+    ``catalog.delete_documents`` by path removes a file."""
     incoming = file_records(files, **options)
     catalog.create(index)
     paths = files.select(F.col("path").alias("document_id")).distinct()
-    stale = records_of_documents(catalog.read(index), paths).select("id").join(incoming.select("id"), "id", "left_anti")
-    catalog.upsert(index, incoming)
-    catalog.delete(index, stale)
+    former = records_of_documents(catalog.read(index, with_embeddings=False), paths).select("id")
+    catalog.apply(index, upserts=incoming, deletes=former)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.mime import (
     base_name, file_suffix, is_supported, loader_for, mime_from_name, mime_from_path, path_name, path_suffix,
 )
+from quarry.operators.ordering import row_numbers
 
 
 def route_files(files: DataFrame, path: str = "path", web: bool = False) -> DataFrame:
@@ -33,8 +34,13 @@ def skip_imported(files: DataFrame, ready: DataFrame, key: str = "document_id")
 
 
 def document_ids(files: DataFrame, path: str = "path") -> DataFrame:
-    """Stable ``doc<hash>`` ids from the path.  (A listing-position ``doc{i}``
-    would need one global order - a single task - so the id is derived from
-    the path instead; reruns give the same id.)"""
+    """Stable ``doc<hash>`` ids from the path: reruns over other files give the same id."""
     return files.withColumn("document_id",
                             F.concat(F.lit("doc"), F.substring(F.sha2(F.col(path), 256), 1, 16)))
+
+
+def document_ordinals(files: DataFrame, path: str = "path") -> DataFrame:
+    """``doc<i>`` ids by the place of a file in the listing ordered by path (from 0), numbered
+    over sorted ranges: no task holds the listing.  A path that repeats is numbered each time."""
+    numbered = row_numbers(files, [path], "ordinal")
+    return numbered.withColumn("document_id", F.concat(F.lit("doc"), F.col("ordinal").cast("string")))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.tags import DOCUMENT_TAG, tags_filter
 from quarry.functions.text import strip_nul
+from quarry.operators.ordering import after_key, key_at_rank, upto_key
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
@@ -26,28 +27,34 @@ def project(records: DataFrame, with_embeddings: bool = False) -> DataFrame:
     return records.select(*cols)
 
 
+NEAR = 10_000  # an offset up to which a page is a top-k
+
+
 def list_records(records: DataFrame, filters=None, limit: int = 1, offset: int = 0,
-                 order_by: str | Column = "id", with_embeddings: bool = False) -> DataFrame:
+                 order_by: str | Column = "id", with_embeddings: bool = False, near: int = NEAR) -> DataFrame:
     """Filtered page of records ordered by ``order_by`` (then id).
-    ``limit <= 0`` means no limit; Spark plans the limited form as a top-k.  An offset
-    without a limit reads the one row before the page (a top-k) and keeps the rows
-    after it, so the rest of the table never passes through one task."""
+    ``limit <= 0`` means no limit.  A page within ``near`` rows of the start is a top-k.
+    Further pages find the key before them, and that at the end of a long page, by rank
+    selection; only rows between them are sorted, so no task holds the rows before a page."""
     out = project(records.where(tags_filter(filters)), with_embeddings)
-    keys = [order_by] if isinstance(order_by, str) and order_by == "id" else [order_by, "id"]
-    if offset > 0 and limit <= 0:
-        key = F.col(order_by) if isinstance(order_by, str) else order_by
-        last = out.select(key.alias("k"), "id").orderBy("k", "id").offset(offset - 1).limit(1).collect()
-        if not last:
-            return out.limit(0)
-        k, i = F.lit(last[0]["k"]), F.lit(last[0]["id"])
-        after = (key.isNotNull() if last[0]["k"] is None else key > k) | (key.eqNullSafe(k) & (F.col("id") > i))
-        return out.where(F.coalesce(after, F.lit(False))).orderBy(*keys)
-    out = out.orderBy(*keys)
+    named = isinstance(order_by, str) and order_by == "id"
+    if not named:
+        out = out.withColumn("__key", F.col(order_by) if isinstance(order_by, str) else order_by)
+    keys = ["id"] if named else ["__key", "id"]
+    if 0 < limit <= near and offset + limit <= near:
+        page = out.orderBy(*keys).offset(offset).limit(limit) if offset > 0 else out.orderBy(*keys).limit(limit)
+        return page.drop("__key")
+    page = out
     if offset > 0:
-        out = out.offset(offset)
-    if limit > 0:
-        out = out.limit(limit)
-    return out
+        before = key_at_rank(out, keys, offset - 1)
+        if before is None:
+            return out.limit(0).drop("__key")
+        page = after_key(page, keys, before)
+    if limit > near:
+        last = key_at_rank(page, keys, limit - 1)
+        return (page if last is None else upto_key(page, keys, last)).orderBy(*keys).drop("__key")
+    page = page.orderBy(*keys)
+    return (page.limit(limit) if limit > 0 else page).drop("__key")
 
 
 def document_id(tags: str | Column = "tags") -> Column:

@@ -115,22 +115,23 @@ def cover_density(hits: Column, n_terms: Column) -> Column:
         F.lit(0).alias("i"),
     )
 
+    def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+        """``body(value)`` with ``value`` evaluated once a step."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def step(acc, h):
         i = acc["i"]
+
+        def covered(last: Column, s: Column) -> Column:
+            new_cover = (s >= 0) & (s > acc["prev"])
+            noise = (h["pos"] - F.element_at(hits, s + 1)["pos"]) - (i - s)
+            noise = F.when(noise < 0, (i - s) / 2.0).otherwise(noise)
+            gain = F.when(new_cover, F.lit(COVER_WEIGHT) / (F.lit(1.0) + noise)).otherwise(F.lit(0.0))
+            return F.struct(last.alias("last"), F.when(s >= 0, s).otherwise(acc["prev"]).alias("prev"),
+                            (acc["score"] + gain).alias("score"), (i + 1).alias("i"))
+
         last = F.transform(acc["last"], lambda x, j: F.when(j == h["term"], i).otherwise(x))
-        s = F.array_min(last)
-        full = s >= 0
-        new_cover = full & (s > acc["prev"])
-        start_pos = F.element_at(hits, s + 1)["pos"]
-        noise = (h["pos"] - start_pos) - (i - s)
-        noise = F.when(noise < 0, (i - s) / 2.0).otherwise(noise)
-        gain = F.when(new_cover, F.lit(COVER_WEIGHT) / (F.lit(1.0) + noise)).otherwise(F.lit(0.0))
-        return F.struct(
-            last.alias("last"),
-            F.when(full, s).otherwise(acc["prev"]).alias("prev"),
-            (acc["score"] + gain).alias("score"),
-            (i + 1).alias("i"),
-        )
+        return bound(last, lambda held: bound(F.array_min(held), lambda s: covered(held, s)))
 
     return F.aggregate(hits, init, step, lambda acc: acc["score"])
 
@@ -167,6 +168,8 @@ def _pairs(index: LexemeIndex, queries: DataFrame, stemmer, max_query_lexemes: i
 
 def text_matches(index: LexemeIndex, queries: DataFrame, stemmer=None, max_query_lexemes: int = MAX_QUERY_LEXEMES) -> DataFrame:
     """``(query_id, id)`` pairs where the record holds every query lexeme."""
+    if hasattr(index, "matches"):  # a saved PostingsIndex
+        return index.matches(queries)
     return _pairs(index, queries, stemmer, max_query_lexemes).select("query_id", "id")
 
 
@@ -180,9 +183,12 @@ def text_search(records: DataFrame, queries: DataFrame, k: int | None = None, *,
     would need one task).
 
     ``length_norm`` divides the score by ``ln(1 + number of lexeme positions)``.
-    Pass a saved ``LexemeIndex`` to serve many query batches from one index;
-    ``only (id)`` then limits the matches to some records.
+    Pass a saved ``LexemeIndex`` or ``PostingsIndex`` (``quarry.operators.postings``) to
+    serve many query batches from one index; ``only (id)`` then limits the matches to some
+    records.
     """
+    if hasattr(index, "search"):
+        return index.search(queries, k, length_norm=length_norm, only=only)
     index = index if index is not None else LexemeIndex.build(records, stemmer)
     pairs = _pairs(index, queries, stemmer, max_query_lexemes)
     if only is not None and index.saved:

@@ -5,8 +5,8 @@ queries of checked size is shipped to every task as one numpy matrix, and
 ``mapInArrow`` streams the record scan past it.  A task scores each Arrow batch
 with matrix products, keeps a running top-k per query and emits at most ``k`` rows
 per query once.  A query batch that does not fit one block is cut into blocks by a
-hash of the query id, and the scan runs once per block; the rows do not depend on
-the number of blocks.
+hash of the query id, which are written to the shared folder and read by the tasks;
+the scan runs once per block, and the rows do not depend on the number of blocks.
 
 The final cut is ``row_number() <= k`` per query, which Spark runs as a partial +
 final ``WindowGroupLimit``.
@@ -18,7 +18,6 @@ inside the task, so equal vectors never leave it beyond ``k`` per query.
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 from typing import Iterator
 
@@ -29,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.tags import tags_filter
-from quarry.functions.vectors import cosine_distance
+from quarry.session import open_shared, scratch_path
 
 MAX_BROADCAST_QUERIES = 65_536      # query rows of one block
+FIRST_READ = 1_024                  # query rows read to see whether the batch is one small block
 MAX_BROADCAST_BYTES = 64 << 20      # and never more than this many bytes
 MAX_BROADCAST_HITS = 1_000_000      # queries x k hit rows joined back by broadcast
 
@@ -81,28 +81,58 @@ def _candidates_schema(query_id_type: T.DataType) -> T.StructType:
     ])
 
 
-def _dimension(queries: DataFrame) -> int | None:
-    """The one dimension of the query vectors; None without any."""
-    lo, hi = queries.where(F.col("query_vec").isNotNull()).agg(
-        F.min(F.size("query_vec")), F.max(F.size("query_vec"))).first()
+def query_blocks(queries: DataFrame, max_queries: int) -> tuple[list, int, int | None]:
+    """``(blocks, number of queries, dimension)`` of ``queries (query_id, query_vec)``.
+
+    A small batch is one Arrow table.  A larger one is cut by a hash of the query id and
+    written to the shared folder; a block is then the path of its files, which tasks read,
+    so the driver never holds the batch."""
+    block = queries.limit(FIRST_READ + 1).toArrow()
+    sizes = {len(v) for v in block.column("query_vec").to_pylist()}
+    if block.num_rows <= FIRST_READ:
+        lo, hi, n_queries = min(sizes, default=None), max(sizes, default=None), block.num_rows
+    else:
+        lo, hi, n_queries = queries.agg(F.min(F.size("query_vec")), F.max(F.size("query_vec")), F.count("*")).first()
     if lo != hi:
         raise ValueError("query vectors must all have the same dimension")
-    return lo
+    if not n_queries or not hi:
+        return [], n_queries, hi
+    rows = min(max_queries, max(1, MAX_BROADCAST_BYTES // (8 * hi)))
+    if n_queries <= rows:
+        return [block if block.num_rows == n_queries else queries.toArrow()], n_queries, hi
+    spark = queries.sparkSession
+    n_blocks = -(-2 * n_queries // rows)  # hash blocks of about half the bound
+    path = scratch_path(spark, "query-blocks")
+    (queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
+     .repartition("block").write.partitionBy("block").parquet(path))
+    found = sorted(r.block for r in spark.read.parquet(path).select("block").distinct().collect())  # n_blocks rows
+    return [f"{path}/block={b}" for b in found], n_queries, hi
+
+
+def block_loader(block, spark):
+    """A function for tasks that gives ``(query ids, unit vectors)`` of a block."""
+    if isinstance(block, str):
+        def read():
+            import pyarrow.parquet as pq
+
+            store, path = open_shared(block)
+            table = pq.read_table(path, filesystem=store, columns=["query_id", "query_vec"], partitioning=None)
+            return (table.column("query_id").combine_chunks(),
+                    _unit_rows(np.array(table.column("query_vec").to_pylist(), dtype=np.float64)))
+        return read
+    payload = (block.column("query_id").combine_chunks(),
+               _unit_rows(np.array(block.column("query_vec").to_pylist(), dtype=np.float64)))
+    try:
+        shipped = spark.sparkContext.broadcast(payload)
+        return lambda: shipped.value
+    except Exception:  # noqa: BLE001 - no broadcast variables (Spark Connect): ship with the function
+        return lambda: payload
 
 
-def _block_candidates(recs: DataFrame, block: pa.Table, k: int, max_distance: float | None,
+def _block_candidates(recs: DataFrame, block, dim: int, k: int, max_distance: float | None,
                       qtype: T.DataType) -> DataFrame:
     """Candidates of one block of queries against the whole record scan."""
-    arrow_ids = block.column("query_id").combine_chunks()
-    q_unit = _unit_rows(np.array(block.column("query_vec").to_pylist(), dtype=np.float64))
-    payload = (arrow_ids, q_unit)
-    spark = recs.sparkSession
-    try:
-        bq = spark.sparkContext.broadcast(payload)
-        get = lambda: bq.value
-    except Exception:  # noqa: BLE001 - no broadcast variables (Spark Connect): ship with the function
-        get = lambda: payload
-    dim = q_unit.shape[1]
+    get = block_loader(block, recs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, q_unit = get()
@@ -150,28 +180,12 @@ def candidates_and_count(records: DataFrame, queries: DataFrame, k: int, *,
     qtype = queries.schema["query_id"].dataType
     max_distance = None if min_similarity is None else 1.0 - float(min_similarity)
     queries = queries.select("query_id", "query_vec").where(F.col("query_vec").isNotNull())
-    # one bounded read of the query block tells whether it is the only one
-    block = queries.limit(max_broadcast_queries + 1).toArrow()
-    sizes = {len(v) for v in block.column("query_vec").to_pylist()}
-    one = block.num_rows <= max_broadcast_queries and block.num_rows * max(sizes, default=1) * 8 <= MAX_BROADCAST_BYTES
-    if one:
-        if len(sizes) > 1:
-            raise ValueError("query vectors must all have the same dimension")
-        dim, n_queries = max(sizes, default=None), block.num_rows
-    else:
-        dim, n_queries = _dimension(queries), queries.count()
+    blocks, n_queries, dim = query_blocks(queries, max_broadcast_queries)
     schema = T.StructType([*_candidates_schema(qtype).fields, T.StructField("rank", T.IntegerType())])
-    if not n_queries or not dim:
+    if not blocks:
         return records.sparkSession.createDataFrame([], schema), n_queries
     recs = records.where(F.size("embedding") == dim).where(tags_filter(filters))
-    if one:
-        blocks = [block]
-    else:
-        rows = min(max_broadcast_queries, max(1, MAX_BROADCAST_BYTES // (8 * dim)))
-        n_blocks = -(-2 * n_queries // rows)  # hash blocks of about half the bound
-        of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
-        blocks = (queries.where(of == b).toArrow() for b in range(n_blocks))
-    parts = [_block_candidates(recs, b, k, max_distance, qtype) for b in blocks if b.num_rows]
+    parts = [_block_candidates(recs, b, dim, k, max_distance, qtype) for b in blocks]
     cand = reduce(DataFrame.unionByName, parts)
     if k <= 0:
         return cand.withColumn("rank", F.lit(None).cast("int")), n_queries
@@ -201,51 +215,6 @@ def vector_search(records: DataFrame, queries: DataFrame, k: int = 1, *, offset:
             .select("query_id", *cols, "distance", "similarity", "rank"))
 
 
-def choose_centroids(records: DataFrame, n_lists: int) -> DataFrame:
-    """``n_lists`` record vectors, spread by a hash of their id: ``(centroid, centroid_vec)``."""
-    pool = records.where(F.col("embedding").isNotNull()).select(
-        F.col("id").alias("centroid"), F.col("embedding").alias("centroid_vec"))
-    return pool.orderBy(F.md5("centroid"), "centroid").limit(n_lists)
-
-
-def approx_vector_search(records: DataFrame, queries: DataFrame, k: int, *,
-                         min_similarity: float | None = None, filters=None, n_lists: int = 16,
-                         probes: int = 4) -> DataFrame:
-    """Approximate top-k over centroid lists: every record belongs to the list of its
-    nearest centroid (one copy per record), a query is scored against the records of
-    its ``probes`` nearest lists only.  Returns ``(query_id, id, distance, rank)``.
-
-    At most ``n_lists`` centroids are shipped to tasks, as one literal of a JVM expression.
-    The probed pairs meet in an equi-join on the list, whose skewed partitions adaptive
-    execution splits, and each query keeps its first ``k``.
-    """
-    if k <= 0:
-        raise ValueError("k must be > 0")
-    max_distance = None if min_similarity is None else 1.0 - float(min_similarity)
-    recs = records.where(F.col("embedding").isNotNull()).where(tags_filter(filters))
-    centroids = choose_centroids(records, n_lists).toArrow()  # at most n_lists rows
-    cent = [{"c": r["centroid"], "v": [float(x) for x in r["centroid_vec"]]} for r in centroids.to_pylist()]
-    # one literal for all: a literal a number takes seconds to plan
-    known = F.from_json(F.lit(json.dumps(cent)), "array<struct<c string, v array<double>>>")
-
-    def lists(vec: str, n: int):
-        """The ``n`` nearest centroids of a vector column, by distance then name."""
-        scored = F.transform(known, lambda x: F.struct(cosine_distance(F.col(vec), x["v"]).alias("d"), x["c"].alias("c")))
-        return F.transform(F.slice(F.array_sort(F.filter(scored, lambda x: x["d"].isNotNull())), 1, n),
-                           lambda x: x["c"])
-
-    if not cent:
-        return candidates_and_count(recs, queries, k, min_similarity=min_similarity)[0]
-    r = recs.select("id", "embedding", F.explode(lists("embedding", 1)).alias("list"))
-    q = queries.select("query_id", "query_vec", F.explode(lists("query_vec", probes)).alias("list"))
-    cand = r.join(q, "list").select("query_id", "id", cosine_distance("query_vec", "embedding").alias("distance"))
-    cand = cand.where(F.col("distance").isNotNull())
-    if max_distance is not None:
-        cand = cand.where(F.col("distance") < max_distance)
-    w = Window.partitionBy("query_id").orderBy(F.col("distance").asc(), F.col("id").asc())
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def hashing_embedder(num_features: int = 64, text_col: str = "content", out_col: str = "embedding"):
     """A model-free text embedder for tests and baselines: word tokens ->
     feature hashing -> IDF -> L2 normalisation, as ``array<float>``.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["retrieval", "text", "hybrid", "evaluation", "ingest", "history", "maintenance"]
+_MODULES = ["retrieval", "text", "hybrid", "evaluation", "ingest", "history", "maintenance", "stores"]
 
 
 def _collect(attr: str) -> dict:

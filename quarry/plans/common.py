@@ -31,14 +31,14 @@ RECORDS_CTE = """records AS (
 QUERY_SET_CTE = """query_set AS (
   SELECT b.item_id AS query_id, b.text AS query_text,
          CAST(e.embedding AS DOUBLE[]) AS query_vec
-  FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"""
+  FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id)"""
 
 SCORED_CTE = """scored AS (
   SELECT q.query_id, r.id,
          1 - list_dot_product(q.query_vec, r.embedding)
              / (sqrt(list_dot_product(q.query_vec, q.query_vec))
                 * sqrt(list_dot_product(r.embedding, r.embedding))) AS distance
-  FROM query_set q, records r WHERE r.embedding IS NOT NULL {where})"""
+  FROM query_set q, records r WHERE r.embedding IS NOT NULL AND q.query_vec IS NOT NULL {where})"""
 
 STOP_SQL = sql_list()
 

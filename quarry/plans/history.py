@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.history import clean_history, history_tail, reduce_history, summary_input
-from quarry.operators.refine import refined_terms
-from quarry.plans.common import rounded, tokens_cte
+from quarry.operators.refine import RUN_TOKEN, key_expressions, refined_terms
+from quarry.plans.common import STOP_SQL, rounded, tokens_cte
 from quarry.session import scratch_path
 from quarry.sources.tables import read_table
 from quarry.streaming.ingest import read_merged, start_ingest
@@ -54,6 +54,12 @@ def refined_terms_q(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "term_rank", "term", rounded("idf"))
 
 
+def key_expressions_q(spark: SparkSession, sf: str) -> DataFrame:
+    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    out = key_expressions(q, read_table(spark, sf, "documents"))
+    return out.select("query_id", "term_rank", "term", "n_words", rounded("score"))
+
+
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "stream-ingest")
     q = start_ingest(spark, sf, f"{base}/table", f"{base}/checkpoint")
@@ -79,7 +85,39 @@ tailed AS (
   FROM goal g JOIN msgs m USING (conv_id) WHERE g.n - g.t > 0 GROUP BY g.conv_id, g.first_system),
 pts AS (SELECT s.conv_id, s.first_system, coalesce(t.at_user, t.at) AS truncation FROM sys s LEFT JOIN tailed t USING (conv_id))"""
 
+def _grams(name: str, source: str, key: str) -> str:
+    """Runs of 1 to 3 kept words with their first place."""
+    parts = [f"""SELECT key, {n} AS n, i AS at, {" || ' ' || ".join(f"plain[i + {j}]" for j in range(n))} AS expression,
+       {" || ' ' || ".join(f"t[i + {j}]" for j in range(n))} AS surface FROM (
+  SELECT *, unnest(range(1, len(t) - {n - 2})) AS i FROM {name}_t)
+  WHERE {" AND ".join(f"kept[i + {j}]" for j in range(n))}""" for n in (1, 2, 3)]
+    return f"""{name}_t AS (SELECT key, t, plain, list_transform(plain, lambda w: regexp_matches(w, '^[\\p{{L}}\\p{{N}}]') AND w NOT IN {STOP_SQL}) AS kept
+  FROM (SELECT *, list_transform(t, lambda w: lower(w)) AS plain FROM (
+    SELECT {key} AS key, regexp_extract_all(coalesce(text, ''), '{RUN_TOKEN}') AS t FROM {source}))),
+{name} AS ({" UNION ALL ".join(parts)})"""
+
+
 SQL = {
+    "key_expressions": f"""WITH {_grams('dg', 'documents', 'doc_id')},
+{_grams('qg', 'benchmark', 'item_id')},
+found AS (SELECT key AS query_id, n, expression, min(at) AS at, arg_min(surface, at) AS surface FROM qg GROUP BY 1, 2, 3),
+counts AS (SELECT expression, count(*) AS f, count(DISTINCT key) AS df FROM dg
+           WHERE expression IN (SELECT expression FROM found) GROUP BY 1),
+nd AS (SELECT count(*) AS nd FROM documents),
+scored AS (SELECT query_id, n, expression, at, surface, coalesce(f, 0) + 1 AS f1, ln((1.0 + nd) / (1.0 + coalesce(df, 0))) AS idf
+           FROM found LEFT JOIN counts USING (expression) CROSS JOIN nd),
+standing AS (SELECT * FROM scored WHERE n = 1 OR f1 > 2
+             OR len(list_filter(string_split(surface, ' '), lambda w: NOT regexp_matches(w, '^\\p{{Lu}}'))) = 0),
+inner_parts AS (
+  SELECT DISTINCT query_id, expression AS outer_expression, f1, w[i + 1] AS expression FROM (
+    SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, string_split(expression, ' ') AS w FROM standing WHERE n > 1))
+  UNION SELECT DISTINCT query_id, expression, f1, w[i + 1] || ' ' || w[i + 2] FROM (
+    SELECT *, unnest(range(0, 2)) AS i FROM (SELECT *, string_split(expression, ' ') AS w FROM standing WHERE n = 3))),
+around AS (SELECT query_id, expression, avg(f1) AS around FROM inner_parts GROUP BY 1, 2),
+kept AS (SELECT s.*, log2(n + 1.0) * idf AS score FROM standing s LEFT JOIN around a USING (query_id, expression)
+         WHERE around IS NULL OR f1 > around),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, at, n DESC, expression) AS term_rank FROM kept)
+SELECT query_id, term_rank, surface AS term, n AS n_words, round(score, 6) + 0.0 AS score FROM ranked WHERE term_rank <= 5""",
     "clean_history": f"WITH {_CLEANED}\nSELECT conv_id, turn, role FROM msgs",
     "history_tail": f"""WITH {_CLEANED}
 SELECT conv_id, turn, role FROM msgs WHERE pos >= n - {TAIL}""",
@@ -124,5 +162,6 @@ QUERIES = {
     "reduce_history": reduce_history_q,
     "summary_input": summary_input_q,
     "refined_terms": refined_terms_q,
+    "key_expressions": key_expressions_q,
     "stream_ingest": stream_ingest,
 }

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_text, content_sha256, normalize_index_name, normalize_table_prefix
 from quarry.operators.chunking import (chunk_records, dedup_by_hash, fixed_window_chunks, html_to_markdown,
-                                       markdown_sections, merge_by_heading, recursive_chunks,
-                                       token_pack)
+                                       markdown_sections, merge_by_heading, merge_by_heading_across,
+                                       recursive_chunks, token_pack)
 from quarry.operators.margins import blocks_from_lines, remove_repeated_margins, repeated_margins
-from quarry.operators.routing import route_files, skip_imported
+from quarry.operators.routing import document_ordinals, route_files, skip_imported
 from quarry.operators.store import delete_documents, upsert
 from quarry.plans.common import RECORDS_CTE
 from quarry.sources.tables import read_table, records
@@ -62,6 +62,22 @@ def merge_by_heading_q(spark: SparkSession, sf: str) -> DataFrame:
                     content_sha256("content").alias("content_sha256"))
 
 
+MERGED_PART = 20_000  # characters of a part
+
+
+def merge_across_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The sections of all pages under each heading, in parts."""
+    m = merge_by_heading_across(_sections(spark, sf), part_chars=MERGED_PART)
+    return m.select("heading_no", "heading", "part", F.length("content").alias("content_len"),
+                    content_sha256("content").alias("content_sha256"))
+
+
+def document_ordinals_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a listing of files, numbered by path."""
+    path = F.concat(F.lit("/in/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return document_ordinals(_docs(spark, sf).select(path.alias("path"))).select("path", "document_id")
+
+
 def token_pack_q(spark: SparkSession, sf: str) -> DataFrame:
     t = token_pack(_sections(spark, sf), max_tokens=100)
     return t.select(F.col("doc_id").alias("page_id"), "section_no", "chunk_no", "n_tokens",
@@ -270,6 +286,16 @@ g AS (SELECT page_id, coalesce(header_1, header_2, header_3, 'No_Heading') AS he
       FROM sections GROUP BY 1, 2)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS group_no, heading,
        length(content) AS content_len, sha256(content) AS content_sha256 FROM g""",
+    "merge_across_documents": f"""WITH {_SECTIONS},
+p AS (SELECT *, coalesce(header_1, header_2, header_3, 'No_Heading') AS heading, length(content) + 1 AS n FROM sections),
+s AS (SELECT *, (sum(n) OVER (PARTITION BY heading ORDER BY page_id, section_no) - n) // {MERGED_PART} AS slot FROM p),
+g AS (SELECT heading, slot, string_agg(content, chr(10) ORDER BY page_id, section_no) AS content FROM s GROUP BY 1, 2),
+f AS (SELECT heading, row_number() OVER (ORDER BY page_id, section_no) - 1 AS heading_no FROM (
+  SELECT heading, page_id, section_no, row_number() OVER (PARTITION BY heading ORDER BY page_id, section_no) AS i FROM p) WHERE i = 1)
+SELECT heading_no, heading, row_number() OVER (PARTITION BY heading ORDER BY slot) - 1 AS part,
+       length(content) AS content_len, sha256(content) AS content_sha256 FROM g JOIN f USING (heading)""",
+    "document_ordinals": """WITH p AS (SELECT '/in/' || coalesce(source, '') || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path FROM documents)
+SELECT path, 'doc' || CAST(row_number() OVER (ORDER BY path) - 1 AS VARCHAR) AS document_id FROM p""",
     "common_margins": f"WITH {_BLOCKS}\nSELECT doc_id, text FROM common",
     "page_text_without_margins": f"""WITH {_BLOCKS}
 SELECT doc_id, page_no, length(text) AS text_len, sha256(text) AS text_sha256 FROM ptext""",
@@ -303,6 +329,8 @@ QUERIES = {
     "dedup_chunks": dedup_chunks,
     "heading_sections": heading_sections,
     "merge_by_heading": merge_by_heading_q,
+    "merge_across_documents": merge_across_documents,
+    "document_ordinals": document_ordinals_q,
     "token_pack": token_pack_q,
     "common_margins": common_margins,
     "page_text_without_margins": page_text_without_margins,

@@ -4,27 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.functions import french
+from quarry.operators.postings import PostingsIndex
 from quarry.operators.text_search import LexemeIndex, text_matches, text_search
 from quarry.plans.common import QUERY_SET_CTE, RECORDS_CTE, rounded, tokens_cte
-from quarry.sources.tables import query_set, records
+from quarry.sources.tables import derived, query_set, records
+
+TOP = 20  # ranked matches reported per query
+
+
+def text_index(spark: SparkSession, sf: str, stemmed: bool = False) -> PostingsIndex:
+    """The postings of the records: built once per session and state of the tables."""
+    stemmer = french.stem if stemmed else None
+    return derived(spark, sf, ["documents"], "text-index" + ("-stemmed" if stemmed else ""),
+                   lambda path: PostingsIndex.save(records(spark, sf).select("id", "content"), path, stemmer=stemmer))
 
 
 def text_match_all(spark: SparkSession, sf: str) -> DataFrame:
-    r, q = records(spark, sf), query_set(spark, sf)
-    return text_matches(LexemeIndex.build(r), q)
+    return text_matches(LexemeIndex.build(records(spark, sf)), query_set(spark, sf))
 
 
-TOP = 20  # ranked matches reported per query
+def _ranked(spark: SparkSession, sf: str, **options) -> DataFrame:
+    out = text_search(records(spark, sf), query_set(spark, sf), TOP, **options)
+    return out.select("query_id", "id", rounded("text_score"), "text_rank")
 
 
 def text_rank(spark: SparkSession, sf: str) -> DataFrame:
-    out = text_search(records(spark, sf), query_set(spark, sf), TOP)
-    return out.select("query_id", "id", rounded("text_score"), "text_rank")
+    return _ranked(spark, sf)
 
 
 def text_rank_norm(spark: SparkSession, sf: str) -> DataFrame:
-    out = text_search(records(spark, sf), query_set(spark, sf), TOP, length_norm=True)
-    return out.select("query_id", "id", rounded("text_score"), "text_rank")
+    return _ranked(spark, sf, length_norm=True)
+
+
+def text_match_index(spark: SparkSession, sf: str) -> DataFrame:
+    return text_matches(text_index(spark, sf), query_set(spark, sf))
+
+
+def text_rank_index(spark: SparkSession, sf: str) -> DataFrame:
+    """``text_rank`` from the saved postings."""
+    return _ranked(spark, sf, index=text_index(spark, sf))
+
+
+def text_rank_stemmed(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of records and questions by their French stems, from saved postings."""
+    return _ranked(spark, sf, index=text_index(spark, sf, stemmed=True))
 
 
 # SQL building blocks: tokens, query lexemes, matches, hits and covers.
@@ -77,8 +101,13 @@ SELECT query_id, id, round(score, 6) + 0.0 AS text_score,
 FROM normed QUALIFY text_rank <= {TOP}""",
 }
 
+SQL |= {"text_match_index": SQL["text_match_all"], "text_rank_index": SQL["text_rank"]}
+
 QUERIES = {
     "text_match_all": text_match_all,
     "text_rank": text_rank,
     "text_rank_norm": text_rank_norm,
+    "text_match_index": text_match_index,
+    "text_rank_index": text_rank_index,
+    "text_rank_stemmed": text_rank_stemmed,
 }

@@ -61,3 +61,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return os.path.join(shared_dir(spark), "quarry", f"{name}-{uuid.uuid4().hex}")
+
+
+def open_shared(path: str):
+    """(Arrow file system, path) of a place in the shared folder, for reads inside tasks."""
+    from pyarrow import fs
+
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    for alias in ("s3a://", "s3n://"):
+        if path.startswith(alias):
+            path = "s3://" + path[len(alias):]
+    return fs.FileSystem.from_uri(path)
+
+
+def _store(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place, jvm.org.apache.hadoop.fs.Path
+
+
+def list_shared(spark: SparkSession, path: str) -> dict[str, int]:
+    """Names directly below a shared folder with their times; none for a missing one."""
+    store, place, _ = _store(spark, path)
+    return {s.getPath().getName(): s.getModificationTime() for s in store.listStatus(place)} if store.exists(place) else {}
+
+
+def touch_shared(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    store, place, _ = _store(spark, path)
+    store.create(place, True).close()
+
+
+def delete_shared(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of this library in the shared folder; a missing one is fine."""
+    store, place, _ = _store(spark, path)
+    store.delete(place, True)

@@ -131,17 +131,23 @@ def write_eval_results(nested: DataFrame, base: str, run_id: str) -> str:
 CHUNK_BUCKETS = 64  # folders of a chunk store
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
+def write_chunks(chunks: DataFrame, path: str, parents: DataFrame | None = None) -> None:
     """Add chunk rows to the store at ``path``, in hash buckets of their parent document.
     Chunks of other parents stay; a parent written again replaces its former chunks
-    (``read_chunks`` takes the latest write of each parent)."""
-    (chunks.withColumns({"bucket": F.pmod(F.xxhash64("parent_id"), F.lit(CHUNK_BUCKETS)).cast("int"),
-                         "written_at": F.current_timestamp()})
-     .repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path))
+    (``read_chunks`` takes the latest write of each parent).  ``parents (parent_id)`` names
+    what was chunked, so that a parent whose text became empty loses its chunks."""
+    spark = chunks.sparkSession
+    at = spark.sql("SELECT current_timestamp()").first()[0]  # one time for the whole write
+    stamp = lambda df: df.withColumns({
+        "bucket": F.pmod(F.xxhash64("parent_id"), F.lit(CHUNK_BUCKETS)).cast("int"), "written_at": F.lit(at).cast("timestamp")})
+    named = chunks.select("parent_id") if parents is None else parents.select("parent_id").unionByName(chunks.select("parent_id"))
+    stamp(chunks).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    # the log comes second: until it is there, readers see the former chunks
+    stamp(named.distinct()).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path.rstrip('/')}-parents")
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks of every parent's latest write."""
-    rows = spark.read.parquet(path)
-    latest = rows.groupBy("parent_id").agg(F.max("written_at").alias("written_at"))
-    return rows.join(latest, ["parent_id", "written_at"]).drop("bucket", "written_at")
+    """The chunks of every parent's latest write, by the narrow log of writes."""
+    log = spark.read.parquet(f"{path.rstrip('/')}-parents")
+    latest = log.groupBy("parent_id").agg(F.max("written_at").alias("written_at"))
+    return spark.read.parquet(path).join(latest, ["parent_id", "written_at"]).drop("bucket", "written_at")

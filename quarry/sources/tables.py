@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.tags import DOCUMENT_TAG
+from quarry.session import scratch_path
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -59,9 +60,26 @@ def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item as a query: ``(query_id, query_text, query_vec)``.
 
     The text is the whole passage; the vector is the embedding with
-    ``vec_id = item_id``."""
+    ``vec_id = item_id``, NULL where there is none (vector searches skip such a question,
+    text searches do not)."""
     b = read_table(spark, sf_dir, "benchmark", widen=False).alias("b")
     e = read_table(spark, sf_dir, "embeddings", widen=False).alias("e")
-    return (b.join(e, F.col("b.item_id") == F.col("e.vec_id"))
+    return (b.join(e, F.col("b.item_id") == F.col("e.vec_id"), "left")
             .select(F.col("b.item_id").alias("query_id"), F.col("b.text").alias("query_text"),
                     F.col("e.embedding").alias("query_vec")))
+
+
+_DERIVED: dict[tuple[str, str, str], object] = {}  # (session, kind, state of the files) -> what was loaded
+
+
+def derived(spark: SparkSession, sf_dir: str, tables: list[str], kind: str, build):
+    """What ``build(path)`` makes from ``tables``: built once per session and state of the
+    files (their paths, lengths and times), so a changed table is built anew."""
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
+    files = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length")
+    line = F.concat_ws("|", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string"))
+    state = files.agg(F.count("*"), F.sum(F.xxhash64(line).cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, kind, str(tuple(state)) + "|".join(paths))
+    if key not in _DERIVED:
+        _DERIVED[key] = build(scratch_path(spark, kind))
+    return _DERIVED[key]
