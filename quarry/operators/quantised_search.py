@@ -128,9 +128,12 @@ class QuantisedIndex:
         # one pass over the records writes codes and vectors; the narrow code table is split off it
         both = usable.mapInArrow(encode, "id string, tags array<string>, code binary, embedding array<double>")
         shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-        (both.withColumn("shard", shard).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "id").sortWithinPartitions("shard", "id")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        piece = F.pmod(F.hash("id"), F.lit(max(1, n // shards)))  # several tasks a shard where there are more tasks
+        (both.withColumn("shard", shard).repartition(n, "shard", piece).sortWithinPartitions("shard", "id")
          .write.partitionBy("shard").parquet(f"{path}/vectors"))
-        whole = spark.read.parquet(f"{path}/vectors") if books else both.withColumn("shard", shard)
+        whole = (spark.read.schema("id string, tags array<string>, code binary, embedding array<double>, shard int")
+                 .parquet(f"{path}/vectors"))
         whole.select("id", "tags", "code").write.parquet(f"{path}/codes")
         rows = [(k, dim, shards, bytearray(book.tobytes())) for k, book in enumerate(books)]
         spark.createDataFrame(rows, "part int, dim int, shards int, centroids binary").coalesce(1).write.parquet(f"{path}/codebooks")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stopwords import FRENCH
 from quarry.operators.text_search import lexemes
+from quarry.session import scratch_path
 
 
 def document_frequencies(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,8 +59,8 @@ MAX_WORDS, MIN_COUNT = 3, 2
 RUN_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N} \t\n\r\f\x0B]"
 
 
-def _expressions(df: DataFrame, key: str, text: str, surface: bool) -> DataFrame:
-    """``(key, n, expression[, at, surface])``: every run of 1 to ``MAX_WORDS`` kept words."""
+def _expressions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, n, expression, at, surface)``: every run of 1 to ``MAX_WORDS`` kept words."""
     rows = df.select(F.col(key), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(RUN_TOKEN), F.lit(0)).alias("t"))
     plain = F.transform("t", lambda w: F.lower(w))
     kept = F.transform("plain", lambda w: w.rlike(r"^[\p{L}\p{N}]") & ~w.isin(list(FRENCH)))
@@ -69,18 +70,27 @@ def _expressions(df: DataFrame, key: str, text: str, surface: bool) -> DataFrame
         places = F.when(F.size("t") >= n, F.sequence(F.lit(0), F.size("t") - n)).otherwise(F.array().cast("array<int>"))
         whole = F.filter(places, lambda i: F.forall(F.slice("kept", i + 1, n), lambda k: k))
 
-        def expression(i: Column) -> Column:
-            fields = [F.lit(n).alias("n"), F.array_join(F.slice("plain", i + 1, n), " ").alias("expression")]
-            if surface:
-                fields += [i.alias("at"), F.array_join(F.slice("t", i + 1, n), " ").alias("surface")]
-            return F.struct(*fields)
-
-        return F.transform(whole, expression)
+        return F.transform(whole, lambda i: F.struct(
+            F.lit(n).alias("n"), F.array_join(F.slice("plain", i + 1, n), " ").alias("expression"), i.alias("at"),
+            F.array_join(F.slice("t", i + 1, n), " ").alias("surface")))
 
     parts = [of(n) for n in range(1, MAX_WORDS + 1)]
     return rows.select(key, F.explode(F.concat(*parts)).alias("e")).select(key, "e.*")
 
 
+def _corpus_expressions(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, expression)`` of every run of 1 to ``MAX_WORDS`` kept words.  Signs become one
+    mark, marks and stop words NULL, and joining with NULL is NULL, so no run crosses them."""
+    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N} \t\n\r\f\x0B]+", " \u0001 ")
+    plain = F.transform(F.split(marked, r"[ \t\n\r\f\x0B]+"), lambda w: F.lower(w))
+    kept = F.transform(plain, lambda w: F.when(~w.isin("", "\u0001", *FRENCH), w))
+    rows = df.select(F.col(key), kept.alias("u1"))
+    for n in range(2, MAX_WORDS + 1):  # places line up: run i of n words starts at word i
+        rows = rows.withColumn(f"u{n}", F.zip_with(f"u{n - 1}", F.slice("u1", n, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b)))
+    every = F.concat(*[F.filter(f"u{n}", lambda e: e.isNotNull()) for n in range(1, MAX_WORDS + 1)])
+    return rows.select(key, F.explode(every).alias("expression"))
+
+
 def key_expressions(questions: DataFrame, corpus: DataFrame, k: int = 5, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
     """``(query_id, term_rank, term, n_words, score)`` for ``questions (query_id,
@@ -90,11 +100,11 @@ def key_expressions(questions: DataFrame, corpus: DataFrame, k: int = 5, key: st
     Defined cases: a question without a kept word has no expression; NULL texts are empty;
     a corpus without documents counts nothing, and only names stand as several words."""
     n_docs = corpus.count()  # one scalar, attached as a literal
-    found = (_expressions(questions, "query_id", "query_text", True).groupBy("query_id", "n", "expression")
+    found = (_expressions(questions, "query_id", "query_text").groupBy("query_id", "n", "expression")
              .agg(F.min(F.struct("at", "surface")).alias("first")))
     wanted = found.select("expression").distinct()
     small = wanted.limit(MAX_QUESTION_LEXEMES + 1).count() <= MAX_QUESTION_LEXEMES
-    counts = (_expressions(corpus, key, text, False).join(F.broadcast(wanted) if small else wanted, "expression", "left_semi")
+    counts = (_corpus_expressions(corpus, key, text).join(F.broadcast(wanted) if small else wanted, "expression", "left_semi")
               .groupBy("expression", key).count().groupBy("expression").agg(F.sum("count").alias("f"), F.count("*").alias("df")))
     scored = found.join(counts, "expression", "left").select(
         "query_id", "n", "expression", F.col("first.at").alias("at"), F.col("first.surface").alias("surface"),
@@ -102,6 +112,10 @@ def key_expressions(questions: DataFrame, corpus: DataFrame, k: int = 5, key: st
         F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))).alias("idf"))
     name = F.forall(F.split("surface", " "), lambda w: w.rlike(r"^\p{Lu}"))
     scored = scored.where((F.col("n") == 1) | (F.col("f1") > MIN_COUNT) | name)
+    # used twice below: a few rows a question word, written once
+    path = scratch_path(questions.sparkSession, "expressions")
+    scored.write.parquet(path)
+    scored = questions.sparkSession.read.schema(scored.schema).parquet(path)
     # every standing expression tells its parts; a question's expressions are as many as its words
     words = F.split("expression", " ")
 

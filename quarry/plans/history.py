@@ -87,7 +87,7 @@ pts AS (SELECT s.conv_id, s.first_system, coalesce(t.at_user, t.at) AS truncatio
 
 def _grams(name: str, source: str, key: str) -> str:
     """Runs of 1 to 3 kept words with their first place."""
-    parts = [f"""SELECT key, {n} AS n, i AS at, {" || ' ' || ".join(f"plain[i + {j}]" for j in range(n))} AS expression,
+    parts = [f"""SELECT key, {n} AS n, i AS place, {" || ' ' || ".join(f"plain[i + {j}]" for j in range(n))} AS expression,
        {" || ' ' || ".join(f"t[i + {j}]" for j in range(n))} AS surface FROM (
   SELECT *, unnest(range(1, len(t) - {n - 2})) AS i FROM {name}_t)
   WHERE {" AND ".join(f"kept[i + {j}]" for j in range(n))}""" for n in (1, 2, 3)]
@@ -100,11 +100,11 @@ def _grams(name: str, source: str, key: str) -> str:
 SQL = {
     "key_expressions": f"""WITH {_grams('dg', 'documents', 'doc_id')},
 {_grams('qg', 'benchmark', 'item_id')},
-found AS (SELECT key AS query_id, n, expression, min(at) AS at, arg_min(surface, at) AS surface FROM qg GROUP BY 1, 2, 3),
+found AS (SELECT key AS query_id, n, expression, min(place) AS place, arg_min(surface, place) AS surface FROM qg GROUP BY 1, 2, 3),
 counts AS (SELECT expression, count(*) AS f, count(DISTINCT key) AS df FROM dg
            WHERE expression IN (SELECT expression FROM found) GROUP BY 1),
 nd AS (SELECT count(*) AS nd FROM documents),
-scored AS (SELECT query_id, n, expression, at, surface, coalesce(f, 0) + 1 AS f1, ln((1.0 + nd) / (1.0 + coalesce(df, 0))) AS idf
+scored AS (SELECT query_id, n, expression, place, surface, coalesce(f, 0) + 1 AS f1, ln((1.0 + nd) / (1.0 + coalesce(df, 0))) AS idf
            FROM found LEFT JOIN counts USING (expression) CROSS JOIN nd),
 standing AS (SELECT * FROM scored WHERE n = 1 OR f1 > 2
              OR len(list_filter(string_split(surface, ' '), lambda w: NOT regexp_matches(w, '^\\p{{Lu}}'))) = 0),
@@ -116,7 +116,7 @@ inner_parts AS (
 around AS (SELECT query_id, expression, avg(f1) AS around FROM inner_parts GROUP BY 1, 2),
 kept AS (SELECT s.*, log2(n + 1.0) * idf AS score FROM standing s LEFT JOIN around a USING (query_id, expression)
          WHERE around IS NULL OR f1 > around),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, at, n DESC, expression) AS term_rank FROM kept)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place, n DESC, expression) AS term_rank FROM kept)
 SELECT query_id, term_rank, surface AS term, n AS n_words, round(score, 6) + 0.0 AS score FROM ranked WHERE term_rank <= 5""",
     "clean_history": f"WITH {_CLEANED}\nSELECT conv_id, turn, role FROM msgs",
     "history_tail": f"""WITH {_CLEANED}

@@ -85,7 +85,7 @@ RERANK = 20  # records scored at full width per query; recall@5 on every scale i
 def vector_index(spark: SparkSession, sf: str) -> QuantisedIndex:
     """The quantised index of the records: built once per session and state of the tables."""
     return derived(spark, sf, ["documents", "embeddings"], "vector-index",
-                   lambda path: QuantisedIndex.save(records(spark, sf).select("id", "tags", "embedding"), path))
+                   lambda path: QuantisedIndex.save(records(spark, sf).select("id", "tags", "embedding"), path, shards=8))
 
 
 def approx_vector_top_k(spark: SparkSession, sf: str) -> DataFrame:

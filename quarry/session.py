@@ -99,3 +99,10 @@ def delete_shared(spark: SparkSession, path: str) -> None:
     """Remove a file or folder of this library in the shared folder; a missing one is fine."""
     store, place, _ = _store(spark, path)
     store.delete(place, True)
+
+
+def state_shared(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(bytes, files, time of the last change) of a file or folder."""
+    store, place, _ = _store(spark, path)
+    summary = store.getContentSummary(place)
+    return summary.getLength(), summary.getFileCount(), store.getFileStatus(place).getModificationTime()

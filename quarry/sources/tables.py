@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.tags import DOCUMENT_TAG
-from quarry.session import scratch_path
+from quarry.session import scratch_path, state_shared
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -74,12 +74,9 @@ _DERIVED: dict[tuple[str, str, str], object] = {}  # (session, kind, state of th
 
 def derived(spark: SparkSession, sf_dir: str, tables: list[str], kind: str, build):
     """What ``build(path)`` makes from ``tables``: built once per session and state of the
-    files (their paths, lengths and times), so a changed table is built anew."""
+    tables (bytes, number of files, time of the last change), so a changed one is built anew."""
     paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables]
-    files = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length")
-    line = F.concat_ws("|", "path", F.col("modificationTime").cast("string"), F.col("length").cast("string"))
-    state = files.agg(F.count("*"), F.sum(F.xxhash64(line).cast("decimal(38,0)"))).first()
-    key = (spark.sparkContext.applicationId, kind, str(tuple(state)) + "|".join(paths))
+    key = (spark.sparkContext.applicationId, kind, str([(p, state_shared(spark, p)) for p in paths]))
     if key not in _DERIVED:
         _DERIVED[key] = build(scratch_path(spark, kind))
     return _DERIVED[key]
