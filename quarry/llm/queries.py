@@ -75,7 +75,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc.write_packages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    records = warc.read_records(warc.read_index(packages))
+    tasks = warc.tasks_for(packages)
+    records = warc.read_records(warc.read_index(packages, tasks), tasks)
     return records.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           F.col("refers_to").cast("long").alias("refers_to"))
 

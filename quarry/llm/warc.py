@@ -219,9 +219,17 @@ def _index_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names)
 
 
-def read_index(packages: DataFrame) -> DataFrame:
+def tasks_for(packages: DataFrame, task_bytes: int = PACKAGE_BYTES) -> int:
+    """Tasks that read the packages at about ``task_bytes`` of records each, and no fewer than
+    the session shuffles to.  Rows that name byte ranges are small: left to itself, adaptive
+    execution would put all of them into one task."""
+    total = packages.agg(F.sum("record_bytes")).first()[0] or 0
+    return max(-(-total // task_bytes), int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def read_index(packages: DataFrame, tasks: int | None = None) -> DataFrame:
     """(package, at, length): the byte range of every record, from the index members."""
-    return (packages.select("package").repartition("package")
+    return (packages.select("package").repartition(tasks or tasks_for(packages), "package")
             .mapInArrow(_index_reader, "package string, at long, length long"))
 
 
@@ -273,12 +281,12 @@ def _record_reader(payloads: bool):
     return run
 
 
-def read_records(index: DataFrame, *, payloads: bool = False) -> DataFrame:
+def read_records(index: DataFrame, tasks: int, *, payloads: bool = False) -> DataFrame:
     """(package, at, id, url, record_type, payload_bytes, payload_digest, refers_to[,
-    payload]) of the records in the given byte ranges.  Every response's payload is held
-    against its digest; a difference is an error."""
+    payload]) of the records in the given byte ranges, read by ``tasks`` tasks.  Every
+    response's payload is held against its digest; a difference is an error."""
     fields = ("package string, at long, id string, url string, record_type string, payload_bytes long, "
               "payload_digest string, refers_to string" + (", payload binary" if payloads else ""))
-    dealt = (index.repartition("package", F.floor(F.col("at") / (4 * SPAN))).sortWithinPartitions("package", "at")
+    dealt = (index.repartition(tasks, "package", F.floor(F.col("at") / (4 * SPAN))).sortWithinPartitions("package", "at")
              .select("package", "at", "length"))
     return dealt.mapInArrow(_record_reader(payloads), fields)

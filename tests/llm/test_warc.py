@@ -40,7 +40,7 @@ def brute(rows, min_bytes=0):
 def round_trip(spark, rows, **options):
     df = spark.createDataFrame([(*r, "z", 3) for r in rows], "page_id long, url string, html string, sha1 string, first int")
     packages = W.write_packages(df, scratch_path(spark, "test-warc"), **options)
-    got = W.read_records(W.read_index(packages), payloads=True).collect()
+    got = W.read_records(W.read_index(packages), W.tasks_for(packages), payloads=True).collect()
     def as_id(v):
         return None if v is None else int(v)
     return packages, sorted(((as_id(r.id), r.url, r.record_type, r.payload_bytes, r.payload_digest, as_id(r.refers_to),
