@@ -3,9 +3,8 @@
 * ``fixed_window_chunks`` - overlapping character windows, pure Column math
   (``sequence`` + ``explode`` + ``substring``).
 * ``recursive_chunks`` - separator-recursive packing with overlap (the plain
-  text loader's splitter).  The packing is an order-dependent recursion over
-  one document, so it runs as a small Arrow-batched pandas UDF that returns
-  the chunk array of each row; Spark explodes it.  Work scales with documents.
+  text loader's splitter): one fold per separator over the texts that are still
+  too long, inside the row.  ``split_recursive`` is the same for one string.
 * ``markdown_sections`` - heading-aware sections computed with windows over
   the exploded lines of each document.
 * ``merge_by_heading`` - sections of a document regrouped by first heading;
@@ -17,10 +16,8 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.text import content_sha256
 from quarry.operators.ordering import row_numbers
@@ -111,18 +108,63 @@ def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     return chunks
 
 
-def _recursive_udf(size: int, overlap: int):
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursive(t, size, overlap) if isinstance(t, str) else [])
-    return split
+#: What ``str.strip`` removes.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# The native splitter is written as SQL text: as Columns its lambdas take seconds to build.
+_ITEMS = "array<struct<open:boolean,text:string>>"  # a finished chunk, or a text that further separators cut
+
+
+def _chunk_sql(window: str) -> str:
+    """The chunk of a window of pieces as items; none if it is blank."""
+    return (f"transform(filter(array(btrim(array_join({window}, ''), '{BLANKS}')), t -> t != ''), "
+            f"t -> named_struct('open', false, 'text', t))")
+
+
+def _split_sql(text: str, sep: str, size: int, overlap: int) -> str:
+    """Items of a text cut at ``sep``: one fold packs short pieces and passes long ones on.
+    After a chunk, pieces leave the window from the left until the rest is an overlap to which
+    the next piece can be added."""
+    quoted = sep.replace("\n", "\\n").replace("\r", "\\r")
+    pattern = "[.]" if sep == "." else quoted
+    none, chunk = "cast(array() AS array<string>)", _chunk_sql("acc.window")
+    return f"""aggregate(
+  filter(transform(split({text}, '{pattern}', -1), (x, k) -> if(k = 0, x, concat('{quoted}', x))), x -> x != ''),
+  named_struct('out', cast(array() AS {_ITEMS}), 'window', {none}, 'total', 0),
+  (acc, x) -> CASE
+    WHEN length(x) >= {size} THEN named_struct(
+      'out', concat(acc.out, {chunk}, array(named_struct('open', true, 'text', x))), 'window', {none}, 'total', 0)
+    WHEN acc.total + length(x) > {size} AND size(acc.window) > 0 THEN transform(array(aggregate(
+        acc.window, named_struct('gone', 0, 'total', acc.total),
+        (a, y) -> if(a.total > least({overlap}, {size} - length(x)), named_struct('gone', a.gone + 1, 'total', a.total - length(y)), a))),
+      g -> named_struct('out', concat(acc.out, {chunk}),
+                        'window', concat(slice(acc.window, g.gone + 1, size(acc.window)), array(x)), 'total', g.total + length(x)))[0]
+    ELSE named_struct('out', acc.out, 'window', concat(acc.window, array(x)), 'total', acc.total + length(x)) END,
+  acc -> concat(acc.out, {chunk}))"""
+
+
+def recursive_pieces(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """The chunks of the text in column ``text`` (an array of strings), as ``split_recursive``
+    gives them, by JVM functions alone: one pass per separator over the texts that are still
+    too long."""
+    if not 0 <= overlap < size or size < 2:
+        raise ValueError("need 0 <= overlap < size and size >= 2")
+    name = "`" + text.replace("`", "``") + "`"
+    items = f"array(named_struct('open', true, 'text', coalesce({name}, '')))"
+    for sep in SEPARATORS[:SEPARATORS.index("")]:
+        quoted = sep.replace("\n", "\\n").replace("\r", "\\r")
+        items = (f"flatten(transform({items}, item -> if(item.open AND contains(item.text, '{quoted}'), "
+                 f"{_split_sql('item.text', sep, size, overlap)}, array(item))))")
+    step = size - overlap
+    last = f"greatest(0, cast(ceil((length(item.text) - {size}) / {step}) AS int))"
+    windows = (f"filter(transform(sequence(0, {last}), k -> btrim(substring(item.text, k * {step} + 1, {size}), '{BLANKS}')), "
+               f"w -> w != '')")
+    return F.expr(f"flatten(transform({items}, item -> if(item.open, {windows}, array(item.text))))")
 
 
 def recursive_chunks(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                      key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, partition_number, text)`` from the recursive splitter."""
-    arr = _recursive_udf(size, overlap)(F.col(text))
-    return docs.select(key, F.posexplode(arr).alias("partition_number", "text"))
+    return docs.select(key, F.posexplode(recursive_pieces(text, size, overlap)).alias("partition_number", "text"))
 
 
 # --- records describing generated chunks -------------------------------------------

@@ -263,7 +263,50 @@ SELECT page_id, section_no, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(sum(n) AS
        sha256(string_agg(text, chr(10) ORDER BY k)) AS content_sha256
 FROM walk JOIN e USING (page_id, section_no, k) GROUP BY page_id, section_no, chunk_no"""
 
+def _recursive_sql(size: int, overlap: int) -> str:
+    """Pieces level by level; each run of short pieces is walked piece by piece."""
+    from quarry.operators.chunking import BLANKS, SEPARATORS
+
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    levels, shorts = [], []
+    for k, sep in enumerate(SEPARATORS[:SEPARATORS.index("")]):
+        s = " || ".join(f"chr({ord(c)})" for c in sep)
+        levels.append(f"""p{k} AS (SELECT doc_id, path, i, CASE WHEN i = 1 THEN x ELSE {s} || x END AS piece FROM (
+  SELECT doc_id, path, unnest(string_split(text, {s})) AS x, unnest(range(1, len(string_split(text, {s})) + 1)) AS i
+  FROM open{k} WHERE contains(text, {s})) WHERE i > 1 OR x <> ''),
+q{k} AS (SELECT *, sum(CASE WHEN length(piece) >= {size} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, path ORDER BY i) AS run FROM p{k}),
+open{k + 1} AS (SELECT doc_id, path, text FROM open{k} WHERE NOT contains(text, {s})
+  UNION ALL SELECT doc_id, list_append(path, i), piece FROM q{k} WHERE length(piece) >= {size})""")
+        shorts.append(f"SELECT doc_id, path, run, i, piece FROM q{k} WHERE length(piece) < {size}")
+    return f"""WITH RECURSIVE open0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text FROM documents WHERE text <> ''),
+{", ".join(levels)},
+short AS (SELECT *, length(piece) AS n, row_number() OVER w AS k, min(i) OVER (PARTITION BY doc_id, path, run) AS first_i,
+                 CAST(coalesce(sum(length(piece)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum
+          FROM ({" UNION ALL ".join(shorts)}) WINDOW w AS (PARTITION BY doc_id, path, run ORDER BY i)),
+sp AS (SELECT *, min(k) OVER (PARTITION BY doc_id, path, run ORDER BY cum RANGE BETWEEN least({overlap}, {size} - n) PRECEDING AND CURRENT ROW) AS jump
+       FROM short),
+walk AS (
+  SELECT doc_id, path, run, k, 1 AS first, cum AS cum_first, CAST(NULL AS BIGINT) AS done FROM sp WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.path, p.run, p.k, CASE WHEN p.cum - w.cum_first + p.n > {size} THEN greatest(w.first, p.jump) ELSE w.first END,
+         CASE WHEN p.cum - w.cum_first + p.n > {size} THEN greatest(w.cum_first, j.cum) ELSE w.cum_first END,
+         CASE WHEN p.cum - w.cum_first + p.n > {size} THEN w.first END
+  FROM walk w JOIN sp p ON p.doc_id = w.doc_id AND p.path = w.path AND p.run = w.run AND p.k = w.k + 1
+  JOIN sp j ON j.doc_id = p.doc_id AND j.path = p.path AND j.run = p.run AND j.k = p.jump),
+spans AS (SELECT doc_id, path, run, done AS first, k - 1 AS last FROM walk WHERE done IS NOT NULL
+  UNION ALL SELECT doc_id, path, run, arg_max(first, k), max(k) FROM walk GROUP BY 1, 2, 3),
+packed AS (SELECT s.doc_id, list_append(s.path, any_value(p.first_i)) AS place, s.last AS seq, string_agg(p.piece, '' ORDER BY p.k) AS text
+  FROM spans s JOIN sp p ON p.doc_id = s.doc_id AND p.path = s.path AND p.run = s.run AND p.k BETWEEN s.first AND s.last
+  GROUP BY s.doc_id, s.path, s.run, s.first, s.last),
+wins AS (SELECT doc_id, path AS place, k AS seq, substring(text, k * {size - overlap} + 1, {size}) AS text FROM (
+  SELECT *, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - {size}) / {size - overlap}.0) AS BIGINT)))) AS k FROM open{len(levels)})),
+chunks AS (SELECT doc_id, place, seq, trim(text, {blanks}) AS text FROM (SELECT * FROM packed UNION ALL SELECT * FROM wins))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, seq) - 1 AS partition_number, length(text) AS chunk_len,
+       sha256(text) AS content_sha256 FROM chunks WHERE text <> ''"""
+
+
 SQL = {
+    "recursive_chunks": _recursive_sql(1000, 200),
     "token_pack": _TOKEN_PACK,
     "fixed_window_chunks": f"""WITH {_WINDOWS}
 SELECT doc_id, partition_number, start, length(chunk) AS chunk_len, sha256(chunk) AS content_sha256 FROM c""",
