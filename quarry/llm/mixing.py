@@ -13,7 +13,8 @@ Scale: texts are read once for their word counts; all else runs on narrow rows.
 The running sums have no group that holds a whole source: a source is split into
 hash ranges of a bounded expected size, ranges are summed first, and rows are only
 ordered within a range.  The global order is cut the same way: ranges of
-finish time are summed, and only the one range that holds the cut is sorted.
+finish time are summed, the one that holds the cut is sliced again until it is small,
+and only that is sorted.
 The result is one threshold per source, so applying a mix to texts needs no
 shuffle of texts.
 
@@ -34,8 +35,9 @@ from quarry.llm.common import WORD, quoted, stored, whole, words
 
 #: Sources up to this number have their thresholds broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
-#: Expected rows of one hash range, and words of one range of finish times.
-RANGE_ROWS, RANGE_WORDS = 50_000, 1_000_000
+#: Expected rows of one hash range at most, words of a range of finish times that is sorted,
+#: and slices of a range that is not.
+RANGE_ROWS, RANGE_WORDS, SLICES = 50_000, 1_000_000, 1_024
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,8 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     few = kinds <= BROADCAST_SOURCES
     budget = math.floor(share * (total or 0) + 1e-9)
     # hash ranges within each source, their sums, and the words that queue before each
-    ranges = max(1, math.ceil((rows or 0) / RANGE_ROWS))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(4 * tasks, math.ceil((rows or 0) / RANGE_ROWS))  # a hot source is many tasks at any size
     part = F.least(F.floor((F.col("order") / F.lit(2.0 ** 64) + 0.5) * ranges), F.lit(ranges - 1))
     queued = sizes.where("size > 0").withColumn("part", part)
     before = (F.sum("words").over(Window.partitionBy("source").orderBy("part")) - F.col("words"))
@@ -117,20 +120,32 @@ def fair_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _cut(copies: DataFrame, budget: int) -> tuple[float, int] | None:
-    """(finish, rank) of the last copy within the budget; None if all fit."""
-    ranges = max(256, math.ceil(budget / RANGE_WORDS))
-    at = F.floor(F.col("finish") * ranges)
-    sums = copies.where(F.col("finish") < 4).groupBy(at.alias("at")).agg(F.sum("size").alias("words"))
-    upto = sums.withColumn("upto", F.sum("words").over(Window.orderBy("at")))
-    over = upto.where(F.col("upto") > budget).orderBy("at").first()
-    if over is None:
+    """(finish, rank) of the last copy within the budget; None if all copies together fit it.
+    The range of finish times that holds the cut is sliced again until it is small, so only
+    its few rows are ever sorted, however far the finish times reach."""
+    total, top = copies.agg(F.sum("size"), F.max("finish")).first()
+    if (total or 0) <= budget:
         return None
-    here = copies.where(at == over["at"]).withColumn(
-        "run", F.lit(over["upto"] - over["words"]) + F.sum("size").over(
+    low, high, before = 0.0, top, 0
+    while True:
+        here = copies.where((F.col("finish") >= low) & (F.col("finish") <= high))
+        at = F.floor((F.col("finish") - low) / max((high - low) / SLICES, 5e-324))
+        sums = here.groupBy(F.least(at, F.lit(SLICES - 1)).alias("at")).agg(
+            F.sum("size").alias("words"), F.min("finish").alias("low"), F.max("finish").alias("high"))
+        for part in sorted(sums.collect(), key=lambda r: r["at"]):  # at most SLICES rows
+            if before + part["words"] > budget:
+                break
+            before += part["words"]
+        narrowed = (part["low"], part["high"]) != (low, high)
+        low, high = part["low"], part["high"]
+        if part["words"] <= RANGE_WORDS or low == high or not narrowed:
+            break
+    here = copies.where((F.col("finish") >= low) & (F.col("finish") <= high)).withColumn(
+        "run", F.lit(before) + F.sum("size").over(
             Window.orderBy("finish", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     found = here.where(F.col("run") <= budget).agg(F.max(F.struct("finish", "rank"))).first()[0]
     # no copy of this range fits: the cut lies just before it
-    return (found[0], found[1]) if found else (over["at"] / ranges, -1)
+    return (found[0], found[1]) if found else (low, -1)
 
 
 def copies_taken(rows: DataFrame, mix: Mix) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fair mixing: targets by brute force, nearness, repeats and edges."""
 
 import math
+import random
 
 import pyarrow.parquet as pq
 import pytest
@@ -89,3 +90,43 @@ def test_other_budgets(spark, share, passes):
     total = sum(r.size for r in got)
     assert abs(sum(r.taken for r in got) - min(share, passes) * total) <= 9
     assert all(r.copies <= passes for r in got)
+
+
+def whole_order(sizes, sources, share=1.5, passes=2):
+    """Copies per row: every copy's finish time, all sorted, cut at the budget."""
+    by = {s.source: s for s in sources}
+    copies = []
+    for source in by:
+        queue = sorted((r for r in sizes if r.source == source and r["size"] > 0), key=lambda r: r.order)
+        upto = 0
+        for r in queue:
+            upto += r["size"]
+            copies += [((upto + p * by[source].source_size) / by[source].target, by[source]["rank"], r) for p in range(passes)]
+    copies.sort(key=lambda c: c[:2])
+    budget, run, out = math.floor(share * sum(r["size"] for r in sizes) + 1e-9), 0, {}
+    for finish, rank, r in copies:
+        run += r["size"]
+        if run > budget:
+            break
+        out[r.doc_id] = out.get(r.doc_id, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equals_the_whole_order(spark, seed, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_WORDS", 40)
+    monkeypatch.setattr(mixing, "SLICES", 3)
+    rng = random.Random(seed)
+    rows = [(k, "w " * rng.choice([0, 1, 2, 9, rng.randint(1, 300)]), f"s{rng.choice([0, 0, 0, 1, 2, rng.randint(3, 30)])}") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.fair_mix(df)
+    want = whole_order(mix.sizes.collect(), mix.sources.collect())
+    assert {r.doc_id: r.copies for r in mixing.mix_report(df).collect() if r.copies} == want
+
+
+def test_a_document_far_above_its_target(spark):
+    """Its copies finish late; the budget holds all the same."""
+    rows = [(0, "w " * 400, "big")] + [(k, "w " * 11, f"small{k:03d}") for k in range(1, 101)]
+    got = check(spark, [(*r, "x", 1) for r in rows])
+    assert sum(r.taken for r in got) <= 2250
+    assert [r.taken for r in got if r.source == "big"] == [0]
