@@ -6,6 +6,7 @@ from quarry.operators.chunking import (chunk_records, dedup_by_hash, fixed_windo
                                        markdown_sections, merge_by_heading, recursive_chunks,
                                        token_pack)
 from quarry.operators.context import citations, context_blocks
+from quarry.operators.embed import WordVectors
 from quarry.operators.evaluate import (attach_judgements, macro_average, query_metrics,
                                        rank_and_flatten)
 from quarry.operators.fusion import fuse, hybrid_search, search

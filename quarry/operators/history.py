@@ -1,6 +1,6 @@
 """Conversation-history operators over a message table.
 
-Messages: ``(conv_id, turn, role, text[, has_function_item, is_summary])``
+Messages: ``(conv_id, turn, role, text[, items, has_function_item, is_summary])``
 where ``turn`` orders the messages of a conversation; gaps are allowed.
 Per-conversation figures come from hash aggregations (partial combine) and
 are joined back on ``conv_id``; no operator sorts a whole conversation in one
@@ -10,16 +10,27 @@ instead of landing in a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SUMMARY_KEY = "__summary__"  # fixed value: metadata key marking a summary message
 
 
+# The kinds of message items that call a function or hold its result.
+FUNCTION_KINDS = ("FunctionCallContent", "FunctionResultContent")
+
+
+def has_function_item(items: str | Column) -> Column:
+    """Whether any of a message's ``items`` (structs with a ``kind``) calls a function or
+    holds a function's result; false for no items."""
+    items = F.col(items) if isinstance(items, str) else items
+    return F.coalesce(F.exists(items, lambda i: F.coalesce(i["kind"].isin(*FUNCTION_KINDS), F.lit(False))), F.lit(False))
+
+
 def with_defaults(messages: DataFrame) -> DataFrame:
     out = messages
     if "has_function_item" not in out.columns:
-        out = out.withColumn("has_function_item", F.lit(False))
+        out = out.withColumn("has_function_item", has_function_item("items") if "items" in out.columns else F.lit(False))
     if "is_summary" not in out.columns:
         out = out.withColumn("is_summary", F.lit(False))
     return out

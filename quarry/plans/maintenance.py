@@ -10,7 +10,7 @@ from quarry.operators.chunking import fixed_window_chunks
 from quarry.operators.context import citations
 from quarry.operators.evaluate import attach_judgements, rank_and_flatten, validate_labels
 from quarry.operators.fusion import search
-from quarry.operators.history import append_turn
+from quarry.operators.history import append_turn, with_defaults
 from quarry.operators.loading import file_records
 from quarry.operators.refine import refined_terms
 from quarry.operators.store import delete_records
@@ -76,8 +76,12 @@ def append_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def function_messages(spark: SparkSession, sf: str) -> DataFrame:
-    from quarry.plans.history import _conv
-    return _conv(spark, sf).where("has_function_item").select("conv_id", "turn")
+    """Messages whose lines are items (their kind from their length): those with a function item,
+    as the default of the history operators derives it."""
+    line = lambda x: F.struct(F.when(F.length(x) % 7 == 0, "FunctionCallContent").when(
+        F.length(x) % 11 == 0, "FunctionResultContent").when(F.length(x) % 13 > 0, "TextContent").alias("kind"), x.alias("text"))
+    conv = read_table(spark, sf, "conversations").withColumn("items", F.transform(F.split("text", "\n", -1), line))
+    return with_defaults(conv).where("has_function_item").select("conv_id", "turn")
 
 
 def fact_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +135,9 @@ n AS (SELECT conv_id, last + 1 AS base FROM l WHERE conv_id % 3 = 0
 SELECT conv_id, turn, role, length(text) AS text_len FROM conversations
 UNION ALL SELECT conv_id, base, 'user', length('q' || CAST(conv_id AS VARCHAR)) FROM n
 UNION ALL SELECT conv_id, base + 1, 'assistant', 1 FROM n""",
-    "function_messages": "SELECT conv_id, turn FROM conversations WHERE (conv_id * 3 + turn) % 5 = 0",
+    "function_messages": """SELECT DISTINCT conv_id, turn FROM (
+  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS item FROM conversations)
+WHERE length(item) % 7 = 0 OR length(item) % 11 = 0""",
     "fact_blocks": """SELECT doc_id, sha256('=== Last update:v' || CAST(doc_id AS VARCHAR) || ' ===' || chr(10)
        || 'Source:' || source || chr(10) || text || chr(10)) AS fact_sha256 FROM documents""",
     "file_records": """WITH w AS (

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.operators.store import list_records, records_of_documents
 from quarry.functions.text import payload_field
+from quarry.operators.embed import WordVectors
 from quarry.operators.quantised_search import QuantisedIndex
-from quarry.operators.vector_search import vector_search
+from quarry.operators.vector_search import vector_candidates, vector_search
 from quarry.plans.common import QUERY_SET_CTE, RECORDS_CTE, SCORED_CTE, rounded
 from quarry.functions.tags import tags_filter
 from quarry.sources.tables import derived, query_set, read_table, records
@@ -40,6 +41,16 @@ def similar_with_filters(spark: SparkSession, sf: str) -> DataFrame:
                                      filters=FILTERS))
 
 
+def embedded_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents nearest to every question, both as vectors of their words' neighbours."""
+    docs, items = read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark", widen=False)
+    model = WordVectors.fit(docs)
+    recs = model.embed(docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content")))
+    asked = model.embed(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("content")), id_col="query_id")
+    out = vector_candidates(recs, asked.withColumnRenamed("embedding", "query_vec"), 5)
+    return out.select("query_id", "id", "rank", rounded(F.lit(1.0) - F.col("distance"), "similarity"))
+
+
 def tag_filter_all(spark: SparkSession, sf: str) -> DataFrame:
     r = records(spark, sf)
     return r.where(tags_filter([["lang:fr", "source:src3"]])).select(
@@ -148,4 +159,5 @@ QUERIES = {
     "list_page_deep": list_page_deep,
     "payload_fields": payload_fields,
     "approx_vector_top_k": approx_vector_top_k,
+    "embedded_search": embedded_search,
 }

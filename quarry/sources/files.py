@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.mime import path_name
+from quarry.operators.history import has_function_item
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("role", T.StringType()),
     T.StructField("content", T.StringType()),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
     T.StructField("has_function_item", T.BooleanType()),
+    T.StructField("items", T.ArrayType(T.StructType([
+        T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))),
 ])
 
 EVAL_QUERY_SCHEMA = T.StructType([
@@ -59,7 +62,8 @@ def read_text_documents(spark: SparkSession, paths) -> DataFrame:
 
 def read_history(spark: SparkSession, paths) -> DataFrame:
     """Messages ``(conv_id, turn, role, text, metadata, has_function_item)``
-    from JSON-array history files.  One file is one conversation, named by its
+    from JSON-array history files; the flag is the file's, or else derived from the message's
+    ``items``.  One file is one conversation, named by its
     ``conv_id=`` folder (as ``write_history`` lays them out) or else by its path."""
     schema = T.StructType([*MESSAGE_SCHEMA.fields, T.StructField("conv_id", T.StringType())])
     raw = spark.read.schema(schema).json(paths, multiLine=True)
@@ -69,7 +73,7 @@ def read_history(spark: SparkSession, paths) -> DataFrame:
     return (raw.join(first, "file").withColumn("turn", F.col("mid") - F.col("first"))
             .select(F.coalesce("conv_id", "file").alias("conv_id"), "turn", "role", F.col("content").alias("text"),
                     F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
-                    F.coalesce("has_function_item", F.lit(False)).alias("has_function_item")))
+                    F.coalesce("has_function_item", has_function_item("items")).alias("has_function_item")))
 
 
 def write_history(messages: DataFrame, path: str) -> None:
@@ -79,7 +83,9 @@ def write_history(messages: DataFrame, path: str) -> None:
     for name, kind in (("metadata", "map<string,string>"), ("has_function_item", "boolean")):
         if name not in messages.columns:
             messages = messages.withColumn(name, F.lit(None).cast(kind))
-    message = F.struct("role", F.col("text").alias("content"), "metadata", "has_function_item")
+    if "items" not in messages.columns:
+        messages = messages.withColumn("items", F.lit(None).cast(MESSAGE_SCHEMA["items"].dataType))
+    message = F.struct("role", F.col("text").alias("content"), "metadata", "has_function_item", "items")
     rows = messages.select("conv_id", F.struct(F.col("turn").alias("t"), F.to_json(message).alias("m")).alias("row"))
     arrays = rows.groupBy("conv_id").agg(F.to_json(F.transform(
         F.array_sort(F.collect_list("row")),

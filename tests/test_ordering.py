@@ -129,3 +129,20 @@ def test_questions_without_a_vector_are_searched_by_text(spark, tmp_path):
     recs = spark.createDataFrame([("a", [1.0, 0.5])], "id string, embedding array<float>")
     assert [r.query_id for r in vector_candidates(recs, qs, 3).collect()] == [1]
     assert qs.where(F.col("query_vec").isNull()).count() == 1
+
+
+def test_function_items(spark, tmp_path):
+    import json
+
+    from quarry.operators.history import has_function_item, with_defaults
+    from quarry.sources.files import read_history
+    rows = [(1, [("TextContent", "a"), ("FunctionCallContent", "f")]), (2, [("FunctionResultContent", None)]), (3, [("TextContent", "b"), (None, "c")]),
+            (4, []), (5, None)]
+    df = spark.createDataFrame(rows, "turn int, items array<struct<kind:string,text:string>>")
+    assert [r[0] for r in df.orderBy("turn").select(has_function_item("items")).collect()] == [True, True, False, False, False]
+    assert [r.has_function_item for r in with_defaults(df).orderBy("turn").collect()] == [True, True, False, False, False]
+    messages = [{"role": "assistant", "content": "x", "items": [{"kind": "FunctionCallContent", "text": "f"}]},
+                {"role": "user", "content": "y", "items": [{"kind": "TextContent"}]}, {"role": "user", "content": "z", "has_function_item": True}]
+    (tmp_path / "h.json").write_text(json.dumps(messages))
+    got = read_history(spark, str(tmp_path / "h.json")).orderBy("turn").collect()
+    assert [r.has_function_item for r in got] == [True, False, True]
