@@ -8,6 +8,7 @@ from quarry.functions import french
 from quarry.operators.postings import PostingsIndex
 from quarry.operators.text_search import LexemeIndex, text_matches, text_search
 from quarry.plans.common import QUERY_SET_CTE, RECORDS_CTE, rounded, tokens_cte
+from quarry.plans.french_sql import stem_ctes
 from quarry.sources.tables import derived, query_set, records
 
 TOP = 20  # ranked matches reported per query
@@ -101,6 +102,15 @@ SELECT query_id, id, round(score, 6) + 0.0 AS text_score,
 FROM normed QUALIFY text_rank <= {TOP}""",
 }
 
+# records and questions by stems: every word of either is stemmed once, in SQL
+_WORDS = ", ".join([tokens_cte("dtok0", "records", "id", "content"), tokens_cte("qtok0", "query_set", "query_id", "query_text"),
+                    "vocabulary AS (SELECT DISTINCT lexeme AS w FROM (SELECT lexeme FROM dtok0 UNION ALL SELECT lexeme FROM qtok0))",
+                    stem_ctes("vocabulary"),
+                    *[f"{t} AS (SELECT key, stem AS lexeme, pos FROM {t}0 JOIN stems ON w = lexeme WHERE stem <> '')" for t in ("dtok", "qtok")]])
+_PLAIN = f"""{tokens_cte('dtok', 'records', 'id', 'content')},
+{tokens_cte('qtok', 'query_set', 'query_id', 'query_text')}"""
+assert _PLAIN in TEXT_CTES
+SQL["text_rank_stemmed"] = SQL["text_rank"].replace(_PLAIN, _WORDS)
 SQL |= {"text_match_index": SQL["text_match_all"], "text_rank_index": SQL["text_rank"]}
 
 QUERIES = {

@@ -30,6 +30,22 @@ def test_published_stems():
     assert {w: stem(w) for w in STEMS[::2]} == dict(zip(STEMS[::2], STEMS[1::2]))
 
 
+def test_stems_equal_the_sql_map():
+    import duckdb
+    import pyarrow as pa
+
+    from quarry.functions import french as R
+    from quarry.plans.french_sql import stem_ctes
+    rng = random.Random(1)
+    ends = [x.replace("I", "i").replace("U", "u") for x in (*R.STEP1, *R.STEP2A, *R.STEP2B, *R.STEP4, *R.DOUBLES, "s", "ïs")]
+    begins = "a e i o u y é è b c qu n t ss ic at iv abil eus abl iqu ièr par ï ë ç".split()
+    words = set(STEMS) | {"".join(rng.choice(begins) for _ in range(rng.randint(0, 4))) + rng.choice(ends) for _ in range(5000)}
+    con = duckdb.connect()
+    con.register("vocabulary", pa.table({"w": sorted(words)}))
+    got = con.execute(f"WITH {stem_ctes('vocabulary')} SELECT w, stem FROM stems").fetchall()
+    assert dict(got) == {w: stem(w) for w in words}
+
+
 def test_stems_of_odd_words():
     assert [stem(w) for w in ["", "a", "é", "y", "123", "слово", "x" * 500, "qu", "mangeront", "première", "nationaux"]] == [
         "", "a", "é", "y", "123", "слово", "x" * 500, "qu", "mang", "premi", "national"]
