@@ -6,9 +6,12 @@ where i, j run over the features a row has.  The pair sum costs time linear in t
 features: half of ``sum_f (sum_i v_if)^2 - sum_i v_if^2``.
 
 Fitting.  Per-class document counts of every hashed feature come from one
-distributed aggregation over all labelled training rows; the ``FEATURES`` buckets
-that separate the classes best (chi-square, at least ``LEAST_CHI2``) become the
-model's features.  The machine is then fitted with mini-batch Adam on the driver on
+distributed aggregation over all labelled training rows.  Two kinds of buckets become the
+model's features: those of ``MIN_DF`` rows and more that separate the classes (chi-square
+at least ``LEAST_CHI2``), and all that ``FREQUENT`` of the rows hold, whatever they tell
+alone - a term that is as common in both classes may matter beside another.  Of each kind
+there are at most as many as a fifth of the labelled rows (``FEATURES`` at least), the best
+first; so their number grows with the labels.  The machine is then fitted with mini-batch Adam on the driver on
 a bounded sample of ``SAMPLE_ROWS`` labelled rows (documented parameters; rows are
 taken by a hash of their id, a tenth of them choose the number of epochs).
 
@@ -29,8 +32,9 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import stored
 
-#: 2^20 hash buckets; features of a model; least chi-square of a feature.
-BUCKETS, FEATURES, LEAST_CHI2 = 1 << 20, 4_096, 6.6
+#: 2^20 hash buckets; features of each kind for few labels; least chi-square and rows of a
+#: feature that tells by itself; share of the rows that makes a feature frequent.
+BUCKETS, FEATURES, LEAST_CHI2, MIN_DF, FREQUENT = 1 << 20, 4_096, 6.6, 3, 0.1
 #: Labelled rows that a fit reads: for the sample, and for the class counts (these are
 #: broadcast, 12 bytes each; more labels are thinned by a hash of the id).
 SAMPLE_ROWS, LABEL_ROWS = 20_000, 1_000_000
@@ -149,10 +153,13 @@ def fit(train: DataFrame, labels: DataFrame, x: Column, *, features: int = FEATU
     # chi-square of the 2 x 2 table (class, has the feature)
     a, c = F.col("df1").cast("double"), (F.col("df") - F.col("df1")).cast("double")
     chi2 = n * F.pow(a * (n0 - c) - c * (n1 - a), 2) / (F.lit(float(n1)) * n0 * (a + c) * F.greatest(n - a - c, F.lit(1.0)))
-    chosen = (counts.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-              .orderBy(F.desc("chi2"), "b").limit(features).select("b").collect())
-    for k, r in enumerate(chosen):
-        place[r["b"]] = k
+    counts = stored(counts.withColumn("chi2", chi2), "fm-counts")
+    most = max(features, n // 5)
+    telling = counts.where((F.col("chi2") >= LEAST_CHI2) & (F.col("df") >= MIN_DF)).orderBy(F.desc("chi2"), "b").limit(most)
+    frequent = counts.where(F.col("df") >= FREQUENT * n).orderBy(F.desc("df"), "b").limit(most)
+    chosen = telling.select("b").unionByName(frequent.select("b")).distinct().collect()  # at most 2 x most numbers
+    for k, b in enumerate(sorted(r["b"] for r in chosen)):
+        place[b] = k
     if n > sample_rows:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * sample_rows / n)))
     sample = rows.mapInArrow(_placer(place), "id string, y int, x array<int>").toArrow().sort_by("id")

@@ -84,3 +84,19 @@ def test_without_toxic_keeps_rows_whole(spark):
     got = toxicity.without_toxic(docs, labels)
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] < 100)
+
+
+def test_a_pure_pair_through_the_whole_fit(spark):
+    """Texts labelled by the meeting of two terms, each as common in both classes."""
+    rng = np.random.default_rng(5)
+    fill = [f"filler{k}" for k in range(60)]
+    rows = []
+    for k in range(4000):
+        one, two = rng.random(2) < 0.5
+        words = list(rng.choice(fill, 12)) + ["insult"] * bool(one) + ["group"] * bool(two)
+        rng.shuffle(words)
+        rows.append((k, " ".join(words), int(one == two)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = [r for r in toxicity.toxicity(docs, labels, threshold=0.5).collect() if r.held_out]
+    assert np.mean([r.predicted == rows[r.doc_id][2] for r in got]) >= 0.95
