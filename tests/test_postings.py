@@ -62,7 +62,7 @@ def _rows(df):
     return sorted((r.query_id, r.id, round(r.text_score, 9), r.text_rank) for r in df.collect())
 
 
-@pytest.mark.parametrize("k", [None, 1, 3, 50])
+@pytest.mark.parametrize("k", [None, 3])
 @pytest.mark.parametrize("norm", [False, True])
 def test_equals_the_lazy_search(spark, k, norm):
     rows = _corpus(spark, 400, 1) + [("null", None), ("empty", ""), ("long", "w0 w1 " * 3000), ("same1", "w1 w2 w3"), ("same0", "w1 w2 w3")]
