@@ -13,10 +13,11 @@ from quarry.plans.common import QUERY_SET_CTE, RECORDS_CTE, SCORED_CTE
 from quarry.operators.text_search import text_matches
 from quarry.operators.vector_search import vector_candidates
 from quarry.plans.text import TEXT_CTES, text_index
-from quarry.session import scratch_path
+from quarry.session import list_shared, scratch_path, touch_shared
 from quarry.sources.catalog import IndexCatalog
-from quarry.sources.files import (list_source_files, nest_eval_results, read_chunks, read_eval_queries, read_history,
-                                  read_text_documents, write_chunks, write_eval_results, write_history)
+from quarry.sources.files import (folder_name, from_folder_name, list_source_files, nest_eval_results, read_chunks,
+                                  read_eval_queries, read_history, read_text_documents, write_chunks, write_eval_results,
+                                  write_history, write_text_files)
 from quarry.sources.tables import query_set, read_table, records
 
 
@@ -93,19 +94,21 @@ TEXT_FILE = 50  # documents of one source to a file
 def text_files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as text files, listed and read whole."""
     path = scratch_path(spark, "texts")
-    docs = read_table(spark, sf, "documents").select(
-        F.coalesce("source", F.lit("none")).alias("source"), F.floor(F.col("doc_id") / TEXT_FILE).alias("block"), "doc_id",
-        F.coalesce("text", F.lit("")).alias("value"))
-    (docs.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id").drop("doc_id")
-     .write.partitionBy("source", "block").text(path))
+    block = F.floor(F.col("doc_id") / TEXT_FILE).cast("string")
+    file = F.concat(F.lit("source="), folder_name(F.coalesce("source", F.lit("none"))),
+                    F.lit("/block="), F.coalesce(block, F.lit("none")), F.lit(".txt"))
+    write_text_files(read_table(spark, sf, "documents", widen=False).select(
+        file.alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value")), path)
+    if not list_shared(spark, path):  # no documents, no folder
+        touch_shared(spark, f"{path}/.empty")
     files = list_source_files(spark, path, recursive=True).where(F.col("name").endswith(".txt"))
-    texts = read_text_documents(spark, f"{path}/*/*/*.txt")
-    part = lambda name: F.regexp_extract("path", f"/{name}=([^/]*)/", 1)
+    texts = read_text_documents(spark, path, recursive=True)
+    part = lambda name, end: F.regexp_extract("path", f"/{name}=([^/]*){end}", 1)
     tail = lambda c: F.substring_index(c, "/texts-", -1)  # noqa: E731 - listing and input_file_name write schemes differently
     listed = files.select(tail("path").alias("tail"), F.col("length").alias("file_bytes"), path_name(F.col("path")).alias("name"))
-    return (texts.withColumn("tail", tail("path")).join(listed, "tail")
-            .select(part("source").alias("source"), part("block").cast("long").alias("block"), "file_bytes",
-                    F.sha2("text", 256).alias("text_sha256")))
+    texts = texts.select("path", tail("path").alias("tail"), F.sha2("text", 256).alias("text_sha256"))
+    return (texts.join(listed, "tail").select(from_folder_name(part("source", "/")).alias("source"),
+                                              part("block", r"\.txt$").try_cast("bigint").alias("block"), "file_bytes", "text_sha256"))
 
 
 def eval_query_files(spark: SparkSession, sf: str) -> DataFrame:

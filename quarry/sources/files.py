@@ -3,12 +3,17 @@ and evaluation files, chunk files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.mime import path_name
 from quarry.operators.history import has_function_item
+from quarry.session import open_shared
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("role", T.StringType()),
@@ -49,17 +54,64 @@ def list_source_files(spark: SparkSession, directory: str, recursive: bool = Fal
             .where(~F.col("name").startswith(".")))
 
 
-def read_text_documents(spark: SparkSession, paths) -> DataFrame:
+def read_text_documents(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
     """``(path, text)``: each ``.txt`` file as one document (whole text);
-    other suffixes are rejected, as the plain-text loader does."""
+    other suffixes are rejected, as the plain-text loader does.  With ``recursive`` the paths
+    are folders whose ``.txt`` files are read, at any depth: a folder is listed at once, where
+    a pattern would be a root path (and a listing task) for every file."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    bad = [p for p in paths if not p.lower().endswith(".txt")]
-    if bad:
+    reader = spark.read
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
+    elif bad := [p for p in paths if not p.lower().endswith(".txt")]:
         raise ValueError(f"not a .txt file: {bad[0]}")
-    return (spark.read.text(paths, wholetext=True)
+    return (reader.text(paths, wholetext=True)
             .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
 
 
+def folder_name(c: Column) -> Column:
+    """A text as part of a file name that paths and URIs write alike (``%`` of a URL as ``=``)."""
+    return F.replace(F.url_encode(c), F.lit("%"), F.lit("="))
+
+
+def from_folder_name(c: Column) -> Column:
+    return F.url_decode(F.replace(c, F.lit("="), F.lit("%")))
+
+
+def write_text_files(lines: DataFrame, path: str, *, file_col: str = "file", order_by: str = "doc_id", value_col: str = "value") -> int:
+    """Rows as text files below ``path``, one for every ``file_col`` (a relative path), a line a
+    row in the order of ``order_by``; the number of files.  A task writes its files itself under
+    a dot-name and moves each into place, so a repeated task writes the same file again, and no
+    folder or commit of one file each is left to the driver."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, done, name, out, held = set(), 0, None, None, ""
+
+        def close() -> None:
+            out.close()
+            store.move(held, f"{base}/{name}")
+
+        store, base = open_shared(path.rstrip("/"))
+        for batch in batches:
+            for file, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file != name:
+                    if out is not None:
+                        close()
+                    name, folder = file, f"{base}/{file}".rpartition("/")[0]
+                    if folder not in made:
+                        store.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    held, done = f"{folder}/.{uuid.uuid4().hex}", done + 1
+                    out = store.open_output_stream(held)
+                out.write(value + b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    dealt = lines.select(file_col, F.col(value_col).cast("binary").alias("value"), order_by).repartition(file_col)
+    rows = dealt.sortWithinPartitions(file_col, order_by).select(file_col, "value")
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def read_history(spark: SparkSession, paths) -> DataFrame:
     """Messages ``(conv_id, turn, role, text, metadata, has_function_item)``
     from JSON-array history files; the flag is the file's, or else derived from the message's

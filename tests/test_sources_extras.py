@@ -287,3 +287,24 @@ def test_a_lost_race_is_an_error(spark, tmp_path, monkeypatch):
         cat.upsert("one", _plain(spark, 4, "second"))
     assert sorted(r.content for r in cat.read("one").collect()) == ["a", "a", "a", "first"]
     cat.drop_all()
+
+
+def test_text_files_need_no_folder_each(spark, tmp_path, monkeypatch):
+    """Every source and block is a file, none a folder; names that paths would escape come back."""
+    import hashlib
+    import os
+
+    from quarry.plans import stores
+
+    rows = [(k, f"text é {k}\n", s) for k, s in zip(range(0, 1500, 25), ["src0", "a/b %c", "", None, "é*=+"] * 12)] + [(-3, None, "src0")]
+    rows += [(0, "text é 0\n", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(stores, "scratch_path", lambda spark, name: str(tmp_path / f"{name}-1"))
+    got = sorted(map(tuple, stores.text_files(spark, str(tmp_path)).collect()))
+    want = {}
+    for k, t, s in sorted(rows, key=lambda r: r[0]):
+        want.setdefault(("none" if s is None else s, k // 50), []).append((t or "") + "\n")
+    joined = {k: "".join(v).encode() for k, v in want.items()}
+    assert got == sorted((*k, len(v), hashlib.sha256(v).hexdigest()) for k, v in joined.items())
+    folders = [d for d, _, files in os.walk(tmp_path / "texts-1") if any(f.endswith(".txt") for f in files)]
+    assert len(folders) == len({s for s, _ in want})
