@@ -99,11 +99,12 @@ def _binary_files(spark: SparkSession, source_dir: str, max_files_per_trigger: i
 def start_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoint_dir: str, *,
                  file_pattern: str = "documents.parquet", max_files_per_trigger: int = 1,
                  available_now: bool = True, chunker=_chunk_batch, seen_for: str = SEEN_FOR) -> StreamingQuery:
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_pattern}").schema
-    stream = (spark.readStream.schema(schema)
-              .option("pathGlobFilter", file_pattern)
-              .option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
+    """``file_pattern`` names files of ``source_dir``, or folders of it whose files are read (a
+    table that was written in parts)."""
+    found = f"{source_dir.rstrip('/')}/{file_pattern}"
+    schema = spark.read.parquet(found).schema
+    # the pattern is part of the path: as a filter of names it would drop the files of a folder
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(found)
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         _write_epoch(chunker(batch), batch.select(F.col("doc_id").cast("string").alias("parent_id")),

@@ -82,3 +82,20 @@ def test_file_stream_ingest(spark, tmp_path):
     names = sorted({r.name.split(".partition.")[0] for r in rows})
     assert names == ["a.txt", "b.md"]
     assert sum(r.size for r in rows if r.name.startswith("a.txt")) >= 2100
+
+
+def test_stream_ingest_of_a_table_in_parts(spark, tmp_path):
+    """The table is a folder of files: all of them are read, and files added later too."""
+    docs = spark.createDataFrame([(k, f"text {k} " * (k * 40)) for k in range(12)], "doc_id int, text string")
+    docs.where("doc_id < 8").repartition(2).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "sf" / "labels.parquet"))
+
+    def ingest():
+        start_ingest(spark, str(tmp_path / "sf"), str(tmp_path / "table"), str(tmp_path / "ckpt")).awaitTermination()
+        found = read_merged(spark, str(tmp_path / "table")).select("id", "content_sha256", "size")
+        return sorted(map(tuple, found.collect()))
+
+    batch = lambda df: sorted(map(tuple, chunk_records(fixed_window_chunks(df)).select("id", "content_sha256", "size").collect()))
+    assert ingest() == batch(docs.where("doc_id < 8"))
+    docs.where("doc_id >= 8").coalesce(1).write.mode("append").parquet(str(tmp_path / "sf" / "documents.parquet"))
+    assert ingest() == batch(docs)
