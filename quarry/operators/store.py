@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from quarry.functions.tags import DOCUMENT_TAG, tags_filter
 from quarry.functions.text import strip_nul
 from quarry.operators.ordering import after_key, key_at_rank, upto_key
+from quarry.session import scratch_path
 
 RECORD_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
@@ -34,27 +35,32 @@ def list_records(records: DataFrame, filters=None, limit: int = 1, offset: int =
                  order_by: str | Column = "id", with_embeddings: bool = False, near: int = NEAR) -> DataFrame:
     """Filtered page of records ordered by ``order_by`` (then id).
     ``limit <= 0`` means no limit.  A page within ``near`` rows of the start is a top-k.
-    Further pages find the key before them, and that at the end of a long page, by rank
-    selection; only rows between them are sorted, so no task holds the rows before a page."""
-    out = project(records.where(tags_filter(filters)), with_embeddings)
+    Further pages find the key before them, and that at their end, by rank selection over
+    the keys alone, which are stored once; only the rows between them are read whole and
+    sorted, so no task holds the rows before a page and no other row is moved."""
+    out = records.where(tags_filter(filters))
     named = isinstance(order_by, str) and order_by == "id"
     if not named:
         out = out.withColumn("__key", F.col(order_by) if isinstance(order_by, str) else order_by)
     keys = ["id"] if named else ["__key", "id"]
-    if 0 < limit <= near and offset + limit <= near:
-        page = out.orderBy(*keys).offset(offset).limit(limit) if offset > 0 else out.orderBy(*keys).limit(limit)
-        return page.drop("__key")
+    names = project(out, with_embeddings).columns
+    if (0 < limit <= near and offset + limit <= near) or (limit <= 0 and offset <= 0):
+        page = out.orderBy(*keys)
+        page = page.offset(offset) if offset > 0 else page
+        return (page.limit(limit) if limit > 0 else page).select(*names)
+    path = scratch_path(records.sparkSession, "page-keys")
+    narrow = out.select(*keys)
+    narrow.write.parquet(path)
+    narrow = records.sparkSession.read.schema(narrow.schema).parquet(path)
     page = out
     if offset > 0:
-        before = key_at_rank(out, keys, offset - 1)
+        before = key_at_rank(narrow, keys, offset - 1)
         if before is None:
-            return out.limit(0).drop("__key")
-        page = after_key(page, keys, before)
-    if limit > near:
-        last = key_at_rank(page, keys, limit - 1)
-        return (page if last is None else upto_key(page, keys, last)).orderBy(*keys).drop("__key")
-    page = page.orderBy(*keys)
-    return (page.limit(limit) if limit > 0 else page).drop("__key")
+            return out.limit(0).select(*names)
+        page, narrow = after_key(page, keys, before), after_key(narrow, keys, before)
+    last = key_at_rank(narrow, keys, limit - 1) if limit > 0 else None
+    page = (page if last is None else upto_key(page, keys, last)).orderBy(*keys)
+    return (page.limit(limit) if 0 < limit <= near else page).select(*names)
 
 
 def document_id(tags: str | Column = "tags") -> Column:

@@ -79,8 +79,8 @@ NEAR = 100  # pages beyond this many rows are found by rank selection
 
 def list_page_deep(spark: SparkSession, sf: str) -> DataFrame:
     """The page in the middle of the table, by content length."""
-    r = records(spark, sf)
-    return list_records(r, limit=25, offset=r.count() // 2, order_by=F.length("content"), near=NEAR).select(
+    r = records(spark, sf, content_len=F.length("text"))
+    return list_records(r, limit=25, offset=r.count() // 2, order_by="content_len", near=NEAR).select(
         "id", F.length("content").alias("content_len"))
 
 

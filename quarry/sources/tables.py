@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.tags import DOCUMENT_TAG
@@ -31,9 +31,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True)
     return spread(df) if widen else df
 
 
-def records_from(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Record table ``(id, embedding, tags, content, payload)`` of all documents;
-    ``embedding`` (``vec_id = doc_id``) is NULL where a document has none."""
+def records_from(documents: DataFrame, embeddings: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Record table ``(id, embedding, tags, content, payload)`` of all documents, with ``extra``
+    columns of theirs; ``embedding`` (``vec_id = doc_id``) is NULL where a document has none."""
     d = documents.alias("d")
     e = embeddings.alias("e")
     return (d.join(e, F.col("d.doc_id") == F.col("e.vec_id"), "left")
@@ -46,14 +46,18 @@ def records_from(documents: DataFrame, embeddings: DataFrame) -> DataFrame:
                         ).alias("tags"),
                 F.col("d.text").alias("content"),
                 F.to_json(F.struct(F.col("d.source").alias("source"),
-                                   F.col("d.n_chars").alias("n_chars"))).alias("payload")))
+                                   F.col("d.n_chars").alias("n_chars"))).alias("payload"),
+                *[F.col(f"d.{c}") for c in extra]))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, **extra: Column) -> DataFrame:
+    """``extra``: further columns, computed from those of a document in the scan, so that where
+    they alone are asked for, no text goes through the join."""
     # the documents carry the per-row work; the embeddings side of the join is
     # left as scanned (Spark broadcasts it when its size allows)
-    return records_from(read_table(spark, sf_dir, "documents"),
-                        read_table(spark, sf_dir, "embeddings", widen=False))
+    documents = read_table(spark, sf_dir, "documents", widen=False).withColumns(extra) if extra else None
+    return records_from(read_table(spark, sf_dir, "documents") if documents is None else spread(documents),
+                        read_table(spark, sf_dir, "embeddings", widen=False), tuple(extra))
 
 
 def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:

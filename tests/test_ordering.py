@@ -146,3 +146,23 @@ def test_function_items(spark, tmp_path):
     (tmp_path / "h.json").write_text(json.dumps(messages))
     got = read_history(spark, str(tmp_path / "h.json")).orderBy("turn").collect()
     assert [r.has_function_item for r in got] == [True, False, True]
+
+
+def test_page_keys_move_no_text(spark, tmp_path):
+    """A column of the documents is computed before the join; pages by it equal those by the text."""
+    from quarry.sources.tables import records
+
+    rows = [(k, "x" * (k * 37 % 60) if k % 9 else None, "en", f"src{k % 3}", k) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, [1.0, 2.0]) for k in range(0, 300, 2)], "vec_id long, embedding array<float>").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    r = records(spark, str(tmp_path), content_len=F.length("text"))
+    plan = r.select("id", "content_len")._jdf.queryExecution().optimizedPlan().toString()
+    assert "length(text" in plan[plan.index("Join"):] and "text" not in plan[:plan.index("length(text")]
+    order = sorted(range(300), key=lambda k: (rows[k][1] is not None, len(rows[k][1] or ""), str(k)))
+    for limit, offset in ((25, 150), (5, 280), (60, 30), (0, 200), (30, 400)):
+        want = [str(k) for k in order[offset:offset + limit if limit else None]]
+        for by in ("content_len", F.length("content")):
+            page = list_records(r, limit=limit, offset=offset, order_by=by, near=20)
+            assert [x.id for x in page.collect()] == want and "content_len" not in page.columns
