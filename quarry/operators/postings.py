@@ -254,14 +254,25 @@ class PostingsIndex:
         """``(query_id, id, text_score)`` of the matches, in the given (query_id, grp) pairs only
         if there are any."""
         small = F.broadcast if longest is not None else (lambda df: df)
+        # the key lists of a small batch, once a lexeme of their query, are of bounded size
+        bounded = longest is not None and longest <= MAX_BROADCAST_ROWS // 100
+        blocks = self.blocks.select("lexeme", "grp", "block")
+        if not bounded:
+            # both sides of the join are cut first, by narrow columns: to the groups that hold all
+            # lexemes of a query, and to the blocks of that query's lexemes in them
+            if pairs is None:
+                pairs = self._pairs(terms, longest, length_norm).select("query_id", "grp")
+            asked = terms.select("query_id", "lexeme").join(pairs, "query_id").select("lexeme", "grp").distinct()
+            if longest is not None:  # few lexemes: the scan drops the others before anything is moved
+                blocks = blocks.join(F.broadcast(terms.select("lexeme").distinct()), "lexeme", "left_semi")
+            few = asked.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+            blocks = blocks.join(F.broadcast(asked) if few else asked, ["lexeme", "grp"], "left_semi")
         keys = terms.where("is_key").select("query_id", "lexeme")
         candidates = self.blocks.select("lexeme", "grp", F.col("block").alias("candidates")).join(small(keys), "lexeme").drop("lexeme")
         if pairs is not None:
             candidates = candidates.join(small(pairs), ["query_id", "grp"], "left_semi")
         wanted = candidates.join(small(terms), "query_id").select("query_id", "grp", "candidates", "term", "lexeme", "n_terms")
-        # the key lists of a small batch, once a lexeme of their query, are of bounded size
-        bounded = longest is not None and longest <= MAX_BROADCAST_ROWS // 100
-        rows = self.blocks.select("lexeme", "grp", "block").join(F.broadcast(wanted) if bounded else wanted, ["lexeme", "grp"])
+        rows = blocks.join(F.broadcast(wanted) if bounded else wanted, ["lexeme", "grp"])
         rows = rows.select("query_id", "n_terms", "term", "candidates", "block").mapInArrow(_met, T.StructType([
             terms.schema["query_id"], *T._parse_datatype_string(
                 "n_terms int, id string, length int, term int, positions array<int>").fields]))

@@ -143,3 +143,25 @@ def test_empty_table(spark):
     index = P.PostingsIndex.save(recs, scratch_path(spark, "test-postings"))
     qs = spark.createDataFrame([(1, "a")], "query_id int, query_text string")
     assert index.search(qs, 3).collect() == [] and index.matches(qs.limit(0)).collect() == []
+
+
+def test_a_long_batch_moves_only_the_blocks_it_asks_for(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast bounds the blocks are cut by lexeme and group before the join."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import postings
+    from quarry.operators.text_search import LexemeIndex, text_matches, text_search
+
+    rows = [(str(k), f"alpha beta {'gamma ' * (k % 4)}word{k % 10} only{k}") for k in range(200)]
+    recs = spark.createDataFrame(rows, "id string, content string")
+    asked = spark.createDataFrame([(1, "alpha gamma"), (2, "word3 beta"), (3, "gamma nowhere"), (4, "only17")], "query_id int, query_text string")
+    index = postings.PostingsIndex.save(recs, str(tmp_path / "ix"), groups=8)
+    want = {k: sorted(map(tuple, text_search(recs, asked, k).select("query_id", "id", F.round("text_score", 9)).collect())) for k in (3, 0)}
+    for bound in (500, 10):  # a small batch of long lists; a batch too long to be read
+        monkeypatch.setattr(postings, "MAX_BROADCAST_ROWS", bound)
+        for k in (3, 0):
+            got = index.search(asked, k)
+            assert sorted(map(tuple, got.select("query_id", "id", F.round("text_score", 9)).collect())) == want[k]
+        found = index.matches(asked)
+        assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, text_matches(LexemeIndex.build(recs), asked).collect()))
