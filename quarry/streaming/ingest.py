@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.chunking import chunk_records, fixed_window_chunks
+from quarry.session import has_folder
 
 
 def _chunk_batch(batch: DataFrame) -> DataFrame:
@@ -103,8 +104,10 @@ def start_ingest(spark: SparkSession, source_dir: str, target_dir: str, checkpoi
     table that was written in parts)."""
     found = f"{source_dir.rstrip('/')}/{file_pattern}"
     schema = spark.read.parquet(found).schema
-    # the pattern is part of the path: as a filter of names it would drop the files of a folder
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(found)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    # a filter of names would drop the files of a folder, whatever the folder's name
+    stream = (reader.parquet(found) if has_folder(spark, found) else
+              reader.option("pathGlobFilter", file_pattern).parquet(source_dir))
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         _write_epoch(chunker(batch), batch.select(F.col("doc_id").cast("string").alias("parent_id")),

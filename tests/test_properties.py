@@ -97,5 +97,10 @@ def test_stream_ingest_of_a_table_in_parts(spark, tmp_path):
 
     batch = lambda df: sorted(map(tuple, chunk_records(fixed_window_chunks(df)).select("id", "content_sha256", "size").collect()))
     assert ingest() == batch(docs.where("doc_id < 8"))
+    part = next((tmp_path / "sf" / "documents.parquet").glob("part-*"))  # a table in one file is one too
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "documents.parquet").write_bytes(part.read_bytes())
+    start_ingest(spark, str(tmp_path / "one"), str(tmp_path / "table1"), str(tmp_path / "ckpt1")).awaitTermination()
+    assert read_merged(spark, str(tmp_path / "table1")).count() == chunk_records(fixed_window_chunks(spark.read.parquet(str(part)))).count()
     docs.where("doc_id >= 8").coalesce(1).write.mode("append").parquet(str(tmp_path / "sf" / "documents.parquet"))
     assert ingest() == batch(docs)
