@@ -7,7 +7,8 @@ shards, until each leaf is one shard of about the target bytes.
 
 The quantiles are exact weighted selections done as distributed histograms: per
 pass, one aggregation sums the weights of 256 bins for all nodes of a level, and
-the bin that holds the quantile is refined.  The driver sees one row per node.
+the bin that holds the quantile is refined.  The driver sees one row per node; once the
+bins of all nodes together hold ``FEW`` keys at most, it takes these and refines them itself.
 The tree is a short list of splits, so placing a row (a text included) needs no
 shuffle: it is a chain of joins with broadcast tables of at most ``MAX_SHARDS`` rows.
 
@@ -23,7 +24,8 @@ fewer distinct rows than shards leave shards empty; an empty table stays empty.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ from quarry.llm.common import quoted, stored, whole
 MAX_SHARDS = 65_536
 #: Bins of one histogram pass, and the share of a shard that may lie off the exact quantile.
 BINS, SLACK = 256, 0.002
+#: Keys in the bins of all nodes that the driver refines without further passes.
+FEW = 4_096
 #: Bits of a sort key: the dimension's value in steps of the corpus extent, then the tie.
 VALUE_BITS, TIE_BITS = 20, 42
 
@@ -142,34 +146,87 @@ def _widest(here: DataFrame, split: dict, n_dims: int):
     return dims, spans, weights
 
 
+@dataclass(frozen=True)
+class _Interval:
+    """Keys ``low`` to ``high`` of a dimension that hold a node's cut; rows below weigh ``below``."""
+
+    dim: int
+    low: int
+    high: int
+    below: int
+    goal: float
+    slack: float
+
+    @property
+    def step(self) -> int:
+        return -(-(self.high - self.low) // BINS)
+
+    @property
+    def want(self) -> float:
+        return float(self.goal - self.below)
+
+    def narrowed(self, b: int, w: int, upto: int) -> _Interval | int:
+        """What bin ``b`` of weight ``w`` leaves, all bins up to it weighing ``upto``; or the cut."""
+        left = self.low + b * self.step
+        right = min(self.high, left + self.step)
+        under, over = self.below + upto - w, self.below + upto  # weights below either end of the bin
+        if min(self.goal - under, over - self.goal) <= self.slack or right - left == 1:
+            return left if self.goal - under <= over - self.goal else right
+        return replace(self, low=left, high=right, below=under)
+
+
 def _quantiles(here: DataFrame, nodes: dict[int, tuple[int, int, int, int, int]]) -> dict[int, int]:
     """Cut keys.  ``nodes``: node -> (dim, low, high, weight, shards); the rows below the
     cut weigh ``shards // 2 / shards`` of the node, to within SLACK of a shard."""
     spark, cuts = here.sparkSession, {}
-    open_ = {n: (d, lo, hi, 0, w * (k // 2) / k, SLACK * w / k) for n, (d, lo, hi, w, k) in nodes.items()}
+    open_ = {n: _Interval(d, lo, hi, 0, w * (k // 2) / k, SLACK * w / k) for n, (d, lo, hi, w, k) in nodes.items()}
     while open_:
         table = spark.createDataFrame(
-            [(n, d, lo, hi, -(-(hi - lo) // BINS), float(goal - below))
-             for n, (d, lo, hi, below, goal, _) in open_.items()],
+            [(n, i.dim, i.low, i.high, i.step, i.want) for n, i in open_.items()],
             "n int, d int, lo long, hi long, step long, want double")
         rows = here.join(F.broadcast(table), F.col("__q_node") == F.col("n")).withColumn(
             "k", F.element_at("__q_keys", F.col("d") + 1)).where("k >= lo and k < hi")
-        bins = rows.groupBy("n", "want", "lo", "step", F.expr("(k - lo) div step").alias("b")).agg(
-            F.sum("__q_size").alias("w"))
+        bins = rows.groupBy("n", "want", F.expr("(k - lo) div step").alias("b")).agg(
+            F.sum("__q_size").alias("w"), F.when(F.min("k") == F.max("k"), 1).otherwise(F.count("k")).alias("keys"))
         run = bins.withColumn("upto", F.sum("w").over(Window.partitionBy("n").orderBy("b")))
-        hit = run.where("upto >= want").groupBy("n", "lo", "step").agg(F.min(F.struct("b", "w", "upto")).alias("hit"))
-        hits = hit.collect()
+        hits = run.where("upto >= want").groupBy("n").agg(F.min(F.struct("b", "w", "upto", "keys")).alias("hit")).collect()
         for n in set(open_) - {r["n"] for r in hits}:  # the goal is all of the interval, but for rounding
-            cuts[n] = open_.pop(n)[2]
+            cuts[n] = open_.pop(n).high
+        keys = 0
         for r in hits:
-            d, lo, hi, below, goal, slack = open_.pop(r["n"])
-            b, w, upto = r["hit"]
-            left, right = lo + b * r["step"], min(hi, lo + (b + 1) * r["step"])
-            under, over = below + upto - w, below + upto  # weights below either end of the bin
-            if min(goal - under, over - goal) <= slack or right - left == 1:
-                cuts[r["n"]] = left if goal - under <= over - goal else right
+            b, w, upto, held = r["hit"]
+            left = open_.pop(r["n"]).narrowed(b, w, upto)
+            if isinstance(left, int):
+                cuts[r["n"]] = left
             else:
-                open_[r["n"]] = (d, left, right, under, goal, slack)
+                open_[r["n"]] = left
+                keys += held
+        if open_ and keys <= FEW:
+            return cuts | _finished(here, open_)
+    return cuts
+
+
+def _finished(here: DataFrame, open_: dict[int, _Interval]) -> dict[int, int]:
+    """The cuts that further passes would find, from the few keys of the open intervals."""
+    table = here.sparkSession.createDataFrame(
+        [(n, i.dim, i.low, i.high) for n, i in open_.items()], "n int, d int, lo long, hi long")
+    rows = here.join(F.broadcast(table), F.col("__q_node") == F.col("n")).withColumn(
+        "k", F.element_at("__q_keys", F.col("d") + 1)).where("k >= lo and k < hi")
+    weights: dict[int, list[tuple[int, int]]] = {n: [] for n in open_}
+    for n, k, w in rows.groupBy("n", "k").agg(F.sum("__q_size")).collect():
+        weights[n].append((k, w))
+    cuts = {}
+    for n, left in open_.items():
+        inside = sorted(weights[n])
+        while not isinstance(left, int):
+            inside = [(k, w) for k, w in inside if left.low <= k < left.high]
+            bins: dict[int, int] = {}
+            for k, w in inside:
+                b = (k - left.low) // left.step
+                bins[b] = bins.get(b, 0) + w
+            hit = next((x for x in zip(bins, bins.values(), accumulate(bins.values())) if x[2] >= left.want), None)
+            left = left.narrowed(*hit) if hit else left.high
+        cuts[n] = left
     return cuts
 
 

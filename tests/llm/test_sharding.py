@@ -76,3 +76,29 @@ def test_documents_and_target_bytes(spark):
     for part in by.values():
         assert sorted(r.slot for r in part) == list(range(len(part)))
         assert sum(len(r.text) + 1 for r in part) < 22_000
+
+
+def test_few_keys_need_no_further_passes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "".join("a é\n"[(k * j) % 4] for j in range(1 + k * k % 97))) for k in range(900)]
+    rows += [(2000 + k, "one text of many copies " * 4) for k in range(300)] + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    measured = sharding.stored(df.select(*[c.alias(k) for k, c in sharding._measured(df, "doc_id", "text").items()]), "kd-test")
+    collects, collect = [0], type(df).collect
+
+    def counted(frame):
+        collects[0] += 1
+        return collect(frame)
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    for shards in (2, 5, 8):
+        collects[0] = 0
+        tree = sharding.grow_tree(measured, shards)
+        # per level: the extents, one pass and the keys of its bins; before: the groups of copies
+        # and, as first() collects too, the corpus extent
+        assert collects[0] <= 3 * len(tree.levels) + 2
+        with monkeypatch.context() as m:
+            m.setattr(sharding, "FEW", -1)
+            assert sharding.grow_tree(measured, shards) == tree
+    assert measured.where(F.col("__q_size") > 1).count() > 1000
