@@ -79,3 +79,24 @@ def test_empty_corpus(spark):
     model = E.WordVectors.fit(df, text_col="content")
     one = spark.createDataFrame([("a", "some words")], "id string, content string")
     assert model.words.count() == 0 and [r.embedding for r in model.embed(one).collect()] == [None]
+
+
+def test_rare_words_travel_as_small_whole_numbers(spark):
+    texts = [f"common word{k} other{k}" for k in range(50)] + ["common " * 200]
+    df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, content string").repartition(5)
+    model = E.WordVectors.fit(df, text_col="content", dimensions=16)
+    widths = {r.word: len(r.vector) // 16 for r in model.stored.collect()}
+    assert widths.pop("common") == 2 and set(widths.values()) == {1} and len(widths) == 100
+    assert model.least_df(0) is None and model.least_df(1) == model.least_df(99) == 51 and model.least_df(101) == 1
+
+
+def test_sums_go_on_over_batches():
+    import pyarrow as pa
+
+    wide = np.array([[1.0, -2.0], [127.0, 1.0], [1.0, 0.0], [2.0 ** 40, 0.0], [0.5, 0.0], [-1.0, 3.0]])
+    rows = pa.RecordBatch.from_arrays([pa.array(["a", "a", "a", "b", "c", "c"]), pa.array([1] * 6), pa.array([1] * 6),
+                                       pa.array(E._packed(wide), pa.binary())], ["word", "n", "df", "vector"])
+    for step in (1, 2, 4, 6):
+        out = pa.Table.from_batches(E._summed(2)(rows.slice(k, step) for k in range(0, 6, step))).to_pydict()
+        assert out["word"] == ["a", "b", "c"] and out["n"] == out["df"] == [3, 1, 2]
+        assert np.array_equal(E._unpacked(pa.array(out["vector"]), 2), [[129.0, -1.0], [2.0 ** 40, 0.0], [-0.5, 3.0]])
